@@ -25,23 +25,25 @@ def _bag_pairs(
     are dealt out over that many partitions, because the work of a line grows
     with its square while its bytes do not.
     """
-    bags = df.select(*keys, term_bag(F.col(words)).alias("bag")).where(F.size("bag") > 0)
+    bags = df.select(*keys, term_bag(F.col(words)).alias("bag"))
     if spread is None:
-        left = bags.select(*keys, "bag", F.posexplode("bag").alias("i", "a"))
+        left = bags.select(*keys, "bag", F.posexplode_outer("bag").alias("i", "a"))
     else:
         pieces = bags.select(
             *keys,
             "bag",
-            F.explode(F.sequence(F.lit(0), F.size("bag") - 1, F.lit(TERMS_PER_PIECE))).alias("at"),
-        ).repartition(spread)
+            F.explode_outer(
+                F.sequence(F.lit(0), F.greatest(F.size("bag") - 1, F.lit(0)), F.lit(TERMS_PER_PIECE))
+            ).alias("at"),
+        ).repartition(spread, F.xxhash64("bag"), "at")
         left = pieces.select(
             *keys,
             "bag",
             "at",
-            F.posexplode(F.slice("bag", F.col("at") + 1, TERMS_PER_PIECE)).alias("k", "a"),
+            F.posexplode_outer(F.slice("bag", F.col("at") + 1, TERMS_PER_PIECE)).alias("k", "a"),
         ).select(*keys, "bag", (F.col("at") + F.col("k")).alias("i"), "a")
     rest = F.slice(F.col("bag"), F.col("i") + 1, F.size("bag"))
-    return left.select(*keys, "a", F.explode(rest).alias("b"))
+    return left.select(*keys, "a", F.explode_outer(rest).alias("b"))
 
 
 def unordered_pairs(
@@ -118,7 +120,7 @@ def as_stripes(counts: DataFrame, *, max_entries: int = ENTRIES_PER_STRIPE) -> D
     sizes = counts.groupBy("term").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(max_entries)).alias("parts")
     )
-    entries = F.array_sort(F.collect_list(F.struct("other", "n")))
+    entries = F.sort_array(F.collect_list(F.struct("other", "n")))
     return (
         counts.join(sizes, "term")
         .withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts")))

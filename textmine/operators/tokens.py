@@ -23,13 +23,18 @@ def with_words(
 
 
 def explode_terms(df: DataFrame, *keys: str, words: str = "words") -> DataFrame:
-    """``<keys..., term>``: one row per word; empty and null arrays give none."""
-    return df.select(*keys, F.explode(words).alias("term")).where(F.col("term") != "")
+    """``<keys..., term>``: one row per word; empty and null arrays give none.
+
+    The outer generator with a filter after it does what the inner one does, but
+    keeps Spark from deriving a filter on the size of the array, which would
+    tokenize the text a second time below the projection.
+    """
+    return df.select(*keys, F.explode_outer(words).alias("term")).where(F.col("term") != "")
 
 
 def distinct_terms(df: DataFrame, *keys: str, words: str = "words") -> DataFrame:
     """As :func:`explode_terms`, each term once per input row."""
-    return df.select(*keys, F.explode(F.array_distinct(words)).alias("term")).where(
+    return df.select(*keys, F.explode_outer(F.array_distinct(words)).alias("term")).where(
         F.col("term") != ""
     )
 
@@ -95,7 +100,7 @@ def clean_words(
         F.monotonically_increasing_id().alias("_row"),
         keep_words(F.col(words), lowercase_initial=lowercase_initial).alias("words"),
     )
-    terms = numbered.select(*keys, "_row", F.explode("words").alias("term"))
+    terms = numbered.select(*keys, "_row", F.explode_outer("words").alias("term"))
     return (
         drop_stopwords(terms, stopwords)
         .groupBy(*keys, "_row")

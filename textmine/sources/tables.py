@@ -12,9 +12,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def deal_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that has fewer splits than the session has cores.
+
+    A table of a few megabytes is one split, and the tokenizing that follows
+    would be one task. A table worth a cluster has more splits than cores and
+    is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_terms(spark: SparkSession, folder: str) -> DataFrame:
     """``<id, period, words>``: a document, its source, its lower-cased letter runs."""
-    return table(spark, folder, "documents").select(
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return deal_out(documents, "doc_id").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("period"),
         tokenize(F.lower("text"), "letters").alias("words"),
@@ -23,19 +35,21 @@ def document_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``<id, period, value>``: one row per line of every document."""
-    return table(spark, folder, "documents").select(
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return deal_out(documents, "doc_id").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("period"),
-        F.explode(F.split("text", "\n")).alias("value"),
+        F.explode_outer(F.split("text", "\n")).alias("value"),
     )
 
 
 def conversation_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``<id, period, value>``: one row per line of every turn; the period is the role."""
-    return table(spark, folder, "conversations").select(
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return deal_out(turns, "conv_id", "turn").select(
         F.col("conv_id").alias("id"),
         F.col("role").alias("period"),
-        F.explode(F.split("text", "\n")).alias("value"),
+        F.explode_outer(F.split("text", "\n")).alias("value"),
     )
 
 
@@ -48,7 +62,7 @@ def dated_lines(spark: SparkSession, folder: str) -> DataFrame:
         items.join(parts, items.l_partkey == parts.p_partkey)
         .groupBy("l_orderkey")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))
             ).alias("items")
         )
