@@ -149,22 +149,35 @@ sets AS (
   FROM keyed GROUP BY key)"""
 
 
-def _candidates(tau: float) -> str:
+def _candidates(tau: float, extra: str = "2e-2") -> str:
+    """Pairs of sets with enough common tokens in their two prefixes."""
     return SETS + f""",
-postings AS (
-  SELECT set_id, sets.n, first_period, last_period, token, pos
-  FROM sets JOIN ranked ON id = set_id WHERE freq > 1),
-candidates AS (
-  SELECT DISTINCT least(s.set_id, l.set_id) AS set1, greatest(s.set_id, l.set_id) AS set2
-  FROM postings s JOIN postings l
-    ON s.token = l.token
+placed AS (SELECT token, row_number() OVER (ORDER BY freq, token) AS place FROM freq),
+spans AS (
+  SELECT *,
+         least(n, n - ceil(2 * {tau} / (1 + {tau}) * n - 1e-9) + 1 + floor(n * {extra})) AS len1,
+         least(n, n - ceil({tau} * n - 1e-9) + 1 + floor(n * {extra})) AS len2
+  FROM sets),
+posting AS (
+  SELECT set_id, spans.n, first_period, last_period, len1, len2, pos, freq, place
+  FROM spans JOIN ranked ON id = set_id JOIN placed USING (token)),
+ends AS (
+  SELECT set_id, max(place) FILTER (pos <= len1) AS last1, max(place) FILTER (pos <= len2) AS last2
+  FROM posting GROUP BY set_id),
+met AS (
+  SELECT s.set_id AS s_id, l.set_id AS l_id, any_value(s.n) AS n1, any_value(l.n) AS n2,
+         any_value(s.len1) AS len1, any_value(l.len2) AS len2, count(*) AS c
+  FROM posting s JOIN posting l
+    ON s.place = l.place AND s.pos <= s.len1 AND l.pos <= l.len2
    AND (s.n < l.n OR (s.n = l.n AND s.set_id < l.set_id))
-  WHERE s.pos <= s.n - ceil(2 * {tau} / (1 + {tau}) * s.n - 1e-9) + 1
-    AND l.pos <= l.n - ceil({tau} * l.n - 1e-9) + 1
-    AND s.n >= {tau} * l.n - 1e-9
-    AND 1 + least(s.n - s.pos, l.n - l.pos) >= {tau} / (1 + {tau}) * (s.n + l.n) - 1e-9
-    AND NOT (s.first_period = s.last_period AND l.first_period = l.last_period
-             AND s.first_period = l.first_period))"""
+   AND s.n >= {tau} * l.n - 1e-9
+   AND least(s.first_period, l.first_period) <> greatest(s.last_period, l.last_period)
+  GROUP BY s.set_id, l.set_id),
+candidates AS (
+  SELECT least(s_id, l_id) AS set1, greatest(s_id, l_id) AS set2
+  FROM met JOIN ends e ON e.set_id = s_id JOIN ends f ON f.set_id = l_id
+  WHERE c + CASE WHEN e.last1 < f.last2 THEN n1 - len1 ELSE n2 - len2 END
+        >= ceil({tau} / (1 + {tau}) * (n1 + n2) - 1e-9))"""
 
 
 def _similar_sets(tau: float) -> str:
@@ -293,12 +306,13 @@ SELECT id, period, token FROM ranked WHERE {_prefix(0.8)} AND freq > 1""",
     "distinct_sets": f"""WITH {SETS}
 SELECT set_id, CAST(n AS INTEGER) AS n, copies, first_period, last_period FROM sets""",
     "candidate_sets": f"WITH {_candidates(0.8)} SELECT set1, set2 FROM candidates",
+    "candidate_sets_half": f"WITH {_candidates(0.5)} SELECT set1, set2 FROM candidates",
     "similar_sets": f"WITH {_similar_sets(0.8)}",
     "jaccard_self_join": _jaccard(0.8),
     "jaccard_self_join_half": _jaccard(0.5),
     "jaccard_self_join_any": _jaccard(0.8, cross_period=False),
     "jaccard_equal_sets": _jaccard(1.0),
-    "jaccard_turns": _jaccard(0.3, TURNS),
+    "jaccard_turns": _jaccard(0.1, TURNS),
     "jaccard_text": f"""WITH {_overlaps(DOC)}
 SELECT '(' || id1 || ',' || id2 || ')    ' || round(sim, 6) AS output FROM sims WHERE sim >= 0.9""",
 }

@@ -322,13 +322,22 @@ def distinct_sets(spark, folder):
     return sets.select("set_id", "n", "copies", "first_period", "last_period")
 
 
-@query
-def candidate_sets(spark, folder):
+def _candidates(spark: SparkSession, folder: str, tau: float) -> DataFrame:
     documents = tables.document_terms(spark, folder)
     sets = materialize(setjoin.distinct_sets(documents), "sets")
     ranks = materialize(setjoin.token_ranks(documents), "ranks")
     encoded = materialize(setjoin.encode_sets(documents, sets, ranks), "encoded")
-    return setjoin.candidate_sets(encoded, 0.8)
+    return setjoin.candidate_sets(encoded, tau)
+
+
+@query
+def candidate_sets(spark, folder):
+    return _candidates(spark, folder, 0.8)
+
+
+@query
+def candidate_sets_half(spark, folder):
+    return _candidates(spark, folder, 0.5)
 
 
 @query
@@ -359,7 +368,7 @@ def jaccard_equal_sets(spark, folder):
 
 @query
 def jaccard_turns(spark, folder):
-    return jobs.jaccard_self_join(_turns(spark, folder), 0.3)
+    return jobs.jaccard_self_join(_turns(spark, folder), 0.1)
 
 
 @query
