@@ -318,16 +318,17 @@ def shared_tokens(spark, folder):
 
 @query
 def distinct_sets(spark, folder):
-    sets = setjoin.distinct_sets(tables.document_terms(spark, folder))
+    records = setjoin.token_sets(tables.document_terms(spark, folder))
+    sets = setjoin.distinct_sets(records)
     return sets.select("set_id", "n", "copies", "first_period", "last_period")
 
 
 def _candidates(spark: SparkSession, folder: str, tau: float) -> DataFrame:
-    documents = tables.document_terms(spark, folder)
-    sets = materialize(setjoin.distinct_sets(documents), "sets")
-    ranks = materialize(setjoin.token_ranks(documents), "ranks")
-    encoded = materialize(setjoin.encode_sets(documents, sets, ranks), "encoded")
-    return setjoin.candidate_sets(encoded, tau)
+    records = materialize(setjoin.token_sets(tables.document_terms(spark, folder)), "records")
+    sets = materialize(setjoin.distinct_sets(records), "sets")
+    ranks = materialize(setjoin.token_ranks(records), "ranks")
+    encoded = materialize(setjoin.encode_sets(records, sets, ranks), "encoded")
+    return setjoin.candidate_sets(encoded, ranks, tau)
 
 
 @query

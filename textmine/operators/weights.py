@@ -16,8 +16,10 @@ def tfidf(
 
     The rows are unique per (term, period), so df is their number per term. A
     window finds it with one shuffle of the counted rows, at most one per
-    period and term. ``n_periods`` is a number or a one-row, one-column frame.
+    period and term. They are partitioned by ranges of the term, which serves an
+    ordering by term afterwards as well. ``n_periods`` is a number or a one-row,
+    one-column frame.
     """
     total = n_periods.scalar() if isinstance(n_periods, DataFrame) else F.lit(n_periods)
-    with_df = counts.withColumn("df", F.count(period).over(Window.partitionBy("term")))
+    with_df = counts.repartitionByRange("term").withColumn("df", F.count(period).over(Window.partitionBy("term")))
     return with_df.withColumn("weight", F.col("tf") * F.log10(total / F.col("df")))
