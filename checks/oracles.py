@@ -87,6 +87,23 @@ def _top(k: int) -> str:
 QUALIFY row_number() OVER (PARTITION BY period ORDER BY n DESC, term1, term2) <= {k}"""
 
 
+def _top_by_source(k: int) -> str:
+    return f"""WITH {COMMON}, {DOC_LINES},
+numbered AS (
+  SELECT row_number() OVER () AS id, period, string_split(lower(value), ' ') AS words FROM lines),
+term AS (
+  SELECT id, period, unnest(words) AS term, generate_subscripts(words, 1) AS i FROM numbered),
+pos AS (
+  SELECT * FROM term
+  WHERE regexp_matches(term, '^[a-z]') AND term NOT IN (SELECT term FROM common)),
+pairs AS (
+  SELECT a.period, least(a.term, b.term) AS term1, greatest(a.term, b.term) AS term2
+  FROM pos a JOIN pos b ON a.id = b.id AND a.i < b.i),
+counted AS (
+  SELECT period, term1, term2, count(*) AS n FROM pairs GROUP BY period, term1, term2)
+{_top(k)}"""
+
+
 def _directional(source: str) -> str:
     return "WITH " + source + rf""",
 numbered AS (SELECT row_number() OVER () AS line, value FROM lines),
@@ -269,19 +286,20 @@ SELECT period, term1, term2, n FROM counted""",
 {_top(10)}""",
     "top_pairs_text": f"""WITH {_cleaned('parsed')}{POSITIONS}
 SELECT period || '    ' || term1 || ',' || term2 || ':' || n AS output FROM ({_top(20)})""",
-    "top_pairs_by_source": f"""WITH {COMMON}, {DOC_LINES},
-numbered AS (
-  SELECT row_number() OVER () AS id, period, string_split(lower(value), ' ') AS words FROM lines),
-term AS (
-  SELECT id, period, unnest(words) AS term, generate_subscripts(words, 1) AS i FROM numbered),
-pos AS (
-  SELECT * FROM term
-  WHERE regexp_matches(term, '^[a-z]') AND term NOT IN (SELECT term FROM common)),
+    "top_pairs_by_source": _top_by_source(10),
+    "top_pairs_by_source_unpruned": _top_by_source(10),
+    "top_pairs_by_source_documents": f"""WITH {COMMON},
+bag AS (
+  SELECT id, period, term, count(*) AS m FROM occ
+  WHERE regexp_matches(term, '^[a-z]') AND term NOT IN (SELECT term FROM common)
+  GROUP BY id, period, term),
 pairs AS (
-  SELECT a.period, least(a.term, b.term) AS term1, greatest(a.term, b.term) AS term2
-  FROM pos a JOIN pos b ON a.id = b.id AND a.i < b.i),
+  SELECT a.period, a.term AS term1, b.term AS term2,
+         CASE WHEN a.term = b.term THEN a.m * (a.m - 1) / 2 ELSE a.m * b.m END AS m
+  FROM bag a JOIN bag b ON a.id = b.id AND a.term <= b.term),
 counted AS (
-  SELECT period, term1, term2, count(*) AS n FROM pairs GROUP BY period, term1, term2)
+  SELECT period, term1, term2, CAST(sum(m) AS BIGINT) AS n FROM pairs
+  WHERE m > 0 GROUP BY period, term1, term2)
 {_top(10)}""",
     "directional_cooccurrence": _directional(DATED) + " SELECT * FROM directed",
     "directional_cooccurrence_turns": _directional(TURN_LINES) + " SELECT * FROM directed",

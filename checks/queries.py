@@ -248,10 +248,25 @@ def top_pairs_text(spark, folder):
 def top_pairs_by_source(spark, folder):
     """Pairs within the lines of the documents."""
     lines = tokens.with_words(tables.document_lines(spark, folder), lower=True)
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return jobs.top_pairs_by_period(
-        lines, 10, stopwords=_common_terms(spark, folder), spread=spread
-    )
+    stopwords = _common_terms(spark, folder)
+    return jobs.top_pairs_by_period(lines, 10, stopwords=stopwords, prune=True)
+
+
+@query
+def top_pairs_by_source_unpruned(spark, folder):
+    """The same from the counts of all pairs, long lines spread over the tasks."""
+    lines = tokens.with_words(tables.document_lines(spark, folder), lower=True)
+    spread = 4 * spark.sparkContext.defaultParallelism
+    stopwords = _common_terms(spark, folder)
+    return jobs.top_pairs_by_period(lines, 10, stopwords=stopwords, spread=spread)
+
+
+@query
+def top_pairs_by_source_documents(spark, folder):
+    """Whole documents as the unit instead of lines."""
+    documents = tables.document_terms(spark, folder)
+    stopwords = _common_terms(spark, folder)
+    return jobs.top_pairs_by_period(documents, 10, stopwords=stopwords, prune=True)
 
 
 @query

@@ -15,9 +15,12 @@ TERMS_PER_PIECE = 64
 ENTRIES_PER_STRIPE = 10_000
 
 
-def _bag_pairs(
-    df: DataFrame, keys: Sequence[str], words: str, spread: int | None
-) -> DataFrame:
+def with_bags(df: DataFrame, keys: Sequence[str], words: str = "words") -> DataFrame:
+    """``<keys..., bag>``: the words of each row as sorted terms with multiplicities."""
+    return df.select(*keys, term_bag(F.col(words)).alias("bag"))
+
+
+def _bag_pairs(bags: DataFrame, keys: Sequence[str], spread: int | None) -> DataFrame:
     """``<keys..., a, b>``: bag entries of a line with a before b or a = b.
 
     Two generators in a row stream the pairs; no array of all pairs is built.
@@ -25,16 +28,14 @@ def _bag_pairs(
     are dealt out over that many partitions, because the work of a line grows
     with its square while its bytes do not.
     """
-    bags = df.select(*keys, term_bag(F.col(words)).alias("bag"))
     if spread is None:
         left = bags.select(*keys, "bag", F.posexplode_outer("bag").alias("i", "a"))
     else:
+        last = F.greatest(F.size("bag") - 1, F.lit(0))
         pieces = bags.select(
             *keys,
             "bag",
-            F.explode_outer(
-                F.sequence(F.lit(0), F.greatest(F.size("bag") - 1, F.lit(0)), F.lit(TERMS_PER_PIECE))
-            ).alias("at"),
+            F.explode_outer(F.sequence(F.lit(0), last, F.lit(TERMS_PER_PIECE))).alias("at"),
         ).repartition(spread, F.xxhash64("bag"), "at")
         left = pieces.select(
             *keys,
@@ -46,14 +47,10 @@ def _bag_pairs(
     return left.select(*keys, "a", F.explode_outer(rest).alias("b"))
 
 
-def unordered_pairs(
-    df: DataFrame,
-    keys: Sequence[str] = ("period",),
-    *,
-    words: str = "words",
-    spread: int | None = None,
+def bag_pairs(
+    bags: DataFrame, keys: Sequence[str], *, spread: int | None = None
 ) -> DataFrame:
-    """``<keys..., term1, term2, n>`` per line, term1 <= term2.
+    """``<keys..., term1, term2, n>`` per bag, term1 <= term2.
 
     ``n`` is the number of position pairs of the line that hold the two terms:
     the product of the multiplicities, or m (m - 1) / 2 for a term with itself.
@@ -63,12 +60,31 @@ def unordered_pairs(
         a["term"] == b["term"], (a["n"] * (a["n"] - 1) / 2).cast("bigint")
     ).otherwise(a["n"] * b["n"])
     return (
-        _bag_pairs(df, keys, words, spread)
+        _bag_pairs(bags, keys, spread)
         .select(*keys, a["term"].alias("term1"), b["term"].alias("term2"), n.alias("n"))
         .where(F.col("n") > 0)
     )
 
 
+def unordered_pairs(
+    df: DataFrame,
+    keys: Sequence[str] = ("period",),
+    *,
+    words: str = "words",
+    spread: int | None = None,
+) -> DataFrame:
+    """:func:`bag_pairs` of rows with a word array."""
+    return bag_pairs(with_bags(df, keys, words), keys, spread=spread)
+
+
+def count_pairs(
+    bags: DataFrame, keys: Sequence[str], *, spread: int | None = None
+) -> DataFrame:
+    """``<keys..., term1, term2, n>`` over all bags."""
+    pairs = bag_pairs(bags, keys, spread=spread)
+    return pairs.groupBy(*keys, "term1", "term2").agg(F.sum("n").alias("n"))
+
+
 def pair_counts(
     df: DataFrame,
     keys: Sequence[str] = ("period",),
@@ -77,8 +93,7 @@ def pair_counts(
     spread: int | None = None,
 ) -> DataFrame:
     """``<keys..., term1, term2, n>`` over all lines."""
-    pairs = unordered_pairs(df, keys, words=words, spread=spread)
-    return pairs.groupBy(*keys, "term1", "term2").agg(F.sum("n").alias("n"))
+    return count_pairs(with_bags(df, keys, words), keys, spread=spread)
 
 
 def directional_counts(
@@ -92,7 +107,7 @@ def directional_counts(
     """
     a, b = F.col("a"), F.col("b")
     both = (
-        _bag_pairs(df, (), words, spread)
+        _bag_pairs(with_bags(df, (), words), (), spread)
         .select(
             a["term"].alias("term1"),
             b["term"].alias("term2"),

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from textmine.functions.text import json_kv_line, strip, tokenize
 from textmine.operators import setjoin
-from textmine.operators.cooccurrence import directional_counts, pair_counts
+from textmine.operators.cooccurrence import count_pairs, directional_counts, with_bags
 from textmine.operators.counts import (
     corpus_totals,
     initial_letter_counts,
     term_period_counts,
 )
+from textmine.operators.promising import pair_order, promising_bags
 from textmine.operators.tokens import clean_words
 from textmine.operators.topk import top_k_per_group
 from textmine.operators.weights import tfidf
@@ -66,19 +67,24 @@ def top_pairs_by_period(
     stopwords: DataFrame | Iterable[str] | None = None,
     keys: Sequence[str] = ("period",),
     spread: int | None = None,
+    prune: bool = False,
     sort: bool = True,
 ) -> DataFrame:
     """``<period, term1, term2, n>``: the ``k`` most frequent pairs of each period.
 
     Stop words and words that do not start with a to z are left out. Pairs are
     unordered, term1 <= term2; equal counts rank by term1, term2. Set ``spread``
-    to a number of partitions if lines can be long.
+    to a number of partitions if lines can be long. ``prune`` leaves out, before
+    pairs are made, the terms that cannot be in any of the first ``k``: the same
+    result, for large vocabularies from far fewer pairs.
     """
     cleaned = clean_words(df, keys, stopwords=stopwords, lowercase_initial=True)
-    counted = pair_counts(cleaned, keys, spread=spread)
-    order = [F.desc("n"), F.col("term1"), F.col("term2")]
-    top = top_k_per_group(counted, keys, order, k)
-    return top.orderBy(*keys, *order) if sort else top
+    bags = with_bags(cleaned, keys)
+    if prune:
+        bags = promising_bags(bags, keys, k)
+    counted = count_pairs(bags, keys, spread=spread)
+    top = top_k_per_group(counted, keys, pair_order(), k)
+    return top.orderBy(*keys, *pair_order()) if sort else top
 
 
 def directional_cooccurrence(
