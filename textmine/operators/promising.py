@@ -52,7 +52,7 @@ def promising_bags(bags: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     join with the lines broadcasts them.
     """
     lines = materialize(
-        bags.where(F.col("bag").isNotNull()).select(
+        bags.select(
             F.monotonically_increasing_id().alias("line"),
             *keys,
             "bag",
