@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmine.functions.text import keep_words, starts_alphabetic, starts_lowercase, tokenize
+from textmine.sources.scratch import materialize
 
 # A stop-word list up to this length is put into the plan as literals. A longer
 # one is joined, so its size does not matter.
@@ -88,6 +89,11 @@ def clean_words(
     a long one the words are joined and gathered again per row; their order in
     the row is then lost, their multiplicity is not.
     """
+    if isinstance(stopwords, DataFrame):
+        # Written once: read for its length here and for its rows by the join,
+        # where the size of the table decides whether it is broadcast.
+        term = F.col(stopwords.columns[0]).alias("term")
+        stopwords = materialize(stopwords.select(term).distinct(), "stopwords")
     listed = short_list(stopwords) if stopwords is not None else []
     if listed is not None:
         kept = keep_words(F.col(words), lowercase_initial=lowercase_initial, stopwords=listed)
