@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tfidf(
-    counts: DataFrame,
-    n_periods: int | DataFrame,
-    *,
-    period: str = "period",
-) -> DataFrame:
+def tfidf(counts: DataFrame, n_periods: int | DataFrame) -> DataFrame:
     """Add ``df`` and ``weight = tf * log10(N / df)`` to ``<term, period, tf>`` rows.
 
-    The rows are unique per (term, period), so df is their number per term. A
-    window finds it with one shuffle of the counted rows, at most one per
-    period and term. They are partitioned by ranges of the term, which serves an
-    ordering by term afterwards as well. ``n_periods`` is a number or a one-row,
-    one-column frame.
+    The rows are unique per (term, period), so df is their number per term. It is
+    counted with partial sums and joined back: a term of very many periods is one
+    large join partition, which the adaptive skew join can split, where a window
+    would keep it in one task. ``n_periods`` is a number or a one-row, one-column
+    frame.
     """
     total = n_periods.scalar() if isinstance(n_periods, DataFrame) else F.lit(n_periods)
-    with_df = counts.repartitionByRange("term").withColumn("df", F.count(period).over(Window.partitionBy("term")))
-    return with_df.withColumn("weight", F.col("tf") * F.log10(total / F.col("df")))
+    # Using tf keeps it in this branch, so both branches are the same up to their
+    # shuffle and Spark computes it once.
+    frequency = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    return counts.join(frequency, "term").withColumn(
+        "weight", F.col("tf") * F.log10(total / F.col("df"))
+    )
