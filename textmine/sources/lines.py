@@ -38,15 +38,11 @@ def parse_dated_lines(
     is made up.
     """
     row_id = F.monotonically_increasing_id() if id_col is None else F.col(id_col)
-    text = dated_text(F.col(value))
-    return (
-        lines.select(
-            row_id.cast("bigint").alias("id"),
-            F.substring(F.col(value), 1, 4).alias("period"),
-            text.alias("text"),
-        )
-        .where(F.col("text").isNotNull())
-        .select("id", "period", tokenize(F.col("text"), tokenizer).alias("words"))
+    numbered = lines.select(row_id.cast("bigint").alias("id"), F.col(value).alias("line"))
+    return numbered.where(F.contains(F.col("line"), F.lit(FIELD_SEPARATOR))).select(
+        "id",
+        F.substring("line", 1, 4).alias("period"),
+        tokenize(dated_text(F.col("line")), tokenizer).alias("words"),
     )
 
 

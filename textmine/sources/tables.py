@@ -59,7 +59,8 @@ def dated_lines(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").select("p_partkey", "p_name")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
     named = (
-        items.join(parts, items.l_partkey == parts.p_partkey)
+        deal_out(items, "l_orderkey")
+        .join(parts, items.l_partkey == parts.p_partkey)
         .groupBy("l_orderkey")
         .agg(
             F.sort_array(
