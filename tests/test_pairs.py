@@ -116,6 +116,14 @@ def test_pruning_is_exact(random_lines, random_rows, k, monkeypatch):
     assert tuples(top_pairs_by_period(random_lines, k, prune=True)) == want
 
 
+def test_pruning_keeps_rows_without_a_period(spark):
+    rows = [(None, ["a", "b", "b"]), (None, ["a", "b"]), ("p", ["c", "d"]), ("p", None)]
+    df = spark.createDataFrame(rows, "period string, words array<string>")
+    want = [(None, "a", "b", 3), ("p", "c", "d", 1)]
+    assert tuples(top_pairs_by_period(df, 1)) == want
+    assert tuples(top_pairs_by_period(df, 1, prune=True)) == want
+
+
 def test_pruning_drops_terms(random_lines):
     from textmine.operators.promising import promising_bags
 

@@ -11,6 +11,7 @@ from textmine.functions.sets import prefix_length, short_prefix_length, size_ban
 from textmine.functions.text import id_pair_line
 from textmine.operators import ranking, setjoin
 from textmine.plans.jobs import jaccard_self_join
+from textmine.sources.scratch import materialize
 
 SCHEMA = "id bigint, period string, words array<string>"
 
@@ -132,6 +133,15 @@ def test_blocks_change_nothing(random_records, random_rows, monkeypatch):
     assert tuples(pairs) == brute(random_rows, 0.3)
 
 
+def test_candidate_join_is_a_merge_join(random_records):
+    records = materialize(setjoin.token_sets(random_records), "records")
+    sets = materialize(setjoin.distinct_sets(records), "sets")
+    ranks = materialize(setjoin.token_ranks(records), "ranks")
+    encoded = materialize(setjoin.encode_sets(records, sets, ranks), "encoded")
+    plan = setjoin.candidate_sets(encoded, ranks, 0.5)._jdf.queryExecution().executedPlan()
+    assert "SortMergeJoin" in plan.toString() and "BroadcastHashJoin" not in plan.toString()
+
+
 def test_compact_form_counts_copies(random_records, random_rows):
     similar = setjoin.similar_sets(random_records, 0.8, cross_period=False)
     other = similar.pairs.where("set1 <> set2").agg(F.sum(F.col("copies1") * F.col("copies2")))

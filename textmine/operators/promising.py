@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,11 @@ def pair_order() -> list[Column]:
     return [F.desc("n"), F.col("term1"), F.col("term2")]
 
 
+def _same(keys: Sequence[str]) -> Column:
+    """Equal keys of ``e`` and ``t``; rows without a period are a group as well."""
+    return reduce(and_, (F.col(f"e.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys))
+
+
 def _entries(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     return lines.select("line", *keys, "most", F.inline_outer("bag")).where(
         F.col("term").isNotNull()
@@ -37,8 +44,10 @@ def _entries(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _bags_of(entries: DataFrame, terms: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The bags again, with the listed terms only."""
+    e, t = entries.alias("e"), terms.alias("t")
     return (
-        entries.join(terms, [*keys, "term"])
+        e.join(t, _same(keys) & (F.col("e.term") == F.col("t.term")))
+        .select("e.*")
         .groupBy("line", *keys)
         .agg(F.sort_array(F.collect_list(F.struct("term", "n"))).alias("bag"))
         .select(*keys, "bag")
@@ -80,9 +89,10 @@ def promising_bags(bags: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
         .select(*keys, "floor")
     )
     kept = materialize(
-        bounds.join(floors, list(keys), "left")
+        bounds.alias("e")
+        .join(floors.alias("t"), _same(keys), "left")
         .where(F.col("bound") >= F.coalesce("floor", F.lit(0)))
-        .select(*keys, "term"),
+        .select(*(f"e.{k}" for k in keys), "term"),
         "kept",
     )
     return _bags_of(entries, kept, keys)

@@ -101,10 +101,14 @@ def clean_words(
 
     if not isinstance(stopwords, DataFrame):
         stopwords = df.sparkSession.createDataFrame([(w,) for w in stopwords], "term string")
-    numbered = df.select(
-        *keys,
-        F.monotonically_increasing_id().alias("_row"),
-        keep_words(F.col(words), lowercase_initial=lowercase_initial).alias("words"),
+    # The row numbers are written, as a retried task might deal them out anew.
+    numbered = materialize(
+        df.select(
+            *keys,
+            F.monotonically_increasing_id().alias("_row"),
+            keep_words(F.col(words), lowercase_initial=lowercase_initial).alias("words"),
+        ),
+        "words",
     )
     terms = numbered.select(*keys, "_row", F.explode_outer("words").alias("term"))
     return (
