@@ -11,13 +11,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm import bpe
+from textmine.llm import bpe, licenses
 from textmine.sources.tables import table
 
 #: Where the public tokenizer files lie; every node of a cluster needs no copy, the driver does.
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min("phrases.pos").alias("first_word"),
+        F.array_max("phrases.pos").alias("last_word"),
+        F.array_join(F.sort_array(F.array_distinct("phrases.label")), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """``<doc_id, n_tokens, ids_sha256, decoded_sha256>`` of every document."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -31,6 +46,7 @@ def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op7_bpe_round_trip": op7_bpe_round_trip,
 }
 
