@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm import bpe, licenses
+from textmine.llm import bpe, licenses, pii
 from textmine.sources.tables import table
 
 #: Where the public tokenizer files lie; every node of a cluster needs no copy, the driver does.
@@ -45,9 +45,32 @@ def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: counts and spans."""
+    found = pii.find_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    def count(kind: str) -> Column:
+        return (
+            F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        )
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.PATTERNS],
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "term")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {}
