@@ -7,10 +7,14 @@ text or word.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text that are worked on at once; a longer single text is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -141,3 +145,72 @@ def shingle_hashes(
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(who)
+
+
+def whole_groups(
+    batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 0
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches sorted by ``keys``: tables of whole groups, with the groups' bounds.
+
+    At most one group more than a batch (or ``rows``, if larger) is held.
+    """
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        bounds = group_bounds(table, keys)
+        if len(bounds) > 2:
+            last = int(bounds[-2])
+            yield table.slice(0, last), bounds[:-1]
+            held = table.slice(last).to_batches()
+            n = table.num_rows - last
+        else:
+            held = table.to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, group_bounds(table, keys)
+
+
+def group_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where runs of equal integer keys begin, and the number of rows."""
+    change = np.zeros(max(table.num_rows - 1, 0), bool)
+    for key in keys:
+        values = table.column(key).to_numpy()
+        change |= values[1:] != values[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
+
+
+def list_arrays(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a list column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = column.chunk(0)
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors import this package if it is not installed there.
+
+    The source files go out through Spark's own file server, once per application.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)

@@ -7,11 +7,13 @@ texts, spans and ids.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm import bpe, licenses, pii
+from textmine.llm import bpe, jaccard_join, licenses, pii
+from textmine.llm.common import ship_package
 from textmine.sources.tables import table
 
 #: Where the public tokenizer files lie; every node of a cluster needs no copy, the driver does.
@@ -33,6 +35,12 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents linked at a Jaccard similarity of 0.85 over four-word shingles."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard_join.similarity_classes(documents, k=4, share=(85, 100))
+
+
 def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """``<doc_id, n_tokens, ids_sha256, decoded_sha256>`` of every document."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -67,10 +75,25 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, folder)
+
+    return run
+
+
+_ALL: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
+    "op4_jaccard_join": op4_jaccard_join,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op10_personal_data": op10_personal_data,
 }
 
+QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
+
 ORACLES: dict[str, str] = {}
