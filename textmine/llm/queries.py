@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm import bpe, jaccard_join, licenses, pii
+from textmine.llm import bpe, jaccard_join, licenses, pii, suffix_dedup
 from textmine.llm.common import ship_package
 from textmine.sources.tables import table
 
@@ -20,6 +20,19 @@ from textmine.sources.tables import table
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated strings of 200 bytes removed from every document."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return suffix_dedup.remove_repeats(documents).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("runs").cast("long").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence phrases and notices of every document."""
     found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
@@ -88,6 +101,7 @@ def _shipped(query: Query) -> Query:
 
 
 _ALL: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_bpe_round_trip": op7_bpe_round_trip,
