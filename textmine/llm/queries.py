@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm import bpe, jaccard_join, licenses, pii, suffix_dedup
+from textmine.llm import bpe, jaccard_join, licenses, pii, suffix_dedup, vector_dedup
 from textmine.llm.common import ship_package
 from textmine.sources.tables import table
 
@@ -54,6 +54,13 @@ def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similarity_classes(documents, k=4, share=(85, 100))
 
 
+def op6_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors linked at a cosine of 0.95."""
+    return vector_dedup.near_vectors(
+        table(spark, folder, "embeddings").select("vec_id", "embedding")
+    )
+
+
 def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """``<doc_id, n_tokens, ids_sha256, decoded_sha256>`` of every document."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -104,6 +111,7 @@ _ALL: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_vector_dedup": op6_vector_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op10_personal_data": op10_personal_data,
 }
