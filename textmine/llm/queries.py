@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm import bpe, jaccard_join, licenses, pii, suffix_dedup, vector_dedup
+from textmine.llm import bpe, decontaminate, jaccard_join, licenses, pii, suffix_dedup, vector_dedup
 from textmine.llm.common import ship_package
 from textmine.sources.tables import table
 
@@ -54,6 +54,22 @@ def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similarity_classes(documents, k=4, share=(85, 100))
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """``<doc_id, item_id, score, question, answer, first_word>``: items found in documents."""
+    found = decontaminate.find_items(
+        table(spark, folder, "documents").select("doc_id", "text"),
+        table(spark, folder, "benchmark"),
+    )
+    return found.select("doc_id", F.explode("benchmark_items").alias("found")).select(
+        "doc_id",
+        "found.item_id",
+        "found.score",
+        "found.question",
+        "found.answer",
+        F.col("found.at").alias("first_word"),
+    )
+
+
 def op6_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors linked at a cosine of 0.95."""
     return vector_dedup.near_vectors(
@@ -111,6 +127,7 @@ _ALL: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_decontaminate": op5_decontaminate,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op10_personal_data": op10_personal_data,
