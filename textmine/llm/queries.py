@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm import bpe, decontaminate, jaccard_join, licenses, pii, suffix_dedup, vector_dedup
+from textmine.llm import bpe, decontaminate, jaccard_join, licenses, pii, quality, suffix_dedup, vector_dedup
 from textmine.llm.common import ship_package
 from textmine.sources.tables import table
 
@@ -89,6 +89,13 @@ def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """``<doc_id, junk, toxicity, kept>`` of every document."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    return quality.classify(documents, labels=labels).select("doc_id", "junk", "toxicity", "kept")
+
+
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document: counts and spans."""
     found = pii.find_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
@@ -130,6 +137,7 @@ _ALL: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op9_quality": op9_quality,
     "op10_personal_data": op10_personal_data,
 }
 
