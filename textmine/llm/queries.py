@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm import bpe, decontaminate, jaccard_join, licenses, pii, quality, suffix_dedup, vector_dedup
+from textmine.llm import bpe, decontaminate, html_text, jaccard_join, licenses, pii, quality, suffix_dedup, vector_dedup
 from textmine.llm.common import ship_package
 from textmine.sources.tables import table
 
@@ -48,6 +48,14 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Documents linked at a Jaccard similarity of 0.85 over four-word shingles."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -133,6 +141,7 @@ def _shipped(query: Query) -> Query:
 _ALL: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_html_text": op3_html_text,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
     "op6_vector_dedup": op6_vector_dedup,
