@@ -217,10 +217,24 @@ def revealing_terms(
         "id", "c.entity", "c.window", F.explode("c.terms").alias("t")
     )
     beside = beside.select("id", "entity", "window", "t.term", "t.start", "t.end")
+    total = df.agg(F.count(F.lit(1))).first()[0]
+    log_n = F.log(F.lit(float(max(total, 2))))
+    entity_df = (
+        found.select("id", F.explode(F.array_distinct("contexts.entity")).alias("entity"))
+        .groupBy("entity")
+        .agg(F.count(F.lit(1)).alias("of_entity"))
+    )
+    # A term beside entities in so many documents that it cannot reach the threshold
+    # for this entity is not counted over the corpus: its df is no smaller than that.
+    beside_df = beside.groupBy("term").agg(F.count_distinct("id").alias("near"))
+    most = F.log("both") + (1 - disclosure) * (log_n - F.log("of_entity")) + 1e-6
     pairs = materialize(
         beside.groupBy("entity", "term")
         .agg(F.count_distinct("window").alias("n"), F.count_distinct("id").alias("both"))
-        .where(F.col("n") >= support),
+        .where(F.col("n") >= support)
+        .join(entity_df, "entity")
+        .join(beside_df, "term")
+        .where(F.log("near") <= most),
         "term-pairs",
     )
     words = df.select(
@@ -231,17 +245,9 @@ def revealing_terms(
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("of_term"))
     )
-    entity_df = (
-        found.select("id", F.explode(F.array_distinct("contexts.entity")).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("of_entity"))
-    )
-    total = df.agg(F.count(F.lit(1))).first()[0]
-    log_n = F.log(F.lit(float(max(total, 2))))
     information = log_n - F.log("of_entity")
     scored = (
         pairs.join(term_df, "term")
-        .join(entity_df, "entity")
         .withColumn(
             "disclosure",
             (F.log("both") - F.log("of_term") + information)
