@@ -1,16 +1,82 @@
-"""The corpus pipeline: five filtering and rewriting stages over the documents."""
+"""The corpus pipeline: five stages over the documents, each on what the one before kept.
+
+Every stage but the last returns the columns of ``documents``. ``ORACLE_SQL`` is
+None, as SQL cannot express a trained classifier or byte-pair encoding; the tests
+hold the stages against brute force instead.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textmine.llm import bpe, decontaminate, jaccard_join, pii, quality
+from textmine.llm.common import ship_package
+from textmine.llm.queries import BYTE_BPE
+from textmine.sources.scratch import materialize
+from textmine.sources.tables import table
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are neither junk nor toxic."""
+    ship_package(spark)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return quality.classify(docs, labels=labels).where("kept").select(docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates.
+
+    Five-word shingles, similarity 0.8. Rows without an id cannot be told apart and stay.
+    """
+    ship_package(spark)
+    classes = jaccard_join.similarity_classes(docs, k=5, share=(80, 100))
+    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
+    single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.select(docs.columns).union(docs.where("doc_id is null"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ship_package(spark)
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("benchmark_items") == 0).select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced and their lengths brought up to date."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn(
+        "n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    )
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their token ids, and whether these decode to the text again."""
+    ship_package(spark)
+    both = bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE)
+    return both.select(
+        *docs.columns,
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        "token_ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes"),
+    )
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("personal data", personal_data),
+    ("BPE encoding and decoding", bpe_encoding),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Apply the stages to the documents, each one's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

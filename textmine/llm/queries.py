@@ -6,18 +6,21 @@ texts, spans and ids.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm import bpe, decontaminate, html_text, jaccard_join, licenses, pii, quality, suffix_dedup, vector_dedup
+from textmine.llm import bpe, decontaminate, html_text, jaccard_join, licenses, pii, quality, suffix_dedup, token_rollup, vector_dedup
 from textmine.llm.common import ship_package
+from textmine.sources.scratch import materialize, scratch_folder
 from textmine.sources.tables import table
 
 #: Where the public tokenizer files lie; every node of a cluster needs no copy, the driver does.
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+MULTI_BPE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,6 +100,44 @@ def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token totals after three batches, one of which is sent twice.
+
+    All documents are counted with one vocabulary; then exact copies (all but the
+    smallest id of a text) go; then what is not English is counted anew with a
+    vocabulary for many languages.
+    """
+    documents = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+
+    def counted(df: DataFrame, vocabulary: str) -> DataFrame:
+        return bpe.encode(df, vocabulary).select(
+            "doc_id",
+            "source",
+            "lang",
+            F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"),
+            F.size("token_ids").cast("long").alias("tokens"),
+            F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"),
+        )
+
+    first = materialize(counted(documents, BYTE_BPE), "token-counts")
+    again = counted(documents.where("lang != 'en'"), MULTI_BPE)
+    kept = first.groupBy("digest").agg(F.min("doc_id").alias("kept"))
+    copies = first.join(kept, "digest").where("doc_id > kept")
+    rest = kept.select("digest", F.col("kept").alias("doc_id"))
+    rollup = token_rollup.TokenRollup(
+        spark, f"{scratch_folder(spark)}/token-rollup-{uuid.uuid4().hex}"
+    )
+    old, new = "byte_bpe_50k", "byte_bpe_multi_50k"
+    rollup.apply("load", token_rollup.signed(first, 1, old))
+    rollup.apply("copies", token_rollup.signed(copies, -1, old))
+    rollup.apply("copies", token_rollup.signed(copies, -1, old))
+    revised = token_rollup.signed(
+        first.where("lang != 'en'").join(rest, ["digest", "doc_id"]), -1, old
+    ).union(token_rollup.signed(again.join(rest, ["digest", "doc_id"]), 1, new))
+    rollup.apply("revised", revised)
+    return rollup.totals()
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """``<doc_id, junk, toxicity, kept>`` of every document."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -146,6 +187,7 @@ _ALL: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_personal_data": op10_personal_data,
 }
