@@ -236,6 +236,13 @@ SELECT period, term, count(*) AS n FROM occ
 WHERE term NOT IN (SELECT term FROM common) GROUP BY period, term""",
     "drop_stopwords_list": f"""WITH {OCC}
 SELECT period, term, count(*) AS n FROM occ WHERE term NOT IN {STOP} GROUP BY period, term""",
+    "drop_long_stopwords": f"""WITH {OCC},
+rare AS (SELECT term FROM occ GROUP BY term HAVING count(DISTINCT id) = 1),
+placed AS (SELECT id, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM doc),
+kept AS (
+  SELECT id, string_agg(term, ' ' ORDER BY pos) AS words
+  FROM placed WHERE term NOT IN (SELECT term FROM rare) GROUP BY id)
+SELECT doc.id, coalesce(kept.words, '') AS words FROM doc LEFT JOIN kept ON kept.id = doc.id""",
     "keep_words_in_row": rf"""WITH {DOC_LINES}
 SELECT id, array_to_string(list_filter(string_split(value, ' '),
          lambda w: regexp_matches(w, '^[a-z]') AND w NOT IN {STOP}), ' ') AS words

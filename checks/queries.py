@@ -127,6 +127,17 @@ def drop_stopwords_list(spark, folder):
     return kept.groupBy("period", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def drop_long_stopwords(spark, folder):
+    """All terms of one document only, thousands of them, dropped inside the rows."""
+    documents = tables.document_terms(spark, folder)
+    rare = tokens.distinct_terms(documents, "id").groupBy("term").agg(F.count("id").alias("df"))
+    kept = tokens.clean_words(
+        documents, ("id",), stopwords=rare.where(F.col("df") == 1).select("term")
+    )
+    return kept.select("id", F.array_join("words", " ").alias("words"))
+
+
 @query
 def keep_words_in_row(spark, folder):
     """Stop words and the a-to-z rule applied inside the word arrays."""

@@ -69,8 +69,11 @@ def keep_words(
     lowercase_initial: bool = False,
     stopwords: Iterable[str] = (),
 ) -> Column:
-    """Filter a word array in place of the row; repeated words stay repeated."""
-    listed = list(stopwords)
+    """Filter a word array in place of the row; repeated words stay repeated.
+
+    Nulls among the stop words are ignored.
+    """
+    listed = [w for w in stopwords if w is not None]
     kept = words
     if listed:
         kept = F.filter(kept, lambda w: ~w.isin(listed))
@@ -105,7 +108,8 @@ def term_bag(words: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(words) > 0, bind(F.sort_array(words), runs))
+    known = F.array_compact(words)
+    return F.when(F.size(known) > 0, bind(F.sort_array(known), runs))
 
 
 def json_scalar(value: Column) -> Column:

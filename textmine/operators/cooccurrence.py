@@ -31,18 +31,22 @@ def _bag_pairs(bags: DataFrame, keys: Sequence[str], spread: int | None) -> Data
     if spread is None:
         left = bags.select(*keys, "bag", F.posexplode_outer("bag").alias("i", "a"))
     else:
-        last = F.greatest(F.size("bag") - 1, F.lit(0))
-        pieces = bags.select(
-            *keys,
-            "bag",
-            F.explode_outer(F.sequence(F.lit(0), last, F.lit(TERMS_PER_PIECE))).alias("at"),
-        ).repartition(spread, F.xxhash64("bag"), "at")
+        # Lines without words go first; a piece carries what follows its first
+        # term only, and pieces are dealt out evenly, however often a line repeats.
+        last = F.size("bag") - 1
+        pieces = (
+            bags.where(F.size("bag") > 0)
+            .select(
+                *keys,
+                "bag",
+                F.explode(F.sequence(F.lit(0), last, F.lit(TERMS_PER_PIECE))).alias("at"),
+            )
+            .select(*keys, F.slice("bag", F.col("at") + 1, F.size("bag")).alias("bag"))
+            .repartition(spread)
+        )
         left = pieces.select(
-            *keys,
-            "bag",
-            "at",
-            F.posexplode_outer(F.slice("bag", F.col("at") + 1, TERMS_PER_PIECE)).alias("k", "a"),
-        ).select(*keys, "bag", (F.col("at") + F.col("k")).alias("i"), "a")
+            *keys, "bag", F.posexplode(F.slice("bag", 1, TERMS_PER_PIECE)).alias("i", "a")
+        )
     rest = F.slice(F.col("bag"), F.col("i") + 1, F.size("bag"))
     return left.select(*keys, "a", F.explode_outer(rest).alias("b"))
 

@@ -45,7 +45,7 @@ def corpus_totals(lines: DataFrame, *, value: str = "value") -> DataFrame:
     text = F.col(value)
     totals = lines.select(
         F.char_length(text).alias("chars"),
-        F.size(tokenize(text, "whitespace")).alias("words"),
+        F.coalesce(F.array_size(tokenize(text, "whitespace")), F.lit(0)).alias("words"),
     ).agg(
         F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"),
         F.coalesce(F.sum("words"), F.lit(0)).alias("words"),

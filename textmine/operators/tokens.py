@@ -11,7 +11,7 @@ from textmine.functions.text import keep_words, starts_alphabetic, starts_lowerc
 from textmine.sources.scratch import materialize
 
 # A stop-word list up to this length is put into the plan as literals. A longer
-# one is joined, so its size does not matter.
+# one is joined. The result does not depend on it.
 MAX_INLINE_STOPWORDS = 5_000
 
 
@@ -53,26 +53,18 @@ def keep_alphabetic(terms: DataFrame, *, term: str = "term") -> DataFrame:
 def drop_stopwords(
     terms: DataFrame, stopwords: DataFrame | Iterable[str], *, term: str = "term"
 ) -> DataFrame:
-    """Anti join against the stop words.
+    """Anti join against the stop words; nulls among them are ignored.
 
-    A list is in the driver already and becomes a set lookup; a frame is joined,
-    broadcast by Spark only if its size is below the session's threshold.
+    A list of moderate length is a set lookup in the plan; a longer one or a frame
+    is joined, broadcast by Spark only if its size is below the session's threshold.
     """
-    if isinstance(stopwords, DataFrame):
-        unwanted = stopwords.select(F.col(stopwords.columns[0]).alias(term)).distinct()
-        return terms.join(unwanted, term, "left_anti").select(*terms.columns)
-    listed = list(stopwords)
-    return terms.where(~F.col(term).isin(listed)) if listed else terms
-
-
-def short_list(stopwords: DataFrame | Iterable[str]) -> list[str] | None:
-    """The stop words as a list, or None if there are too many for that."""
     if not isinstance(stopwords, DataFrame):
-        listed = list(stopwords)
-        return listed if len(listed) <= MAX_INLINE_STOPWORDS else None
-    column = stopwords.columns[0]
-    rows = stopwords.select(column).where(F.col(column).isNotNull()).take(MAX_INLINE_STOPWORDS + 1)
-    return [row[0] for row in rows] if len(rows) <= MAX_INLINE_STOPWORDS else None
+        listed = [w for w in stopwords if w is not None]
+        if len(listed) <= MAX_INLINE_STOPWORDS:
+            return terms.where(~F.col(term).isin(listed)) if listed else terms
+        stopwords = terms.sparkSession.createDataFrame([(w,) for w in listed], "term string")
+    unwanted = stopwords.select(F.col(stopwords.columns[0]).alias(term)).distinct()
+    return terms.join(unwanted, term, "left_anti").select(*terms.columns)
 
 
 def clean_words(
@@ -85,22 +77,29 @@ def clean_words(
 ) -> DataFrame:
     """``<keys..., words>`` without stop words, row by row.
 
-    With a short list the arrays are filtered in place and nothing moves. With
-    a long one the words are joined and gathered again per row; their order in
-    the row is then lost, their multiplicity is not.
+    Every row stays, also with no word left (an empty array); words keep their
+    order and multiplicity, however many stop words there are. The length of the
+    list only chooses the plan: a short one filters the arrays in place, a long
+    one is joined to the words, which are then put back in order.
     """
+    listed: list[str] | None = []
     if isinstance(stopwords, DataFrame):
         # Written once: read for its length here and for its rows by the join,
         # where the size of the table decides whether it is broadcast.
         term = F.col(stopwords.columns[0]).alias("term")
-        stopwords = materialize(stopwords.select(term).distinct(), "stopwords")
-    listed = short_list(stopwords) if stopwords is not None else []
+        stopwords = materialize(
+            stopwords.select(term).where(F.col("term").isNotNull()).distinct(), "stopwords"
+        )
+        rows = stopwords.take(MAX_INLINE_STOPWORDS + 1)
+        listed = [r[0] for r in rows] if len(rows) <= MAX_INLINE_STOPWORDS else None
+    elif stopwords is not None:
+        given = [w for w in stopwords if w is not None]
+        listed = given if len(given) <= MAX_INLINE_STOPWORDS else None
+        stopwords = given
     if listed is not None:
         kept = keep_words(F.col(words), lowercase_initial=lowercase_initial, stopwords=listed)
         return df.select(*keys, kept.alias("words"))
 
-    if not isinstance(stopwords, DataFrame):
-        stopwords = df.sparkSession.createDataFrame([(w,) for w in stopwords], "term string")
     # The row numbers are written, as a retried task might deal them out anew.
     numbered = materialize(
         df.select(
@@ -110,10 +109,16 @@ def clean_words(
         ),
         "words",
     )
-    terms = numbered.select(*keys, "_row", F.explode_outer("words").alias("term"))
-    return (
-        drop_stopwords(terms, stopwords)
-        .groupBy(*keys, "_row")
-        .agg(F.collect_list("term").alias("words"))
-        .select(*keys, "words")
+    terms = numbered.select("_row", F.posexplode_outer("words").alias("_at", "term"))
+    kept = (
+        drop_stopwords(terms.where(F.col("term").isNotNull()), stopwords)
+        .groupBy("_row")
+        .agg(F.array_sort(F.collect_list(F.struct("_at", "term"))).alias("_kept"))
+    )
+    return numbered.join(kept, "_row", "left").select(
+        *keys,
+        F.when(
+            F.col("words").isNotNull(),
+            F.coalesce(F.col("_kept.term"), F.array().cast("array<string>")),
+        ).alias("words"),
     )
