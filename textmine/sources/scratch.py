@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: dict[str, list[str]] = {}
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, else the context's own.
 
@@ -33,5 +38,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/textmine-{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the intermediate tables of this application; how many that were.
+
+    Frames that were built on them can no longer be computed, so call it when
+    their results are written. ``keep`` spares the first ones made.
+    """
+    made = _made.get(spark.sparkContext.applicationId, [])
+    gone, made[keep:] = made[keep:], []
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in gone:
+        files = java(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(java(path), True)
+    return len(gone)
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the intermediate tables made inside it."""
+    before = len(_made.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, keep=before)
