@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textmine.llm import bpe, decontaminate, html_text, jaccard_join, licenses, pii, quality, suffix_dedup, token_rollup, vector_dedup
 from textmine.llm.common import ship_package
+from textmine.llm.oracles import ORACLES
 from textmine.sources.scratch import materialize, scratch_folder
 from textmine.sources.tables import table
 
@@ -167,6 +168,8 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -193,5 +196,3 @@ _ALL: dict[str, Query] = {
 }
 
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
-
-ORACLES: dict[str, str] = {}
