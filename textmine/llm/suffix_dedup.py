@@ -86,7 +86,7 @@ def suffix_ranks(data: np.ndarray, remaining: np.ndarray) -> np.ndarray:
     """
     n = len(data)
     key = words_at(data)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
     depth, step = 8, 8
     sort_key = key[order]
@@ -108,7 +108,7 @@ def suffix_ranks(data: np.ndarray, remaining: np.ndarray) -> np.ndarray:
             return rank
         own = rank[order]
         sort_key = own * (n + 1) + rank[order + step]
-        by = np.argsort(sort_key, kind="stable")
+        by = np.argsort(sort_key)
         order, sort_key, own = order[by], sort_key[by], own[by]
         lead = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         base = own - np.repeat(lead, np.diff(np.append(lead, len(own))))
@@ -182,6 +182,21 @@ def window_digests(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.
     return a, span_hash(rolling(_OTHER_BYTES[data]), place, place + LENGTH)
 
 
+def context_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each context."""
+    a = span_hash(rolling(data), offsets[:-1], offsets[1:])
+    return a, span_hash(rolling(_OTHER_BYTES[data]), offsets[:-1], offsets[1:])
+
+
+def pick_contexts(
+    data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen contexts laid end to end."""
+    size = np.diff(offsets)[chosen]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(offsets[:-1][chosen] - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key = batch.column(0).to_numpy()
@@ -256,9 +271,21 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = b
             data, offsets = text_bytes(shard.column("context"))
             key, at = shard.column("key").to_numpy(), shard.column("at").to_numpy()
+            # Equal contexts are sorted once; every start in them repeats.
+            ids = np.stack(context_digests(data, offsets), 1)
+            _, lone, back, copies = np.unique(
+                ids, axis=0, return_index=True, return_inverse=True, return_counts=True
+            )
+            data, offsets = pick_contexts(data, offsets, lone)
             count = np.diff(offsets) - LENGTH + 1
             place, repeated, order, class_ = repeated_starts(data, offsets, count)
+            repeated |= np.repeat(copies > 1, count)
+            back = back.ravel()
             some, marks = _marks(repeated, count)
+            marked = np.full(len(count), -1)
+            marked[some] = np.arange(len(some))
+            some = np.flatnonzero(marked[back] >= 0)
+            marks = [marks[i] for i in marked[back[some]].tolist()]
             none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -271,7 +298,8 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["key", "at", "marks", "d1", "d2", "place"],
             )
-            cut = shard.column("salt").to_numpy() >= 0
+            key, at = key[lone], at[lone]
+            cut = shard.column("salt").to_numpy()[lone] >= 0
             if cut.any():
                 owner = np.repeat(np.arange(len(count)), count)
                 lead = order[np.concatenate([[True], class_[1:] != class_[:-1]])]
