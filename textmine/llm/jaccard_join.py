@@ -2,7 +2,7 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles. All sets
 are ordered alike, rare shingles first: by the number of shingles that share the
-upper 16 bits of their hash (65,536 counts over the whole corpus, whatever its
+upper 18 bits of their hash (262,144 counts over the whole corpus, whatever its
 size), then by hash. Two sets that are similar enough share one of their first
 few shingles, the prefix. Documents with equal prefix and size are one group,
 and the prefix join runs over groups; group pairs are filtered by size and by
@@ -42,7 +42,7 @@ from textmine.llm.components import connected_components
 from textmine.sources.scratch import materialize
 
 #: Upper bits of a hash that choose its frequency bucket.
-BUCKET_BITS = 16
+BUCKET_BITS = 18
 #: Sets in a block of a cell; sets with equal prefix and size in one group.
 BLOCK = 512
 GROUP_SETS = 256
@@ -85,7 +85,7 @@ def shingle_frequency(df: DataFrame, *, text: str, k: int) -> np.ndarray:
         .mapInArrow(count, "bucket long, n long")
         .groupBy("bucket")
         .agg(F.sum("n").alias("n"))
-        .toPandas()  # at most 65,536 rows of two numbers
+        .toPandas()  # at most 262,144 rows of two numbers
     )
     out = np.zeros(size, np.int64)
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
@@ -286,24 +286,18 @@ def similarity_classes(
     prefixes = filled.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = (
         groups.join(prefixes, "grp")
-        .select("gid", "m", "n", F.posexplode("prefix").alias("pos", "token"))
-        .select("token", "gid", "m", "n", "pos")
+        .select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+        .select("token", "gid", "n", "pos")
     )
     # Shingles in one group only are left out as soon as their list is complete.
     shared = materialize(
         postings.repartition("token").sortWithinPartitions("token").mapInArrow(
-            _shared_only, "token long, gid long, m long, n int, pos int"
+            _shared_only, "token long, gid long, n int, pos int, hub long, rows long"
         ),
         "postings",
     )
-    lists = shared.groupBy("token").agg(F.min("gid").alias("hub"), F.count(F.lit(1)).alias("rows"))
-    lists = materialize(lists, "lists")
-    homes = (
-        shared.join(lists, "token")
-        .groupBy("gid")
-        .agg(F.min("hub").alias("home"), F.first("m").alias("m"))
-    )
-    homes = materialize(homes, "homes")
+    homes = shared.groupBy("gid").agg(F.min("hub").alias("home"))
+    homes = materialize(homes.join(groups.select("gid", "m"), "gid"), "homes")
     blocks = homes.groupBy("home").agg(F.ceil(F.sum("m") / BLOCK).alias("blocks"))
     blocked = homes.join(blocks, "home").select(
         "gid",
@@ -313,8 +307,7 @@ def similarity_classes(
     blocked = materialize(blocked, "blocks")
     parts = F.ceil(F.col("rows") / LIST_ROWS).cast("int")
     placed = (
-        shared.drop("m")
-        .join(lists.select("token", "rows"), "token")
+        shared.drop("hub")
         .join(blocked.select("gid", "block"), "gid")
         .withColumn("part", F.expr(f"cast(pmod(xxhash64(gid, 1), {LIST_ROWS}) as int)") % parts)
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -337,21 +330,29 @@ def similarity_classes(
     )
     members = materialize(members.union(alone).distinct(), "members")
 
-    # Expand the groups to their sets, read from the texts again, and verify.
-    wanted = members.select("gid").distinct().join(sets, "gid").select("gid", "rep", "s1", "s2")
-    wanted = materialize(wanted, "wanted")
-    documents = df.select(F.col(id_col).cast("long").alias("id"), text).join(
-        wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"
+    # Pairs that share too few shingles of their prefixes go before whole sets are read.
+    near = (
+        members.join(groups.select("gid", "grp", "m"), "gid")
+        .join(prefixes, "grp")
+        .select("low", "high", "gid", "m", "n", "prefix")
+        .repartition("low", "high")
+        .sortWithinPartitions("low", "high")
+        .mapInArrow(_prefix_filter(share), "low long, high long, gid long")
     )
-    full = full_sets(documents, frequency, text=text, k=k)
+    # Expand the groups to their sets, read from the texts again, and verify.
     wanted = (
-        full.join(wanted, (full.id == wanted.rep) & (full.t1 == wanted.s1) & (full.t2 == wanted.s2))
-        .select("gid", "rep", "tokens")
-        .join(members, "gid")
-        .select("low", "high", "rep", "tokens")
+        sets.join(near, "gid")
+        .groupBy("rep", "s1", "s2")
+        .agg(F.collect_set(F.struct("low", "high")).alias("cells"))
     )
-    links = wanted.repartition("low", "high").sortWithinPartitions("low", "high").mapInArrow(
-        _verify(share), "a long, b long"
+    documents = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
+    links = (
+        documents.join(wanted, "rep")
+        .select("rep", "text", "s1", "s2", "cells")
+        .mapInArrow(_expand(frequency, k), "low long, high long, rep long, tokens array<long>")
+        .repartition("low", "high")
+        .sortWithinPartitions("low", "high")
+        .mapInArrow(_verify(share), "a long, b long")
     )
     found = connected_components(links)
     classes = sets.join(found, sets.rep == found.v, "left").select(
@@ -371,35 +372,97 @@ def similarity_classes(
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose token is also in a row beside theirs, from rows sorted by token."""
+    """Lists of more than one row, with their smallest member and their length."""
     for table, bounds in whole_groups(batches, ["token"]):
-        keep = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
-        yield from table.filter(pa.array(keep)).to_batches()
+        sizes = np.diff(bounds)
+        hub = np.minimum.reduceat(table.column("gid").to_numpy(), bounds[:-1])
+        table = table.append_column("hub", pa.array(np.repeat(hub, sizes)))
+        table = table.append_column("rows", pa.array(np.repeat(sizes, sizes)))
+        yield from table.filter(pa.array(np.repeat(sizes > 1, sizes))).to_batches()
+
+
+def _prefix_filter(share: tuple[int, int]):
+    """The members of each cell that share enough of their prefixes with another one."""
+    num, den = share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, ["low", "high"]):
+            n = table.column("n").to_numpy().astype(np.int64)
+            several = table.column("m").to_numpy() > 1  # a group of several sets is near itself
+            values, offsets = list_arrays(table.column("prefix"))
+            keep = several.copy()
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if b - a > 1:
+                    cell = offsets[a : b + 1]
+                    keep[a:b] |= near_prefixes(
+                        values[cell[0] : cell[-1]], cell - cell[0], n[a:b], num, den
+                    )
+            rows = table.filter(pa.array(keep)).select(["low", "high", "gid"])
+            yield from rows.to_batches()
+
+    return run
+
 
+def near_prefixes(
+    values: np.ndarray, offsets: np.ndarray, n: np.ndarray, num: int, den: int
+) -> np.ndarray:
+    """Whether each set can be similar to another one, judging by shared prefix shingles.
+
+    All shingles up to the earlier end of two prefixes are in both prefixes if
+    the sets share them; beyond it a set has no more than what follows its prefix.
+    """
+    _, token = np.unique(values, return_inverse=True)
+    rest = n - np.diff(offsets)
+    near = np.zeros(len(n), bool)
+    marked = np.zeros(int(token.max()) + 1 if len(token) else 1, np.int64)
+    for i in range(len(n) - 1):
+        own = token[offsets[i] : offsets[i + 1]]
+        marked[own] = 1
+        sums = np.concatenate([[0], np.cumsum(marked[token[offsets[i + 1] :]])])
+        marked[own] = 0
+        cuts = offsets[i + 1 :] - offsets[i + 1]
+        most = sums[cuts[1:]] - sums[cuts[:-1]] + np.maximum(rest[i], rest[i + 1 :])
+        found = np.flatnonzero(most * (num + den) >= num * (n[i] + n[i + 1 :])) + i + 1
+        if len(found):
+            near[i] = True
+            near[found] = True
+    return near
 
-def full_sets(documents: DataFrame, frequency: Broadcast, *, text: str, k: int) -> DataFrame:
-    """``<id, t1, t2, tokens>``: the whole set of every document, with its two hashes."""
+
+def _expand(frequency: Broadcast, k: int):
+    """The whole set of every document, once for each of its cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column("text"))
+            expected = [batch.column(c).to_numpy() for c in ("s1", "s2")]
+            cells = batch.column("cells").to_pylist()
+            reps = batch.column("rep").to_numpy()
             for a, b in pieces(offsets):
                 own = offsets[a : b + 1]
                 sets, bounds = ordered_sets(
                     data[own[0] : own[-1]], own - own[0], k, frequency.value
                 )
+                right = (_totals(mix(sets), bounds).view(np.int64) == expected[0][a:b]) & (
+                    _totals(mix(sets ^ _OTHER), bounds).view(np.int64) == expected[1][a:b]
+                )
+                row = np.array(
+                    [i for i in range(b - a) if right[i] for _ in cells[a + i]], np.int64
+                )
+                place = [c for i in range(b - a) if right[i] for c in cells[a + i]]
+                size = (bounds[1:] - bounds[:-1])[row]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                take = np.repeat(bounds[row] - ends[:-1], size) + np.arange(ends[-1])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(_totals(mix(sets), bounds).view(np.int64)),
-                        pa.array(_totals(mix(sets ^ _OTHER), bounds).view(np.int64)),
+                        pa.array([c["low"] for c in place], pa.int64()),
+                        pa.array([c["high"] for c in place], pa.int64()),
+                        pa.array(reps[a:b][row]),
                         pa.ListArray.from_arrays(
-                            pa.array(bounds.astype(np.int32)), sets.view(np.int64)
+                            pa.array(ends.astype(np.int32)), sets[take].view(np.int64)
                         ),
                     ],
-                    ["id", "t1", "t2", "tokens"],
+                    ["low", "high", "rep", "tokens"],
                 )
 
-    return documents.select("id", text).mapInArrow(
-        run, "id long, t1 long, t2 long, tokens array<long>"
-    )
+    return run
