@@ -316,12 +316,7 @@ counted AS (
 SELECT term, CAST(0 AS BIGINT) AS part,
        string_agg(other || ':' || n, ',' ORDER BY other) AS stripe
 FROM directed GROUP BY term""",
-    "stripes_merged": "WITH " + DATED + rf""",
-terms AS (
-  SELECT id, unnest(regexp_split_to_array(lower(value), {PUNCT})) AS term FROM lines),
-mult AS (SELECT id, term, count(*) AS m FROM terms WHERE term <> '' GROUP BY id, term)
-SELECT a.term, b.term AS other, CAST(sum(a.m * b.m) AS BIGINT) AS n
-FROM mult a JOIN mult b ON a.id = b.id AND a.term < b.term GROUP BY a.term, b.term""",
+    "stripes_merged": _directional(DATED) + " SELECT * FROM directed",
     "token_order": f"WITH {RANKED} SELECT token, freq FROM freq",
     "rarity_sorted": f"""WITH {RANKED}
 SELECT id, period, string_agg(token, ' ' ORDER BY pos) AS tokens FROM ranked GROUP BY id, period""",

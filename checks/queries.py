@@ -307,14 +307,14 @@ def stripes_text(spark, folder):
 
 @query
 def stripes_merged(spark, folder):
-    """One stripe per line and term, summed entry by entry."""
-    text = F.lower(strip(F.col("value")))
-    lines = tables.dated_lines(spark, folder).select(tokenize(text, "punct").alias("words"))
-    years = lines.withColumn("year", F.substring(F.get("words", F.lit(0)), 1, 4))
-    by_year = cooccurrence.pair_counts(years, ("year",)).where(F.col("term1") != F.col("term2"))
-    stripes = by_year.groupBy("year", F.col("term1").alias("term")).agg(
-        F.map_from_entries(F.collect_list(F.struct("term2", "n"))).alias("stripe")
-    )
+    """Directional stripes of every year, in parts of few entries, summed entry by entry."""
+    lines = tables.dated_lines(spark, folder).withColumn("year", F.substring("value", 1, 4))
+    years = [r["year"] for r in lines.select("year").distinct().orderBy("year").collect()]
+    stripes = None
+    for year in years:
+        counted = jobs.directional_cooccurrence(lines.where(F.col("year") == year), sort=False)
+        own = cooccurrence.as_stripes(counted, max_entries=20)
+        stripes = own if stripes is None else stripes.unionByName(own)
     return cooccurrence.merge_stripes(stripes)
 
 

@@ -13,6 +13,8 @@ from textmine.operators.cooccurrence import bag_pairs, with_bags
 from textmine.operators.counts import corpus_totals
 from textmine.operators.ranking import rarity_sorted
 from textmine.operators.setjoin import expand, similar_sets
+from textmine.plans.jobs import tfidf_lines
+from textmine.sources.lines import parse_dated_lines
 from textmine.sources.scratch import intermediate_tables, materialize
 
 from .conftest import tuples
@@ -85,3 +87,16 @@ def test_intermediate_tables_go(spark):
         path = kept.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
         assert os.path.isdir(path.replace("//", "/"))
     assert not os.path.isdir(path.replace("//", "/"))
+
+
+def test_period_of_a_short_first_field(spark):
+    lines = spark.createDataFrame([("99,aa bb",), ("20200101,cc",)], "value string")
+    by = {p: [r["period"] for r in parse_dated_lines(lines, period_from=p).collect()] for p in ("line", "field")}
+    assert by == {"line": ["99,a", "2020"], "field": ["99", "2020"]}
+
+
+def test_large_weights_are_plain_decimals(spark):
+    rows = [("a", "p", 12345678.5), ("b", "p", 30000000.0), ("c", "p", 1.25)]
+    lines = tfidf_lines(spark.createDataFrame(rows, "term string, period string, weight double"))
+    texts = [r["output"].partition("\t")[2] for r in lines.collect()]
+    assert texts == ['"p,12345678.5"', '"p,30000000.0"', '"p,1.25"']

@@ -32,7 +32,7 @@ def _tfidf(lines: DataFrame, args: argparse.Namespace) -> DataFrame:
 def _top_pairs(lines: DataFrame, args: argparse.Namespace) -> DataFrame:
     stopwords = read_stopwords(lines.sparkSession, args.stopwords)
     top = jobs.top_pairs_by_period(
-        parse_dated_lines(lines), args.k, stopwords=stopwords, prune=args.prune
+        parse_dated_lines(lines, period_from="field"), args.k, stopwords=stopwords, prune=args.prune
     )
     return top.select(period_pair_line(*(F.col(c) for c in top.columns)).alias("output"))
 

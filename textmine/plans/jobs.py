@@ -55,8 +55,11 @@ def tfidf_by_period(
 
 
 def tfidf_lines(weighted: DataFrame) -> DataFrame:
-    """``"term" TAB "period,weight"``, one string column."""
-    value = F.concat_ws(",", "period", F.col("weight").cast("string"))
+    """``"term" TAB "period,weight"``, one string column; large weights as plain decimals."""
+    shortest = F.col("weight").cast("string")
+    plain = F.regexp_replace(shortest.cast("decimal(38,10)").cast("string"), r"(\.\d+?)0+$", "$1")
+    weight = F.when(F.col("weight") >= 1e7, plain).otherwise(shortest)
+    value = F.concat_ws(",", "period", weight)
     return weighted.select(json_kv_line(F.col("term"), value).alias("output"))
 
 

@@ -29,19 +29,30 @@ def parse_dated_lines(
     value: str = "value",
     id_col: str | None = None,
     tokenizer: str = "space",
+    period_from: str = "line",
 ) -> DataFrame:
     """``<id: bigint, period: string, words: array<string>>`` from dated lines.
 
-    The period is the first four characters. Lines without a comma carry no
+    The period is the first four characters of the line, or of what stands before
+    the first comma with ``period_from="field"`` (they differ if that is shorter).
+    Lines without a comma carry no
     text and are left out; :func:`unparsed_lines` returns them. Without
     ``id_col`` a row number that is unique and increasing, but not consecutive,
     is made up.
     """
+    if period_from not in ("line", "field"):
+        raise ValueError(f"period_from must be 'line' or 'field', not {period_from!r}")
     row_id = F.monotonically_increasing_id() if id_col is None else F.col(id_col)
     numbered = lines.select(row_id.cast("bigint").alias("id"), F.col(value).alias("line"))
     return numbered.where(F.contains(F.col("line"), F.lit(FIELD_SEPARATOR))).select(
         "id",
-        F.substring("line", 1, 4).alias("period"),
+        F.substring(
+            F.col("line")
+            if period_from == "line"
+            else F.get(F.split("line", FIELD_SEPARATOR), F.lit(0)),
+            1,
+            4,
+        ).alias("period"),
         tokenize(dated_text(F.col("line")), tokenizer).alias("words"),
     )
 
