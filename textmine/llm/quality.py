@@ -11,7 +11,7 @@ If labelled documents are given, words and word beginnings that stand almost
 only in documents labelled toxic make up further labellers.
 
 Only counts of vote patterns (at most 3 to the power of the labellers) and a
-training sample of at most ``TRAIN_ROWS`` documents, chosen by a hash of the
+training sample of at most ``TRAIN_ROWS`` documents, chosen by a hash of id and
 text, reach the driver; labelling, counting and scoring cover all documents.
 
 Defined cases: a null, empty or blank text has a low-quality score of 1 and is
@@ -357,9 +357,12 @@ def fit(
         found = estimate(_patterns(codes, width), counts.to_numpy(float), 1.0)
         posterior[name] = dict(zip(codes.tolist(), found.tolist(), strict=True))
 
-    chosen = df.select(text)
+    chosen = df
     if total > train_rows:
-        chosen = chosen.where(F.abs(F.xxhash64(text) % total) < train_rows * 11 // 10).limit(train_rows)
+        # By id and text, so that a text with many copies is drawn as often as it stands.
+        drawn = F.xxhash64(*[c for c in (id_col, text) if c in df.columns])
+        chosen = df.where(F.pmod(drawn, F.lit(total)) < train_rows * 11 // 10).limit(train_rows)
+    chosen = chosen.select(text)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
