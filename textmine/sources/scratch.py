@@ -40,7 +40,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_folder(spark)}/textmine-{name}-{uuid.uuid4().hex}"
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete one table that :func:`materialize` returned, as nothing reads it any more."""
+    path = getattr(table, "_written_at", None)
+    if path:
+        _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession, keep: int = 0) -> int:
@@ -51,10 +65,8 @@ def release(spark: SparkSession, keep: int = 0) -> int:
     """
     made = _made.get(spark.sparkContext.applicationId, [])
     gone, made[keep:] = made[keep:], []
-    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for path in gone:
-        files = java(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(java(path), True)
+        _delete(spark, path)
     return len(gone)
 
 
