@@ -39,7 +39,7 @@ from textmine.llm.common import (
     word_hashes,
 )
 from textmine.llm.components import connected_components
-from textmine.sources.scratch import materialize
+from textmine.sources.scratch import discard, materialize
 
 #: Upper bits of a hash that choose its frequency bucket.
 BUCKET_BITS = 18
@@ -258,6 +258,14 @@ def similarity_classes(
         signatures(df, frequency, id_col=id_col, text=text, k=k, share=share), "signatures"
     )
     filled = signed.where("n > 0 and id is not null")
+    # The prefixes are kept once per group, and the rows without them.
+    prefixes = materialize(
+        filled.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")),
+        "prefixes",
+    )
+    rows = materialize(signed.drop("prefix"), "rows")
+    discard(signed)
+    signed, filled = rows, rows.where("n > 0 and id is not null")
 
     # One row per distinct set; many sets with equal prefix and size are several groups.
     sets = filled.groupBy("grp", "s1", "s2").agg(F.min("id").alias("rep"))
@@ -283,7 +291,6 @@ def similarity_classes(
         "sets",
     )
     groups = sets.groupBy("grp", "gid").agg(F.count(F.lit(1)).alias("m"))
-    prefixes = filled.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = (
         groups.join(prefixes, "grp")
         .select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -329,6 +336,7 @@ def similarity_classes(
         F.col("gid").alias("low"), F.col("gid").alias("high"), "gid"
     )
     members = materialize(members.union(alone).distinct(), "members")
+    discard(shared)
 
     # Pairs that share too few shingles of their prefixes go before whole sets are read.
     near = (
