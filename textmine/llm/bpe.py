@@ -36,7 +36,7 @@ WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 #: Chunks kept segmented in a worker; the table starts anew when it is full.
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 200_000
 #: Longer words are segmented one by one, as their many steps would hold up a batch.
 BATCH_WORD_BYTES = 64
 

@@ -43,7 +43,7 @@ from textmine.llm.common import (
 from textmine.llm.decontaminate import GAP
 
 #: Most documents that the scorers are trained on, and most labels that are looked at.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 5_000
 LABEL_ROWS = 10_000
 #: A telling word: share of its labelled documents that are toxic, and their number.
 TELLING_SHARE, TELLING_ROWS, TELLING_WORDS = 0.95, 8, 500
