@@ -200,6 +200,24 @@ def test_junk_and_toxic_documents_go(spark):
     assert quality.classify(frame.limit(0)).count() == 0
 
 
+def test_few_toxic_documents_of_a_large_corpus_go(spark):
+    """The sample holds one document in ten, and hardly a toxic one if drawn evenly."""
+    bad = ["zorgle", "flumpet", "gribbit", "snarvik"]
+    rows = [(i, f"{prose(RNG.randint(30, 60)).capitalize()}. {prose(12)}.") for i in range(3000)]
+    rows += [(3000 + i, f"{prose(25)} {RNG.choice(bad)} {RNG.choice(bad)} {prose(25)}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    told = [(i, int(i >= 3000)) for i in range(0, 3060, 2)]
+    labels = spark.createDataFrame(told, "doc_id long, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.classify(frame, labels=labels, train_rows=300).collect()}
+    assert sum(kept[i] for i in range(3001, 3060, 2)) <= 2  # none of them is labelled
+    assert sum(kept[i] for i in range(3000)) >= 2940
+
+
+def test_small_strata_are_drawn_whole():
+    share = quality.shares(np.array([9000, 20, 5, 600]), 1000)
+    assert share[1] == share[2] == 1 and abs(share @ [9000, 20, 5, 600] - 1000) < 1e-6
+
+
 def test_batches_count_once(spark, tmp_path):
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "rollup"))
     kind = "source string, lang string, tokens long, chars long, extra int"

@@ -4,15 +4,19 @@ Heuristic labellers vote on every document, for or against a class, or abstain.
 How often each one is right is not known; expectation maximisation estimates it
 from how the votes of all documents agree, and gives each pattern of votes a
 posterior probability. The posteriors then are the targets of a logistic
-regression on hashed words, word beginnings and word shapes, which scores all
-documents. Three classes are judged this way: texts full of marks, texts that
+regression on hashed words, word beginnings and word shapes, where a label, if
+there is one, takes the posterior's place. A document's score is the larger of
+the regression's and the posterior of its own votes. Three classes are judged this way: texts full of marks, texts that
 repeat themselves (both junk), and toxic ones; a document is kept if it is none.
 If labelled documents are given, words and word beginnings that stand almost
 only in documents labelled toxic make up further labellers.
 
 Only counts of vote patterns (at most 3 to the power of the labellers) and a
-training sample of at most ``TRAIN_ROWS`` documents, chosen by a hash of id and
-text, reach the driver; labelling, counting and scoring cover all documents.
+training sample of at most ``TRAIN_ROWS`` documents reach the driver; labelling,
+counting and scoring cover all documents. The sample is dealt over the patterns
+of votes and labels: rare ones are taken whole, frequent ones share the rest,
+each drawn by a hash of id and text. So the number of toxic documents in it does
+not fall as the corpus grows.
 
 Defined cases: a null, empty or blank text has a low-quality score of 1 and is
 not kept; texts are read whole; equal texts score alike; an empty table gives an
@@ -22,6 +26,7 @@ empty result; other columns are kept, those with the results' names replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -242,14 +247,15 @@ def _patterns(codes: np.ndarray, n: int) -> np.ndarray:
     return codes[:, None] // 3 ** np.arange(n) % 3
 
 
-def _train(owner, slot, value, target, n) -> np.ndarray:
+def _train(owner, slot, value, target, weight, n) -> np.ndarray:
     """Logistic regression by AdaGrad over batches of texts; the last weight is the offset."""
     size = (1 << HASH_BITS) + _EXTRA
     weights, seen = np.zeros(size + 1), np.full(size + 1, 1e-6)
     bounds = np.searchsorted(owner, np.arange(n + 1))  # the rows come text by text
     # Rare classes weigh as much as half of the common one.
-    share = max(target.mean() if n else 0.5, 1e-3)
-    scale = np.where(target > 0.5, min(0.5 / share, 8.0), 1.0)
+    share = max(np.average(target, weights=weight) if n else 0.5, 1e-3)
+    extra = max(min(0.5 / share, 8.0), 1.0)
+    scale = np.where(target > 0.5, extra, 1.0) * weight
     step = 64
     for epoch in range(EPOCHS):
         for a in np.random.default_rng(epoch).permutation(-(-n // step)) * step:
@@ -264,29 +270,53 @@ def _train(owner, slot, value, target, n) -> np.ndarray:
             weights[used] -= RATE * slope / np.sqrt(seen[used])
             seen[-1] += error.mean() ** 2
             weights[-1] -= RATE * error.mean() / np.sqrt(seen[-1])
+    weights[-1] -= np.log(extra)  # scores are probabilities again
     return weights
 
 
+class Model(NamedTuple):
+    """What scores a document: weights by class, telling words, posteriors by pattern of votes."""
+
+    weights: np.ndarray
+    known: np.ndarray
+    posterior: dict[str, np.ndarray]
+
+
+def shares(counts: np.ndarray, rows: int) -> np.ndarray:
+    """The share of each stratum to draw, so that about ``rows`` come from all: small ones whole."""
+    order = np.argsort(counts, kind="stable")
+    out, left = np.ones(len(counts)), float(rows)
+    for place, i in enumerate(order):
+        own = min(float(counts[i]), left / (len(counts) - place))
+        out[i] = own / max(counts[i], 1)
+        left -= own
+    return out
+
+
 def _each_piece(batch: pa.RecordBatch, text: str):
     data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
     for a, b in pieces(offsets):
         yield a, b, Features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
+def _labelled(labels: DataFrame, id_col: str) -> DataFrame:
+    """``<id, toxic>``: at most ``LABEL_ROWS`` of the labels, chosen by a hash of the id."""
+    return (
+        labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
+        .groupBy(id_col)
+        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .orderBy(F.xxhash64(id_col))
+        .limit(LABEL_ROWS)
+    )
+
+
 def telling_words(df: DataFrame, labels: DataFrame, *, text: str, id_col: str) -> np.ndarray:
     """Hashes of words and word beginnings that stand almost only in toxic documents.
 
-    ``labels`` has the ids and a 0/1 column ``toxic``; at most ``LABEL_ROWS`` of its
-    rows, chosen by a hash of the id, are joined to their documents.
+    ``labels`` is what ``_labelled`` gives.
     """
-    some = (
-        labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
-        .select(id_col, F.col("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64(id_col), "toxic")
-        .limit(LABEL_ROWS)
-    )
-    # The limit above bounds what is broadcast to two numbers a row.
-    rows = df.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(some), id_col)
+    # Its limit bounds what is broadcast to two numbers a row.
+    rows = df.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(labels), id_col)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,26 +355,39 @@ def fit(
     id_col: str = "doc_id",
     labels: DataFrame | None = None,
     train_rows: int = TRAIN_ROWS,
-) -> np.ndarray:
-    """Weights of the scorers, one row each."""
+) -> Model:
+    """The scorers' weights and the posteriors of the vote patterns."""
     known = np.zeros(0, np.uint64)
-    if labels is not None:
-        known = telling_words(df, labels, text=text, id_col=id_col)
+    # By id and text, so that a text with many copies is drawn as often as it stands.
+    drawn = F.xxhash64(*[c for c in (id_col, text) if c in df.columns])
+    if labels is None:
+        rows = df.select(F.col(text).alias("text"), F.lit(-1).alias("label"), drawn.alias("drawn"))
+    else:
+        some = _labelled(labels, id_col)
+        known = telling_words(df, some, text=text, id_col=id_col)
+        rows = (
+            df.select(F.col(id_col), F.col(text).alias("text"), drawn.alias("drawn"))
+            .join(F.broadcast(some), id_col, "left")
+            .select("text", F.coalesce("toxic", F.lit(-1)).alias("label"), "drawn")
+        )
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, own in _each_piece(batch, text):
+            for a, b, own in _each_piece(batch, "text"):
                 votes = own.votes(known)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_codes(votes[name])) for name in CLASSES], list(CLASSES)
+                    [*(pa.array(_codes(votes[name])) for name in CLASSES), batch.column(1)[a:b]],
+                    [*CLASSES, "label"],
                 )
 
     kinds = ", ".join(f"{name} long" for name in CLASSES)
+    strata = [*CLASSES, "label"]
     seen = (
-        df.select(text)
-        .mapInArrow(label, kinds)
-        .groupBy(*CLASSES)
+        rows.select("text", "label")
+        .mapInArrow(label, f"{kinds}, label int")
+        .groupBy(*strata)
         .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(*strata)
         .toPandas()  # vote patterns only
     )
     total = int(seen["n"].sum())
@@ -352,19 +395,31 @@ def fit(
     for name, width in CLASSES.items():
         counts = seen.groupby(name)["n"].sum()
         codes = counts.index.to_numpy(np.int64)
-        found = estimate(_patterns(codes, width), counts.to_numpy(float), 1.0)
-        posterior[name] = dict(zip(codes.tolist(), found.tolist(), strict=True))
+        posterior[name] = np.zeros(3**width)
+        posterior[name][codes] = estimate(_patterns(codes, width), counts.to_numpy(float), 1.0)
 
-    chosen = df
+    chosen = rows.select("text", "label")
+    part_of = np.ones(len(seen)) if total <= train_rows else shares(seen["n"].to_numpy(), train_rows * 10 // 11)
+    share = dict(zip(map(tuple, seen[strata].to_numpy(np.int64).tolist()), part_of.tolist(), strict=True))
     if total > train_rows:
-        # By id and text, so that a text with many copies is drawn as often as it stands.
-        drawn = F.xxhash64(*[c for c in (id_col, text) if c in df.columns])
-        chosen = df.where(F.pmod(drawn, F.lit(total)) < train_rows * 11 // 10).limit(train_rows)
-    chosen = chosen.select(text)
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b, own in _each_piece(batch, "text"):
+                    votes = own.votes(known)
+                    keys = np.stack(
+                        [*(_codes(votes[name]) for name in CLASSES), batch.column(1)[a:b].to_numpy()], 1
+                    )
+                    part = np.array([share[tuple(k)] for k in keys.tolist()])
+                    at = mix(batch.column(2)[a:b].to_numpy().view(np.uint64)) / 2.0**64
+                    where = pa.array(a + np.flatnonzero(at < part))
+                    yield batch.select([0, 1]).take(where)
+
+        chosen = rows.mapInArrow(draw, "text string, label int").limit(train_rows)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, own in _each_piece(batch, text):
+            for a, b, own in _each_piece(batch, "text"):
                 votes = own.votes(known)
                 owner, slot, value = own.rows()
                 order = np.argsort(owner, kind="stable")
@@ -374,51 +429,57 @@ def fit(
                     for column in (slot[order].astype(np.int32), value[order].astype(np.float32))
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(_codes(votes[name])) for name in CLASSES), *lists],
-                    [*CLASSES, "slot", "value"],
+                    [
+                        *(pa.array(_codes(votes[name])) for name in CLASSES),
+                        batch.column(1)[a:b],
+                        *lists,
+                    ],
+                    [*strata, "slot", "value"],
                 )
 
     sample = chosen.mapInArrow(
-        featurise, f"{kinds}, slot array<int>, value array<float>"
+        featurise, f"{kinds}, label int, slot array<int>, value array<float>"
     ).toArrow()  # at most train_rows rows
     n = sample.num_rows
     if not n:
-        return np.zeros((len(CLASSES), (1 << HASH_BITS) + _EXTRA + 1))
+        weights = np.zeros((len(CLASSES), (1 << HASH_BITS) + _EXTRA + 1))
+        return Model(weights, known, posterior)
     sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in sample.column("slot").chunks])
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     slot, value = (
         np.concatenate([list_arrays(c)[0] for c in sample.column(name).chunks])
         for name in ("slot", "value")
     )
-    return np.stack(
-        [
-            _train(
-                owner,
-                slot,
-                value,
-                np.array([posterior[name][c] for c in sample.column(name).to_pylist()]),
-                n,
-            )
-            for name in CLASSES
-        ]
-    )
-
-
-def score(df: DataFrame, weights: np.ndarray, *, text: str = "text") -> DataFrame:
+    targets = {name: posterior[name][sample.column(name).to_numpy()] for name in CLASSES}
+    given = sample.column("label").to_numpy()
+    targets["toxic"] = np.where(given >= 0, given, targets["toxic"])
+    # A text stands for those of its stratum that were not drawn.
+    keys = zip(*(sample.column(name).to_pylist() for name in strata), strict=True)
+    weight = np.array([1 / share[k] for k in keys])
+    weight /= weight.mean()
+    weights = np.stack([_train(owner, slot, value, targets[name], weight, n) for name in CLASSES])
+    return Model(weights, known, posterior)
+
+
+def score(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``df`` with ``junk`` and ``toxicity`` (0 to 1) and ``kept``."""
-    shared = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    shared = df.sparkSession.sparkContext.broadcast(
+        model._replace(weights=model.weights.astype(np.float32))
+    )
     rest = df.drop("junk", "toxicity", "kept")
     names = [c for c in rest.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, known, posterior = shared.value
         for batch in batches:
             out = np.zeros((len(CLASSES), batch.num_rows))
             for a, b, own in _each_piece(batch, text):
                 owner, slot, value = own.rows()
-                for k in range(len(CLASSES)):
+                votes = own.votes(known)
+                for k, name in enumerate(CLASSES):
                     z = np.bincount(owner, table[k][slot] * value, minlength=b - a) + table[k][-1]
-                    out[k, a:b] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+                    own_votes = posterior[name][_codes(votes[name])]
+                    out[k, a:b] = np.maximum(1 / (1 + np.exp(-np.clip(z, -50, 50))), own_votes)
                 out[0, a:b][own.words == 0] = 1.0
             junk, toxic = out[:2].max(0), out[2]
             kept = (junk < JUNK) & (toxic < TOXIC)
@@ -447,5 +508,5 @@ def classify(
     train_rows: int = TRAIN_ROWS,
 ) -> DataFrame:
     """Fit on ``df`` and score it."""
-    weights = fit(df, text=text, id_col=id_col, labels=labels, train_rows=train_rows)
-    return score(df, weights, text=text)
+    model = fit(df, text=text, id_col=id_col, labels=labels, train_rows=train_rows)
+    return score(df, model, text=text)
