@@ -136,6 +136,31 @@ def test_terms_that_disclose_an_entity(spark):
     assert pii.sanitise(frame.limit(0)).count() == 0
 
 
+def test_terms_anywhere_in_documents_with_the_entity(spark):
+    """A short name, and one with a digit, far from the address and at several places."""
+    far = " plain words about nothing in particular" * 5
+    told = [
+        (1, f"Bo came with r2d2.{far} write to ab@cd.ef about words"),
+        (2, f"ab@cd.ef is known for words.{far} bo, r2d2 and again BO"),
+    ]
+    common = [(100 + i, f"plain words about nothing in particular {i}") for i in range(40)]
+    frame = spark.createDataFrame(told + common, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(frame).collect()}
+    for i, text in told:
+        got = [text[s["start"] : s["end"]].lower() for s in spans[i] if s["kind"] == "term"]
+        assert got.count("bo") == i and got.count("r2d2") == 1 and "words" not in got
+    assert not any(spans[i] for i, _ in common)
+
+
+def test_sanitised_rows_without_or_with_equal_ids(spark):
+    rows = [(None, f"{'x ' * i}write to u{i}@cd.ef") for i in range(5)]
+    rows += [(7, "call me, a@b.cd"), (7, "b@c.de calls"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["text"] or "" for r in pii.sanitise(frame).collect())
+    wanted = [f"{'x ' * i}write to [EMAIL]" for i in range(5)]
+    assert got == sorted([*wanted, "call me, [EMAIL]", "[EMAIL] calls", ""])
+
+
 def test_licence_phrases_against_brute_force(spark, folder, rows):
     got = QUERIES["op2_license_scan"](spark, folder(documents=(rows, DOCUMENTS))).collect()
     found = {r["doc_id"]: r for r in got}

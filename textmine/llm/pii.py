@@ -1,23 +1,25 @@
 """Personal data: patterns, and terms that give a protected entity away.
 
 DataFrame functions only. E-mail addresses, IP addresses, card and phone
-numbers are the protected entities. Beside them, a term (a word near an entity)
-reveals it when knowing the term makes the entity far likelier. With document
-counts over the whole corpus, p(e) = df(e) / N and p(e|t) = df(t, e) / df(t), the
-disclosure of e by t is
+numbers are the protected entities. A term (a word of a document with an entity,
+wherever it stands outside entities) reveals it when knowing the term makes the
+entity far likelier. With counts over all different documents of the corpus,
+p(e) = df(e) / N and p(e|t) = df(t, e) / df(t), the disclosure of e by t is
 
     log(p(e|t) / p(e)) / log(1 / p(e)),
 
 the pointwise mutual information as a share of the entity's information: 1 if
 the term occurs with the entity only, 0 if it is independent of it. Terms at or
-above a threshold that are seen with the entity in several different contexts
-are spans of kind ``term``. Sanitising replaces entities by their kind and
-generalises or removes the terms.
+above a threshold that share documents with the entity in several different
+contexts of it are spans of kind ``term``, at all their places in all documents
+with the entity. Sanitising replaces entities by their kind and generalises or
+removes the terms.
 
 Defined cases: a null or empty text has no spans and stays as it is; texts are
-read whole; equal contexts count once, so copies of a document are no evidence;
-rows that share an id share their terms; an empty table gives an empty result.
-Positions are code points, ends exclusive.
+read whole; equal texts count once and have the same spans, whatever their ids,
+so copies of a document are no evidence; nor are documents that show an entity in
+the same contexts; an empty table gives an empty result. Positions are code
+points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -47,15 +49,15 @@ PATTERNS = {
 KINDS = [*PATTERNS, "term"]
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 
-#: Code points on either side of an entity in which terms are looked for.
+#: Code points on either side of an entity that tell its contexts apart.
 CONTEXT = 48
 #: Least share of an entity's information that a revealing term gives.
 DISCLOSURE = 0.9
-#: Different contexts in which a term must stand beside the entity.
+#: Different contexts of the entity in the documents that have the term.
 SUPPORT = 2
-#: Shortest term, in letters.
-TERM_LETTERS = 4
-TERM = rf"\p{{L}}{{{TERM_LETTERS},}}+"
+#: Letters, marks and digits make up a term; no shortest length.
+LETTER = r"\p{L}\p{M}\p{N}"
+TERM = rf"[{LETTER}]++"
 _CHUNK = 128
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -165,138 +167,145 @@ def entities(text: Column) -> Column:
     return F.concat(*kinds)
 
 
-def _context(text: Column, span: Column) -> Column:
-    """The terms around a span, with their places, and a hash of their window."""
+def _mention(text: Column, span: Column) -> Column:
+    """The entity of a span and a hash of the window around it."""
     first = F.greatest(span["start"] - CONTEXT, F.lit(0))
     left = F.substr(text, first + 1, span["start"] - first)
     right = F.substr(text, span["end"] + 1, F.lit(CONTEXT))
-    # A word that the window cuts is none.
-    terms = F.concat(
-        F.filter(matches(left, TERM, "term"), lambda t: (t["start"] > 0) | (first == 0)),
-        F.transform(
-            F.filter(
-                matches(right, TERM, "term"),
-                lambda t: (t["end"] < CONTEXT) | (span["end"] + CONTEXT >= F.length(text)),
-            ),
-            lambda t: F.struct(
-                t["kind"].alias("kind"),
-                (t["start"] + span["end"] - first).alias("start"),
-                (t["end"] + span["end"] - first).alias("end"),
-                t["value"].alias("value"),
-            ),
-        ),
-    )
     return F.struct(
         F.concat_ws(":", span["kind"], F.lower(span["value"])).alias("entity"),
         F.xxhash64(left, right).alias("window"),
-        F.transform(
-            terms,
-            lambda t: F.struct(
-                F.lower(t["value"]).alias("term"),
-                (t["start"] + first).alias("start"),
-                (t["end"] + first).alias("end"),
-            ),
-        ).alias("terms"),
     )
 
 
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
 def revealing_terms(
-    df: DataFrame,
-    found: DataFrame,
-    *,
-    text: str,
-    disclosure: float = DISCLOSURE,
-    support: int = SUPPORT,
+    found: DataFrame, *, disclosure: float = DISCLOSURE, support: int = SUPPORT
 ) -> DataFrame:
-    """``<id, start, end, disclosure>``: places of the terms that give an entity away.
+    """``<digest, terms>``: the terms of each document that give one of its entities away.
 
-    ``found`` holds the contexts per row. Terms with enough contexts are few; how many
-    documents have them is counted over the words of the whole corpus.
+    ``found`` holds mentions and distinct words of every different document.
     """
-    beside = found.select("id", F.explode("contexts").alias("c")).select(
-        "id", "c.entity", "c.window", F.explode("c.terms").alias("t")
+    mentions = (
+        found.select("digest", F.explode("mentions").alias("m"))
+        .groupBy("digest", "m.entity")
+        .agg(F.xxhash64(F.sort_array(F.collect_set("m.window"))).alias("evidence"))
     )
-    beside = beside.select("id", "entity", "window", "t.term", "t.start", "t.end")
-    total = df.agg(F.count(F.lit(1))).first()[0]
+    total = found.count()
     log_n = F.log(F.lit(float(max(total, 2))))
+    # An entity without enough contexts has no term with enough.
     entity_df = (
-        found.select("id", F.explode(F.array_distinct("contexts.entity")).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("of_entity"))
+        mentions.groupBy("entity")
+        .agg(F.count(F.lit(1)).alias("of_entity"), F.count_distinct("evidence").alias("contexts"))
+        .where(F.col("contexts") >= support)
     )
-    # A term beside entities in so many documents that it cannot reach the threshold
-    # for this entity is not counted over the corpus: its df is no smaller than that.
-    beside_df = beside.groupBy("term").agg(F.count_distinct("id").alias("near"))
-    most = F.log("both") + (1 - disclosure) * (log_n - F.log("of_entity")) + 1e-6
-    pairs = materialize(
-        beside.groupBy("entity", "term")
-        .agg(F.count_distinct("window").alias("n"), F.count_distinct("id").alias("both"))
-        .where(F.col("n") >= support)
-        .join(entity_df, "entity")
-        .join(beside_df, "term")
-        .where(F.log("near") <= most),
-        "term-pairs",
-    )
-    words = df.select(
-        F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("term")
+    holders = materialize(
+        mentions.join(entity_df.drop("contexts"), "entity"), "entity-documents"
     )
     term_df = (
-        words.join(pairs.select("term").distinct(), "term", "left_semi")
+        found.select(F.explode("words").alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("of_term"))
+        .where(F.col("of_term") >= support)
+    )
+    words = found.join(holders.select("digest").distinct(), "digest", "left_semi").select(
+        "digest", F.explode("words").alias("term")
     )
+    # df(t, e) is at most df(e), so a term in more documents than this cannot reach the threshold.
     information = log_n - F.log("of_entity")
+    most = F.log("of_entity") + (1 - disclosure) * information + 1e-6
+    together = materialize(
+        words.join(term_df, "term").join(holders, "digest").where(F.log("of_term") <= most),
+        "term-pairs",
+    )
     scored = (
-        pairs.join(term_df, "term")
+        together.groupBy("entity", "term")
+        .agg(
+            F.count(F.lit(1)).alias("both"),
+            F.count_distinct("evidence").alias("n"),
+            F.max("of_term").alias("of_term"),
+            F.max("of_entity").alias("of_entity"),
+        )
+        .where(F.col("n") >= support)
         .withColumn(
             "disclosure",
             (F.log("both") - F.log("of_term") + information)
             / F.greatest(information, F.lit(1e-9)),
         )
         .where(F.col("disclosure") >= disclosure)
-        .select("entity", "term", "disclosure")
+        .select("entity", "term")
+    )
+    return (
+        together.select("digest", "entity", "term")
+        .join(scored, ["entity", "term"], "left_semi")
+        .groupBy("digest")
+        .agg(F.collect_set("term").alias("terms"))
     )
-    return beside.join(scored, ["entity", "term"]).select("id", "start", "end", "disclosure")
 
 
-def find_personal_data(
-    df: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text: str = "text",
-    disclosure: float = DISCLOSURE,
-    support: int = SUPPORT,
-) -> DataFrame:
-    """``<id, spans: array<struct<kind, start, end>>>`` of every row, by kind, then start."""
-    content = F.coalesce(F.col(text), F.lit(""))
+def _spans(df: DataFrame, *, text: str, disclosure: float, support: int) -> DataFrame:
+    """``<__digest, spans>`` of every different text that has a span."""
+    plain = "array<struct<kind:string,start:int,end:int>>"
+    # What is no entity, with a blank in an entity's place.
+    gaps = F.transform("base", lambda s: s.withField("kind", F.lit("gap")))
+    words = F.split(redacted(F.col("content"), gaps), rf"[^{LETTER}]+")
     found = materialize(
-        df.select(F.col(id_col).alias("id"), content.alias("content"))
-        .select("id", "content", entities(F.col("content")).alias("base"))
+        df.select(_digest(text).alias("digest"), F.coalesce(text, F.lit("")).alias("content"))
+        .dropDuplicates(["digest"])
+        .select("digest", "content", entities(F.col("content")).alias("base"))
         .select(
-            "id",
+            "digest",
             F.transform("base", lambda s: s.dropFields("value")).alias("base"),
-            F.transform("base", lambda s: _context(F.col("content"), s)).alias("contexts"),
+            F.transform("base", lambda s: _mention(F.col("content"), s)).alias("mentions"),
+            F.filter(F.array_distinct(F.transform(words, F.lower)), lambda w: w != "").alias("words"),
+            F.when(F.size("base") > 0, F.col("content")).alias("content"),
         ),
         "personal-data",
     )
-    terms = (
-        revealing_terms(df, found, text=text, disclosure=disclosure, support=support)
-        .groupBy(F.col("id").alias("of"))
-        .agg(
-            F.array_sort(
-                F.collect_set(F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("end")))
-            ).alias("terms")
-        )
+    terms = revealing_terms(found, disclosure=disclosure, support=support).select(
+        F.col("digest").alias("__digest"), "terms"
     )
-    return found.join(terms, F.col("id").eqNullSafe(F.col("of")), "left").select(
-        F.col("id").alias(id_col),
+    own = found.where(F.size("base") > 0).select("digest", "base", "content")
+
+    def places(text: Column, terms: Column, base: Column) -> Column:
+        kept = F.filter(
+            matches(text, TERM, "term"),
+            lambda t: F.array_contains(terms, F.lower(t["value"]))
+            & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
+        )
+        return F.transform(kept, lambda s: s.dropFields("value")).cast(plain)
+
+    return own.join(terms, F.col("digest") == F.col("__digest"), "left").select(
+        F.col("digest").alias("__digest"),
         F.concat(
             "base",
-            F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int>>")),
+            F.when(
+                F.col("terms").isNotNull(), places(F.col("content"), F.col("terms"), F.col("base"))
+            ).otherwise(F.array().cast(plain)),
         ).alias("spans"),
     )
 
 
+def find_personal_data(
+    df: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text: str = "text",
+    disclosure: float = DISCLOSURE,
+    support: int = SUPPORT,
+) -> DataFrame:
+    """``<id, spans: array<struct<kind, start, end>>>`` of every row, by kind, then start."""
+    spans = _spans(df, text=text, disclosure=disclosure, support=support)
+    rows = df.select(F.col(id_col), _digest(text).alias("__of"))
+    return rows.join(spans, F.col("__of") == F.col("__digest"), "left").select(
+        id_col,
+        F.coalesce("spans", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("spans"),
+    )
+
+
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets, a term by nothing.
 
@@ -335,7 +344,7 @@ def redacted(text: Column, spans: Column) -> Column:
                     F.when(i == 0, 1).otherwise(1 - F.get(own, i - 1)["b"]),
                     s["a"] + F.when(i == 0, 0).otherwise(F.get(own, i - 1)["b"]),
                 ),
-                F.when(s["k"] == "term", "").otherwise(
+                F.when(s["k"] == "term", "").when(s["k"] == "gap", " ").otherwise(
                     F.concat(F.lit("["), F.upper(s["k"]), F.lit("]"))
                 ),
             ),
@@ -355,12 +364,13 @@ def sanitise(
     disclosure: float = DISCLOSURE,
     support: int = SUPPORT,
 ) -> DataFrame:
-    """``df`` with its texts redacted; rows without a span keep theirs. Ids must be unique."""
-    spans = find_personal_data(
-        df, id_col=id_col, text=text, disclosure=disclosure, support=support
-    ).where(F.size("spans") > 0)
-    spans = spans.select(F.col(id_col).alias("__of"), F.col("spans").alias("__spans"))
-    return df.join(spans, F.col(id_col).eqNullSafe(F.col("__of")), "left").select(
+    """``df`` with its texts redacted; rows without a span keep theirs.
+
+    Rows meet their spans by a digest of the text, so ids may be null or repeated.
+    """
+    spans = _spans(df, text=text, disclosure=disclosure, support=support)
+    spans = spans.select("__digest", F.col("spans").alias("__spans"))
+    return df.join(spans, _digest(text) == F.col("__digest"), "left").select(
         *[
             F.when(F.col("__spans").isNotNull(), redacted(F.col(text), F.col("__spans")))
             .otherwise(F.col(text))
