@@ -218,6 +218,26 @@ def test_small_strata_are_drawn_whole():
     assert share[1] == share[2] == 1 and abs(share @ [9000, 20, 5, 600] - 1000) < 1e-6
 
 
+def test_parts_of_a_benchmark_do_not_change_scores(spark, monkeypatch):
+    items = [(i, f"{prose(RNG.randint(6, 30))}. {prose(4)}.") for i in range(60)]
+    docs = [(i, f"{prose(50)} {items[i][1]} {prose(50)}") for i in range(60)]
+    docs += [(100 + i, items[i][1]) for i in range(60)]
+    benchmark = spark.createDataFrame([*items, (98, ""), (99, None)], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def found():
+        rows = decontaminate.find_items(frame, benchmark).collect()
+        return {
+            (r["doc_id"], f["item_id"]): (round(f["score"], 9), f["at"])
+            for r in rows
+            for f in r["benchmark_items"]
+        }
+
+    one = found()
+    monkeypatch.setattr(decontaminate, "PART_ITEMS", 16)
+    assert len(one) >= 120 and found() == one
+
+
 def test_batches_count_once(spark, tmp_path):
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "rollup"))
     kind = "source string, lang string, tokens long, chars long, extra int"

@@ -11,8 +11,10 @@ only blocks whose bound reaches the threshold are scored. A retrieved item
 counts if the word n-grams of its question (all sentences but the last) and of
 its answer (the last one) are both found in the passage to a given share.
 
-The index is handed to all executors in parts of at most ``PART_ITEMS`` items, so
-its size does not grow with the benchmark; more parts mean more passes.
+The index is handed to all executors in parts of about ``PART_ITEMS`` items, so
+its size does not grow with the benchmark; more parts mean more passes. Number of
+items, document frequencies, mean and greatest length are counted once over the
+whole benchmark, so results do not depend on the parts.
 
 Defined cases: a null or empty text has no passage; a null or wordless item is
 skipped; texts are read whole; repeated rows and items are found each; empty
@@ -23,6 +25,7 @@ is replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +78,21 @@ def _halves(text: str) -> tuple[str, str]:
     return " ".join(words[:at]), " ".join(words[at:])
 
 
+class Totals(NamedTuple):
+    """Number, mean length and greatest length of all items that have words."""
+
+    items: int
+    mean: float
+    longest: int
+
+
 class Index:
-    """BM25 shares of the items of one part, by term and by block."""
+    """BM25 shares of the items of one part, by term and by block.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``frequencies`` has the number of items of the whole benchmark for each term of the part.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], totals: Totals, frequencies: dict[int, int]):
         words = _words([t for _, t in items])
         keep = [i for i, w in enumerate(words) if len(w)]
         items, words = [items[i] for i in keep], [words[i] for i in keep]
@@ -87,15 +101,16 @@ class Index:
         self.items = [items[i] for i in order]
         words = [words[i] for i in order]
         n = len(words)
-        self.longest = max(map(len, words), default=1)
+        self.longest = totals.longest
         self.terms, flat = np.unique(np.concatenate(words or [np.zeros(0, np.uint64)]), return_inverse=True)
         owner = np.repeat(np.arange(n), list(map(len, words)))
         pair, tf = np.unique(flat * max(n, 1) + owner, return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
         df = np.bincount(term, minlength=len(self.terms))
         length = np.bincount(owner, minlength=n)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length.mean() if n else 1, 1)))
+        of_all = np.array([frequencies[t] for t in self.terms.view(np.int64).tolist()], float)
+        idf = np.log1p((totals.items - of_all + 0.5) / (of_all + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / totals.mean))
         impact /= np.bincount(item, impact, minlength=n)[item]
         self.posting_of = np.concatenate([[0], np.cumsum(df)])
         self.item, self.impact = item, impact
@@ -177,13 +192,41 @@ def find_items(
         F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")
     )
     parts = max(1, -(-items.count() // PART_ITEMS))
+    items = items.withColumn("part", F.expr(f"pmod(xxhash64(item, text), {parts})"))
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            words, _, _, owner = word_hashes(data, offsets, GAP)
+            sizes = np.bincount(owner, minlength=batch.num_rows)
+            pair = np.unique(np.stack([owner.astype(np.uint64), words], 1), axis=0)
+            of = pair[:, 0].astype(np.int64)
+            lead = np.concatenate([[True], of[1:] != of[:-1]])[: len(of)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(batch.column(1).to_numpy()[of]),
+                    pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64)),
+                    pa.array(np.where(lead, sizes[of], 0).astype(np.int64)),
+                ],
+                ["part", "term", "length"],
+            )
+
+    counted = items.select("text", "part").mapInArrow(terms, "part long, term long, length long")
+    # The first term of an item brings its length, the others none.
+    whole = counted.where("length > 0").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")
+    ).first()
+    totals = Totals(whole["n"], max(whole["mean"] or 1.0, 1.0), whole["longest"] or 1)
+    frequencies = counted.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     out = df.drop(result).withColumn(result, F.array().cast(FOUND))
     for part in range(parts):
-        # About PART_ITEMS rows: the part is chosen by a hash of the item.
-        own = items.where(F.expr(f"pmod(xxhash64(item, text), {parts}) = {part}")).collect()
-        out = _search_part(out, spark.sparkContext.broadcast(
-            Index([(r["item"], r["text"]) for r in own])
-        ), text, result, score, overlap)
+        # About PART_ITEMS rows, and the terms that stand in them.
+        own = items.where(F.col("part") == part).collect()
+        known = counted.where(F.col("part") == part).select("term").distinct()
+        there = frequencies.join(known, "term", "left_semi").toPandas()
+        known_df = dict(zip(there["term"].tolist(), there["n"].tolist(), strict=True))
+        index = Index([(r["item"], r["text"]) for r in own], totals, known_df)
+        out = _search_part(out, spark.sparkContext.broadcast(index), text, result, score, overlap)
     return out
 
 
