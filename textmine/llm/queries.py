@@ -13,15 +13,35 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm import bpe, decontaminate, html_text, jaccard_join, licenses, pii, quality, suffix_dedup, token_rollup, vector_dedup
+from textmine.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    jaccard_join,
+    licenses,
+    pii,
+    quality,
+    suffix_dedup,
+    token_files,
+    token_rollup,
+    vector_dedup,
+)
 from textmine.llm.common import ship_package
 from textmine.llm.oracles import ORACLES
 from textmine.sources.scratch import materialize, scratch_folder
 from textmine.sources.tables import table
 
-#: Where the public tokenizer files lie; every node of a cluster needs no copy, the driver does.
-BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
-MULTI_BPE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+def vocabulary_file(name: str) -> str:
+    """Where a public tokenizer's file lies on the driver; executors get its content."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+BYTE_BPE = vocabulary_file("byte_bpe_50k.json")
+MULTI_BPE = vocabulary_file("byte_bpe_multi_50k.tiktoken")
+WORD_BPE = vocabulary_file("word_bpe_49k.json")
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,6 +188,13 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents read back from the files that their token ids were written to."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    files = materialize(token_files.pack(documents, WORD_BPE), "token-files")
+    return token_files.unpack(files, with_ids=False)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +220,7 @@ _ALL: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_personal_data": op10_personal_data,
+    "op12_token_files": op12_token_files,
 }
 
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
