@@ -23,6 +23,7 @@ from textmine.llm import (
     quality,
     suffix_dedup,
     token_files,
+    token_links,
     token_rollup,
     vector_dedup,
 )
@@ -42,6 +43,7 @@ def vocabulary_file(name: str) -> str:
 BYTE_BPE = vocabulary_file("byte_bpe_50k.json")
 MULTI_BPE = vocabulary_file("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = vocabulary_file("word_bpe_49k.json")
+PIECE_BPE = vocabulary_file("piece_bpe_32k.model")
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -195,6 +197,12 @@ def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.unpack(files, with_ids=False)
 
 
+def op13_token_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in every document."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return token_links.align(documents, BYTE_BPE, PIECE_BPE).documents
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +229,7 @@ _ALL: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_personal_data": op10_personal_data,
     "op12_token_files": op12_token_files,
+    "op13_token_links": op13_token_links,
 }
 
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
