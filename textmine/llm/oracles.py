@@ -106,8 +106,32 @@ SELECT vec.id AS vec_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links,
        class.c AS component_id, class.c = vec.id AS kept
 FROM vec LEFT JOIN degree ON degree.id = vec.id JOIN class ON class.v = vec.id"""
 
+NEGATIVES = """WITH vec AS (
+  SELECT DISTINCT vec_id AS id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same,
+         CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM vec a JOIN vec b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)),
+positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+negative AS (
+  SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS place
+  FROM positive JOIN scored USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS "rank", negative_id,
+       positive_score, negative_score
+FROM negative WHERE place <= 10"""
+
 ORACLES = {
     "op2_license_scan": license_scan(),
     "op4_jaccard_join": JACCARD,
     "op6_vector_dedup": VECTORS,
+    "op11_hard_negatives": NEGATIVES,
 }

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from textmine.llm import (
     bpe,
     decontaminate,
+    hard_negatives,
     html_text,
     jaccard_join,
     licenses,
@@ -190,6 +191,15 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh label is moved by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select(
+        "vec_id", "embedding", moved.alias("label")
+    )
+    return hard_negatives.mine(vectors)
+
+
 def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents read back from the files that their token ids were written to."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -228,6 +238,7 @@ _ALL: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_personal_data": op10_personal_data,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_token_files": op12_token_files,
     "op13_token_links": op13_token_links,
 }
