@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import tuples
 from textmine.functions.text import period_pair_line
 from textmine.operators import cooccurrence as co
+from textmine.operators import promising
 from textmine.operators import tokens
 from textmine.operators.topk import top_k_per_group
 from textmine.plans.jobs import directional_cooccurrence, top_pairs_by_period
@@ -108,20 +109,70 @@ def test_spread_changes_nothing(random_lines, monkeypatch):
 
 
 @pytest.mark.parametrize("k", [1, 5, 100_000])
-def test_pruning_is_exact(random_lines, random_rows, k, monkeypatch):
-    from textmine.operators import promising
-
+@pytest.mark.parametrize("buckets", [None, 7, 64])
+def test_pruning_is_exact(random_lines, random_rows, k, buckets, monkeypatch):
     monkeypatch.setattr(promising, "SEED_TERMS", 4)
+    if buckets:  # with a pass over bucket sums, coarse or fine
+        monkeypatch.setattr(promising, "FEW_PAIRS", 0)
+        monkeypatch.setattr(promising, "BUCKETS", buckets)
     want = top(counted(random_rows), k)
     assert tuples(top_pairs_by_period(random_lines, k, prune=True)) == want
 
 
-def test_pruning_keeps_rows_without_a_period(spark):
+def test_buckets_give_a_floor_where_strong_terms_give_none(spark, monkeypatch):
+    """Six pairs of different terms: the two strongest terms form one pair, not three."""
+    monkeypatch.setattr(promising, "SEED_TERMS", 2)
+    rows = [("p", [f"a{i}", f"b{i}"]) for i in range(6) for _ in range(10 - i)]
+    df = spark.createDataFrame(rows, "period string, words array<string>")
+    bags = co.with_bags(df, ["period"])
+    _, floors = promising.promising_bags(bags, ["period"], 3)
+    assert floors.count() == 0
+    sums = promising.pair_buckets(co.bag_pairs(bags, ["period"]), ["period"])
+    assert tuples(promising.bucket_floors(sums, ["period"], 3)) == [("p", 8)]
+    monkeypatch.setattr(promising, "FEW_PAIRS", 0)
+    left = promising.promising_pairs(bags, ["period"], 3)
+    assert sorted(r[3] for r in tuples(left)) == [8, 9, 10]
+
+
+def test_pairs_of_light_buckets_are_not_counted(random_lines, monkeypatch):
+    monkeypatch.setattr(promising, "FEW_PAIRS", 0)
+    bags = co.with_bags(random_lines, ["period"])
+    left = promising.promising_pairs(bags, ["period"], 2).count()
+    assert left < co.bag_pairs(bags, ["period"]).count() / 10
+
+
+@pytest.mark.parametrize("copies", [1, 100_000])
+def test_copies_of_a_line_are_expanded_once(spark, copies):
+    words = ["a", "b", "b", "c"]
+    df = spark.range(copies).select(F.lit("p").alias("period"), F.array(*map(F.lit, words)).alias("words"))
+    bags = co.with_bags(df, ["period"])
+    assert tuples(co.line_pieces(bags, ["period"]).select("lines")) == [(copies,)]
+    assert co.bag_pairs(bags, ["period"]).count() == 4
+    want = [(*key, n * copies) for *key, n in counted([("p", words)])]
+    assert sorted(tuples(co.pair_counts(df))) == want
+    both = sorted(tuples(co.directional_counts(df)))
+    assert both == [(w, u, n * copies) for w, u, n in directed([words])]
+    assert tuples(top_pairs_by_period(df, 2)) == [("p", "a", "b", 2 * copies), ("p", "b", "c", 2 * copies)]
+
+
+def test_equal_ends_of_long_lines_are_one_piece(spark, monkeypatch):
+    monkeypatch.setattr(co, "TERMS_PER_PIECE", 2)
+    lines = [("p", list("abcdef")), ("p", list("zycdef"))] * 3
+    df = spark.createDataFrame(lines, "period string, words array<string>")
+    pieces = co.line_pieces(co.with_bags(df, ["period"]), ["period"])
+    found = {"".join(e.term for e in r.piece): r.lines for r in pieces.collect()}
+    assert found == {"abcdef": 3, "cdef": 3, "ef": 3, "cdefyz": 3, "efyz": 3, "yz": 3}
+    assert sorted(tuples(co.pair_counts(df))) == counted(lines)
+
+
+def test_pruning_keeps_rows_without_a_period(spark, monkeypatch):
     rows = [(None, ["a", "b", "b"]), (None, ["a", "b"]), ("p", ["c", "d"]), ("p", None)]
     df = spark.createDataFrame(rows, "period string, words array<string>")
     want = [(None, "a", "b", 3), ("p", "c", "d", 1)]
+    assert tuples(top_pairs_by_period(df, 1, prune=False)) == want
+    assert tuples(top_pairs_by_period(df, 1)) == want
+    monkeypatch.setattr(promising, "FEW_PAIRS", 0)
     assert tuples(top_pairs_by_period(df, 1)) == want
-    assert tuples(top_pairs_by_period(df, 1, prune=True)) == want
 
 
 def test_pruning_drops_terms(random_lines):
@@ -129,7 +180,8 @@ def test_pruning_drops_terms(random_lines):
 
     bags = co.with_bags(random_lines, ["period"])
     size = F.sum(F.size("bag"))
-    assert promising_bags(bags, ["period"], 1).agg(size).head()[0] < bags.agg(size).head()[0] / 2
+    reduced, _ = promising_bags(bags, ["period"], 1)
+    assert reduced.agg(size).head()[0] < bags.agg(size).head()[0] / 2
 
 
 @pytest.mark.parametrize("form", ["list", "frame", "long list", "long frame"])
@@ -161,7 +213,7 @@ def test_top_k_above_the_group_limit(spark, random_lines):
 
 
 def test_top_k_plan_limits_before_the_shuffle(cleaned):
-    plan = top_pairs_by_period(cleaned, 3)._jdf.queryExecution().executedPlan().toString()
+    plan = top_pairs_by_period(cleaned, 3, prune=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmine.functions.text import term_bag
 
-# Left-hand terms per piece when long lines are spread over tasks.
+# Left-hand terms per piece of a line.
 TERMS_PER_PIECE = 64
 # Entries a single stripe row may be expected to hold.
 ENTRIES_PER_STRIPE = 10_000
@@ -20,71 +20,102 @@ def with_bags(df: DataFrame, keys: Sequence[str], words: str = "words") -> DataF
     return df.select(*keys, term_bag(F.col(words)).alias("bag"))
 
 
-def _bag_pairs(bags: DataFrame, keys: Sequence[str], spread: int | None) -> DataFrame:
-    """``<keys..., a, b>``: bag entries of a line with a before b or a = b.
+def distinct_bags(bags: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``<keys..., bag, lines>``: equal bags of a group are one row, with their number.
+
+    Copies are combined before the shuffle, so a line that a third of the rows
+    repeat neither travels nor is expanded more than once per task.
+    """
+    return bags.groupBy(*keys, "bag").agg(_lines(bags).alias("lines"))
+
+
+def _lines(bags: DataFrame) -> Column:
+    return F.sum("lines") if "lines" in bags.columns else F.count(F.lit(1))
+
+
+def line_pieces(bags: DataFrame, keys: Sequence[str], *, combine: bool = True) -> DataFrame:
+    """``<keys..., piece, lines>``: pieces of bags, equal ones as one row with their number.
+
+    A piece is what follows a bag's left-hand terms, and they themselves; its pairs
+    are those of its first ``TERMS_PER_PIECE`` entries with all that follow. The work
+    of a line grows with its square while its bytes do not, so pieces, not lines, are
+    what the shuffle deals out. Without ``combine`` every piece stays a row of its own.
+    """
+    last = F.greatest(F.size("bag") - 1, F.lit(0))
+    carried = ["lines"] if "lines" in bags.columns else []
+    starts = bags.select(
+        *keys,
+        *carried,
+        "bag",
+        F.explode_outer(F.sequence(F.lit(0), last, F.lit(TERMS_PER_PIECE))).alias("at"),
+    )
+    pieces = starts.select(
+        *keys,
+        *(carried if carried or combine else [F.lit(1).cast("long").alias("lines")]),
+        F.slice("bag", F.col("at") + 1, F.size("bag")).alias("piece"),
+    )
+    return pieces.groupBy(*keys, "piece").agg(_lines(pieces).alias("lines")) if combine else pieces
+
+
+def _piece_pairs(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``<keys..., lines, a, b>``: entries of a piece with a before b or a = b.
 
     Two generators in a row stream the pairs; no array of all pairs is built.
-    With ``spread`` every bag is first cut into pieces of left-hand terms that
-    are dealt out over that many partitions, because the work of a line grows
-    with its square while its bytes do not.
     """
-    if spread is None:
-        left = bags.select(*keys, "bag", F.posexplode_outer("bag").alias("i", "a"))
-    else:
-        # Lines without words go first; a piece carries what follows its first
-        # term only, and pieces are dealt out evenly, however often a line repeats.
-        last = F.size("bag") - 1
-        pieces = (
-            bags.where(F.size("bag") > 0)
-            .select(
-                *keys,
-                "bag",
-                F.explode(F.sequence(F.lit(0), last, F.lit(TERMS_PER_PIECE))).alias("at"),
-            )
-            .select(*keys, F.slice("bag", F.col("at") + 1, F.size("bag")).alias("bag"))
-            .repartition(spread)
-        )
-        left = pieces.select(
-            *keys, "bag", F.posexplode(F.slice("bag", 1, TERMS_PER_PIECE)).alias("i", "a")
-        )
-    rest = F.slice(F.col("bag"), F.col("i") + 1, F.size("bag"))
-    return left.select(*keys, "a", F.explode_outer(rest).alias("b"))
+    left = pieces.select(
+        *keys,
+        "lines",
+        "piece",
+        F.posexplode_outer(F.slice("piece", 1, TERMS_PER_PIECE)).alias("i", "a"),
+    )
+    rest = F.slice(F.col("piece"), F.col("i") + 1, F.size("piece"))
+    return left.select(*keys, "lines", "a", F.explode_outer(rest).alias("b"))
 
 
 def bag_pairs(
-    bags: DataFrame, keys: Sequence[str], *, spread: int | None = None
+    bags: DataFrame,
+    keys: Sequence[str],
+    *,
+    spread: int | None = None,
+    combine: bool = True,
 ) -> DataFrame:
-    """``<keys..., term1, term2, n>`` per bag, term1 <= term2.
+    """``<keys..., term1, term2, n>`` of pieces of bags, term1 <= term2.
 
-    ``n`` is the number of position pairs of the line that hold the two terms:
-    the product of the multiplicities, or m (m - 1) / 2 for a term with itself.
+    ``n`` is the number of position pairs that hold the two terms: the product of
+    the multiplicities, or m (m - 1) / 2 for a term with itself, times the number of
+    lines with the piece. ``spread`` deals the pieces out anew over so many
+    partitions, whatever size Spark thinks they need.
     """
+    pieces = line_pieces(bags, keys, combine=combine)
+    if spread is not None:
+        pieces = pieces.repartition(spread)
     a, b = F.col("a"), F.col("b")
     n = F.when(
         a["term"] == b["term"], (a["n"] * (a["n"] - 1) / 2).cast("bigint")
     ).otherwise(a["n"] * b["n"])
     return (
-        _bag_pairs(bags, keys, spread)
-        .select(*keys, a["term"].alias("term1"), b["term"].alias("term2"), n.alias("n"))
+        _piece_pairs(pieces, keys)
+        .select(
+            *keys,
+            a["term"].alias("term1"),
+            b["term"].alias("term2"),
+            (n * F.col("lines")).alias("n"),
+        )
         .where(F.col("n") > 0)
     )
 
 
 def unordered_pairs(
-    df: DataFrame,
-    keys: Sequence[str] = ("period",),
-    *,
-    words: str = "words",
-    spread: int | None = None,
+    df: DataFrame, keys: Sequence[str] = ("period",), *, words: str = "words"
 ) -> DataFrame:
-    """:func:`bag_pairs` of rows with a word array."""
-    return bag_pairs(with_bags(df, keys, words), keys, spread=spread)
+    """``<keys..., term1, term2, n>``: the pairs of every row, row by row."""
+    return bag_pairs(with_bags(df, keys, words), keys, combine=False)
 
 
 def count_pairs(
     bags: DataFrame, keys: Sequence[str], *, spread: int | None = None
 ) -> DataFrame:
-    """``<keys..., term1, term2, n>`` over all bags."""
+    """``<keys..., term1, term2, n>`` over all bags; with ``lines``, each so many times."""
     pairs = bag_pairs(bags, keys, spread=spread)
     return pairs.groupBy(*keys, "term1", "term2").agg(F.sum("n").alias("n"))
 
@@ -106,17 +137,21 @@ def directional_counts(
     """``<term, other, n>``: how often ``other`` stands in lines that have ``term``.
 
     A line with the term counts once for it, however often the term is repeated;
-    ``other`` counts with its multiplicity. Both directions of a pair are added
-    up in one row and only the sums are turned into two rows.
+    ``other`` counts with its multiplicity. Equal pieces of lines are expanded once.
+    Both directions of a pair are added up in one row and only the sums are turned
+    into two rows.
     """
+    pieces = line_pieces(with_bags(df, (), words), ())
+    if spread is not None:
+        pieces = pieces.repartition(spread)
     a, b = F.col("a"), F.col("b")
     both = (
-        _bag_pairs(with_bags(df, (), words), (), spread)
+        _piece_pairs(pieces, ())
         .select(
             a["term"].alias("term1"),
             b["term"].alias("term2"),
-            a["n"].alias("n1"),
-            b["n"].alias("n2"),
+            (a["n"] * F.col("lines")).alias("n1"),
+            (b["n"] * F.col("lines")).alias("n2"),
         )
         .where(F.col("term1") != F.col("term2"))
         .groupBy("term1", "term2")

@@ -15,7 +15,7 @@ from textmine.operators.counts import (
     initial_letter_counts,
     term_period_counts,
 )
-from textmine.operators.promising import pair_order, promising_bags
+from textmine.operators.promising import pair_order, promising_pairs
 from textmine.operators.tokens import clean_words
 from textmine.operators.topk import top_k_per_group
 from textmine.operators.weights import tfidf
@@ -70,22 +70,25 @@ def top_pairs_by_period(
     stopwords: DataFrame | Iterable[str] | None = None,
     keys: Sequence[str] = ("period",),
     spread: int | None = None,
-    prune: bool = False,
+    prune: bool = True,
     sort: bool = True,
 ) -> DataFrame:
     """``<period, term1, term2, n>``: the ``k`` most frequent pairs of each period.
 
     Stop words and words that do not start with a to z are left out. Pairs are
-    unordered, term1 <= term2; equal counts rank by term1, term2. Set ``spread``
-    to a number of partitions if lines can be long. ``prune`` leaves out, before
-    pairs are made, the terms that cannot be in any of the first ``k``: the same
-    result, for large vocabularies from far fewer pairs.
+    unordered, term1 <= term2; equal counts rank by term1, term2. ``prune`` leaves
+    out, before pairs are counted, what cannot be among the first ``k``: the same
+    result from far fewer pairs. It writes intermediate tables when it is called;
+    without it every pair is counted, and nothing runs before an action. ``spread``
+    deals pieces of lines out over so many partitions.
     """
     cleaned = clean_words(df, keys, stopwords=stopwords, lowercase_initial=True)
     bags = with_bags(cleaned, keys)
     if prune:
-        bags = promising_bags(bags, keys, k)
-    counted = count_pairs(bags, keys, spread=spread)
+        pairs = promising_pairs(bags, keys, k, spread=spread)
+        counted = pairs.groupBy(*keys, "term1", "term2").agg(F.sum("n").alias("n"))
+    else:
+        counted = count_pairs(bags, keys, spread=spread)
     top = top_k_per_group(counted, keys, pair_order(), k)
     return top.orderBy(*keys, *pair_order()) if sort else top
 
