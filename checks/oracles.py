@@ -104,6 +104,22 @@ counted AS (
 {_top(k)}"""
 
 
+def _top_in_documents(k: int) -> str:
+    return f"""WITH {COMMON},
+bag AS (
+  SELECT id, period, term, count(*) AS m FROM occ
+  WHERE regexp_matches(term, '^[a-z]') AND term NOT IN (SELECT term FROM common)
+  GROUP BY id, period, term),
+pairs AS (
+  SELECT a.period, a.term AS term1, b.term AS term2,
+         CASE WHEN a.term = b.term THEN a.m * (a.m - 1) / 2 ELSE a.m * b.m END AS m
+  FROM bag a JOIN bag b ON a.id = b.id AND a.term <= b.term),
+counted AS (
+  SELECT period, term1, term2, CAST(sum(m) AS BIGINT) AS n FROM pairs
+  WHERE m > 0 GROUP BY period, term1, term2)
+{_top(k)}"""
+
+
 def _directional(source: str) -> str:
     return "WITH " + source + rf""",
 numbered AS (SELECT row_number() OVER () AS line, value FROM lines),
@@ -295,19 +311,7 @@ SELECT period, term1, term2, n FROM counted""",
 SELECT period || '    ' || term1 || ',' || term2 || ':' || n AS output FROM ({_top(20)})""",
     "top_pairs_by_source": _top_by_source(10),
     "top_pairs_by_source_unpruned": _top_by_source(10),
-    "top_pairs_by_source_documents": f"""WITH {COMMON},
-bag AS (
-  SELECT id, period, term, count(*) AS m FROM occ
-  WHERE regexp_matches(term, '^[a-z]') AND term NOT IN (SELECT term FROM common)
-  GROUP BY id, period, term),
-pairs AS (
-  SELECT a.period, a.term AS term1, b.term AS term2,
-         CASE WHEN a.term = b.term THEN a.m * (a.m - 1) / 2 ELSE a.m * b.m END AS m
-  FROM bag a JOIN bag b ON a.id = b.id AND a.term <= b.term),
-counted AS (
-  SELECT period, term1, term2, CAST(sum(m) AS BIGINT) AS n FROM pairs
-  WHERE m > 0 GROUP BY period, term1, term2)
-{_top(10)}""",
+    "top_pairs_by_source_documents": _top_in_documents(10),
     "directional_cooccurrence": _directional(DATED) + " SELECT * FROM directed",
     "directional_cooccurrence_turns": _directional(TURN_LINES) + " SELECT * FROM directed",
     "cooccurrence_lines": _directional(DATED)
@@ -317,6 +321,34 @@ SELECT term, CAST(0 AS BIGINT) AS part,
        string_agg(other || ':' || n, ',' ORDER BY other) AS stripe
 FROM directed GROUP BY term""",
     "stripes_merged": _directional(DATED) + " SELECT * FROM directed",
+    "stripes_in_batches": _directional(DATED) + " SELECT * FROM directed",
+    "repeated_lines": f"""WITH {PARSED},
+term AS (
+  SELECT id, period, unnest(words) AS term FROM parsed),
+mult AS (SELECT id, period, term, count(*) AS m FROM term GROUP BY id, period, term),
+bag AS (
+  SELECT id, period, string_agg(term || ':' || m, ' ' ORDER BY term) AS bag
+  FROM mult GROUP BY id, period)
+SELECT period, bag, count(*) AS lines FROM bag GROUP BY period, bag""",
+    "top_pairs_many": _top_in_documents(300),
+    "period_frequency_merged": f"""WITH {OCC},{TURNS.replace("doc AS", "turn AS")},
+every AS (SELECT term, period FROM occ UNION SELECT unnest(words), period FROM turn)
+SELECT term, count(DISTINCT period) AS df FROM every GROUP BY term""",
+    "tfidf_ordered_files": f"""WITH {_weights(N_PERIODS, 5)}
+SELECT row_number() OVER (ORDER BY term, period DESC) - 1 AS place,
+       term || ',' || period || ',' || weight AS value
+FROM weighted""",
+    "pairs_ordered_files": f"""WITH {_overlaps(DOC)}
+SELECT row_number() OVER (ORDER BY id1, id2) - 1 AS place,
+       '(' || id1 || ',' || id2 || ')    ' || round(sim, 6) AS value
+FROM sims WHERE sim >= 0.9""",
+    "top_pairs_ordered_files": f"""WITH {_cleaned('parsed')}{POSITIONS}
+SELECT row_number() OVER (ORDER BY period, n DESC, term1, term2) - 1 AS place,
+       period || '    ' || term1 || ',' || term2 || ':' || n AS value
+FROM ({_top(20)})""",
+    "dense_token_ranks": f"""WITH {RANKED}
+SELECT token, freq, CAST(row_number() OVER (ORDER BY freq, token) - 1 AS INTEGER) AS rank
+FROM freq WHERE freq > 1""",
     "token_order": f"WITH {RANKED} SELECT token, freq FROM freq",
     "rarity_sorted": f"""WITH {RANKED}
 SELECT id, period, string_agg(token, ' ' ORDER BY pos) AS tokens FROM ranked GROUP BY id, period""",

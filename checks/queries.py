@@ -199,6 +199,58 @@ def period_frequency(spark, folder):
     return counts.period_frequency(tables.document_terms(spark, folder))
 
 
+@query
+def period_frequency_merged(spark, folder):
+    """Number of periods of each term over two corpora, from the bitmaps of either."""
+    corpora = [tables.document_terms(spark, folder), _turns(spark, folder)]
+    numbers, bitmaps = None, []
+    for corpus in corpora:
+        counted = counts.term_period_counts(corpus)
+        numbers = materialize(counts.number_periods(counted.select("period"), numbers), "periods")
+        bitmaps.append(counts.period_bitmaps(counted, numbers))
+    return counts.bitmap_frequency(counts.merge_period_bitmaps(*bitmaps))
+
+
+@query
+def tfidf_ordered_files(spark, folder):
+    """Weights in their order: written as many text files, read back in file name order."""
+    path = f"{scratch_folder(spark)}/textmine-ordered-{uuid.uuid4().hex}"
+    weighted = _weights(spark, folder, beta=5.0, sort=False)
+    lines = weighted.select(
+        "term", "period", F.concat_ws(",", "term", "period", "weight").alias("output")
+    )
+    text_lines.write_ordered_lines(lines, path, ["term", F.desc("period")])
+    return text_lines.read_ordered_lines(spark, path)
+
+
+@query
+def pairs_ordered_files(spark, folder):
+    """Similar documents in the order of their ids, by way of text files."""
+    path = f"{scratch_folder(spark)}/textmine-ordered-{uuid.uuid4().hex}"
+    pairs = jobs.jaccard_self_join(tables.document_terms(spark, folder), 0.9, sort=False)
+    lines = pairs.select("id1", "id2", id_pair_line(F.col("id1"), F.col("id2"), F.round("sim", 6)).alias("output"))
+    text_lines.write_ordered_lines(lines, path, ["id1", "id2"])
+    return text_lines.read_ordered_lines(spark, path)
+
+
+@query
+def top_pairs_ordered_files(spark, folder):
+    """Top pairs in their order: period, then most frequent first."""
+    path = f"{scratch_folder(spark)}/textmine-ordered-{uuid.uuid4().hex}"
+    top = jobs.top_pairs_by_period(_dated(spark, folder), 20, sort=False)
+    lines = top.select("*", period_pair_line(*(F.col(c) for c in top.columns)).alias("output"))
+    order = ["period", F.desc("n"), "term1", "term2"]
+    text_lines.write_ordered_lines(lines, path, order)
+    return text_lines.read_ordered_lines(spark, path)
+
+
+@query
+def dense_token_ranks(spark, folder):
+    """Ranks without gaps of the tokens that records share, rarest first."""
+    records = setjoin.token_sets(tables.document_terms(spark, folder))
+    return setjoin.token_ranks(records)
+
+
 @query
 def tfidf_by_period(spark, folder):
     return _weights(spark, folder)
@@ -309,15 +361,45 @@ def stripes_text(spark, folder):
 def stripes_merged(spark, folder):
     """Directional stripes of every year, in parts of few entries, summed entry by entry."""
     lines = tables.dated_lines(spark, folder).withColumn("year", F.substring("value", 1, 4))
-    years = [r["year"] for r in lines.select("year").distinct().orderBy("year").collect()]
-    stripes = None
-    for year in years:
-        counted = jobs.directional_cooccurrence(lines.where(F.col("year") == year), sort=False)
-        own = cooccurrence.as_stripes(counted, max_entries=20)
-        stripes = own if stripes is None else stripes.unionByName(own)
+    counted = jobs.directional_cooccurrence(lines, keys=["year"], sort=False)
+    stripes = cooccurrence.as_stripes(counted, keys=["year"], max_entries=20)
     return cooccurrence.merge_stripes(stripes)
 
 
+@query
+def stripes_in_batches(spark, folder):
+    """Stored stripes after three batches; the last two years come with a year too many."""
+    lines = tables.dated_lines(spark, folder).withColumn("year", F.substring("value", 1, 4))
+    counted = materialize(
+        jobs.directional_cooccurrence(lines, keys=["year"], sort=False), "counts-by-year"
+    )
+    early, late = F.col("year") < "1995", F.col("year") >= "1997"
+    first = counted.where(early)
+    taken_back = first.withColumn("n", -F.col("n"))
+    batches = [first, counted.where(~early & ~late).union(first), counted.where(late).union(taken_back)]
+    stored = None
+    for batch in batches:
+        merged = cooccurrence.apply_deltas(stored, batch, max_entries=20)
+        stored = materialize(merged, "stripes")
+    return cooccurrence.stripes_to_rows(stored)
+
+
+@query
+def repeated_lines(spark, folder):
+    """Bags of dated lines, equal ones of a year as one row."""
+    bags = cooccurrence.with_bags(_dated(spark, folder), ["period"])
+    distinct = cooccurrence.distinct_bags(bags, ["period"])
+    terms = F.transform("bag", lambda e: F.concat_ws(":", e["term"], e["n"]))
+    return distinct.select("period", F.array_join(terms, " ").alias("bag"), "lines")
+
+
+@query
+def top_pairs_many(spark, folder):
+    """The 300 most frequent pairs of each source in whole documents, by bucket sums."""
+    documents = tables.document_terms(spark, folder)
+    return jobs.top_pairs_by_period(documents, 300, stopwords=_common_terms(spark, folder))
+
+
 # -- similarity join ----------------------------------------------------------
 
 

@@ -132,54 +132,139 @@ def pair_counts(
 
 
 def directional_counts(
-    df: DataFrame, *, words: str = "words", spread: int | None = None
+    df: DataFrame,
+    *,
+    keys: Sequence[str] = (),
+    words: str = "words",
+    spread: int | None = None,
 ) -> DataFrame:
-    """``<term, other, n>``: how often ``other`` stands in lines that have ``term``.
+    """``<keys..., term, other, n>``: how often ``other`` stands in lines that have ``term``.
 
     A line with the term counts once for it, however often the term is repeated;
     ``other`` counts with its multiplicity. Equal pieces of lines are expanded once.
     Both directions of a pair are added up in one row and only the sums are turned
     into two rows.
     """
-    pieces = line_pieces(with_bags(df, (), words), ())
+    pieces = line_pieces(with_bags(df, keys, words), keys)
     if spread is not None:
         pieces = pieces.repartition(spread)
     a, b = F.col("a"), F.col("b")
     both = (
-        _piece_pairs(pieces, ())
+        _piece_pairs(pieces, keys)
         .select(
+            *keys,
             a["term"].alias("term1"),
             b["term"].alias("term2"),
             (a["n"] * F.col("lines")).alias("n1"),
             (b["n"] * F.col("lines")).alias("n2"),
         )
         .where(F.col("term1") != F.col("term2"))
-        .groupBy("term1", "term2")
+        .groupBy(*keys, "term1", "term2")
         .agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
     )
     directed = F.array(
         F.struct(F.col("term1").alias("term"), F.col("term2").alias("other"), F.col("n2").alias("n")),
         F.struct(F.col("term2").alias("term"), F.col("term1").alias("other"), F.col("n1").alias("n")),
     )
-    return both.select(F.inline(directed))
+    return both.select(*keys, F.inline(directed))
 
 
-def as_stripes(counts: DataFrame, *, max_entries: int = ENTRIES_PER_STRIPE) -> DataFrame:
-    """``<term, part, stripe: map<string, bigint>>`` from ``<term, other, n>``.
+def as_stripes(
+    counts: DataFrame, *, keys: Sequence[str] = (), max_entries: int = ENTRIES_PER_STRIPE
+) -> DataFrame:
+    """``<keys..., term, part, stripe: map<string, bigint>>`` from ``<keys..., term, other, n>``.
 
     A term with up to ``max_entries`` partners has the one part 0. A term that
     goes with most of the vocabulary is cut into parts by a hash of the partner,
     so that no row and no task has to hold an unbounded map.
     """
-    sizes = counts.groupBy("term").agg(
+    sizes = counts.groupBy(*keys, "term").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(max_entries)).alias("parts")
     )
-    entries = F.sort_array(F.collect_list(F.struct("other", "n")))
+    return _stripes(counts.join(sizes, [*keys, "term"]), keys)
+
+
+def _stripes(entries: DataFrame, keys: Sequence[str], *carried: str) -> DataFrame:
+    """Stripes of ``<keys..., term, parts, other, n>``."""
+    listed = F.sort_array(F.collect_list(F.struct("other", "n")))
+    return (
+        entries.withColumn("part", _part_of("other", "parts"))
+        .groupBy(*keys, "term", *carried, "part")
+        .agg(F.map_from_entries(listed).alias("stripe"))
+    )
+
+
+def _part_of(other: str, parts: str) -> Column:
+    return F.pmod(F.xxhash64(other), F.col(parts))
+
+
+def apply_deltas(
+    stored: DataFrame | None, deltas: DataFrame, *, max_entries: int = ENTRIES_PER_STRIPE
+) -> DataFrame:
+    """Stored stripes after a batch of signed counts: ``<term, parts, part, stripe>``.
+
+    ``deltas`` is ``<term, other, n>`` with negative ``n`` for what is taken back; rows
+    may repeat a pair. Only parts that the batch touches are merged with it, entry by
+    entry; all others pass through as they are. Entries that sum to zero leave, and so
+    do parts without entries. A term keeps its number of parts until it would hold more
+    than twice ``max_entries`` in each; then the number doubles, which splits every part
+    in two by the same hash.
+
+    Write the result before the next batch; ``stored`` is None for the first one.
+    """
+    summed = deltas.groupBy("term", "other").agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+    arriving = summed.groupBy("term").agg(F.count(F.lit(1)).alias("new"))
+    if stored is None:
+        sizes = arriving.select("term", F.ceil(F.col("new") / max_entries).alias("parts"))
+        return _stripes(summed.join(sizes, "term"), (), "parts")
+
+    held = stored.groupBy("term", "parts").agg(F.sum(F.size("stripe")).alias("held"))
+    growth = arriving.join(held, "term", "left").select(
+        "term",
+        F.coalesce("parts", F.lit(0)).alias("before"),
+        (F.coalesce("held", F.lit(0)) + F.col("new")).alias("entries"),
+    )
+    full = F.col("entries") / (2 * max_entries * F.col("before"))
+    doubled = F.col("before") * F.pow(F.lit(2), F.greatest(F.ceil(F.log2(full)), F.lit(0)))
+    planned = growth.select(
+        F.col("term").alias("_term"),
+        "before",
+        F.when(F.col("before") == 0, F.ceil(F.col("entries") / max_entries))
+        .otherwise(doubled)
+        .cast("bigint")
+        .alias("after"),
+    )
+    # Parts of terms that get more of them are split; the others keep their rows.
+    named = stored.join(planned, F.col("term") == F.col("_term"), "left")
+    growing = F.coalesce(F.col("after") > F.col("parts"), F.lit(False))
+    staying = named.where(~growing).select("term", "parts", "part", "stripe")
+    split = _stripes(
+        named.where(growing).select(
+            "term", F.col("after").alias("parts"), F.explode("stripe").alias("other", "n")
+        ),
+        (),
+        "parts",
+    )
+    new = _stripes(
+        summed.join(planned, F.col("term") == F.col("_term")).select(
+            "term", F.col("after").alias("parts"), "other", "n"
+        ),
+        (),
+        "parts",
+    ).withColumnRenamed("stripe", "delta")
+    total = F.map_zip_with(
+        F.coalesce("stripe", F.map_from_arrays(F.array(), F.array()).cast("map<string, bigint>")),
+        "delta",
+        lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)),
+    )
+    merged = F.when(F.col("delta").isNull(), F.col("stripe")).otherwise(
+        F.map_filter(total, lambda _, n: n != 0)
+    )
     return (
-        counts.join(sizes, "term")
-        .withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts")))
-        .groupBy("term", "part")
-        .agg(F.map_from_entries(entries).alias("stripe"))
+        staying.unionByName(split)
+        .join(new, ["term", "parts", "part"], "full")
+        .select("term", "parts", "part", merged.alias("stripe"))
+        .where(F.size("stripe") > 0)
     )
 
 

@@ -13,6 +13,7 @@ from textmine.operators.cooccurrence import count_pairs, directional_counts, wit
 from textmine.operators.counts import (
     corpus_totals,
     initial_letter_counts,
+    term_and_period_counts,
     term_period_counts,
 )
 from textmine.operators.promising import pair_order, promising_pairs
@@ -40,14 +41,15 @@ def tfidf_by_period(
 ) -> DataFrame:
     """``<term, period, tf, df, weight>`` from ``<period, words>``.
 
-    ``n_periods`` defaults to the number of different periods of ``df``, counted
-    inside the same query from the period column alone. Rows with a weight below
-    ``beta`` are left out. Ordered by term, then period descending.
+    ``n_periods`` defaults to the number of different periods of ``df``, which
+    includes those of records without words and comes from the same reading of the
+    text. Rows with a weight below ``beta`` are left out. Ordered by term, then
+    period descending.
     """
-    total = n_periods
-    if total is None:
-        total = df.select("period").distinct().agg(F.count("period").alias("n"))
-    weighted = tfidf(term_period_counts(df), total)
+    if n_periods is None:
+        weighted = tfidf(*term_and_period_counts(df))
+    else:
+        weighted = tfidf(term_period_counts(df), n_periods)
     if beta is not None:
         weighted = weighted.where(F.col("weight") >= beta)
     weighted = weighted.select("term", "period", "tf", "df", "weight")
@@ -94,14 +96,19 @@ def top_pairs_by_period(
 
 
 def directional_cooccurrence(
-    lines: DataFrame, *, value: str = "value", spread: int | None = None, sort: bool = True
+    lines: DataFrame,
+    *,
+    value: str = "value",
+    keys: Sequence[str] = (),
+    spread: int | None = None,
+    sort: bool = True,
 ) -> DataFrame:
-    """``<term, other, n>``: lower-cased terms of the same line, both directions."""
+    """``<keys..., term, other, n>``: lower-cased terms of the same line, both directions."""
     text = F.lower(strip(F.col(value)))
     counted = directional_counts(
-        lines.select(tokenize(text, "punct").alias("words")), spread=spread
+        lines.select(*keys, tokenize(text, "punct").alias("words")), keys=keys, spread=spread
     )
-    return counted.orderBy("term", "other") if sort else counted
+    return counted.orderBy(*keys, "term", "other") if sort else counted
 
 
 def jaccard_self_join(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmine.functions.text import FIELD_SEPARATOR, tokenize
+from textmine.operators.numbering import number_by_part
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -72,3 +75,38 @@ def write_lines(
     """
     out = df.coalesce(1) if single_file else df
     out.write.mode(mode).text(path)
+
+
+def write_ordered_lines(
+    df: DataFrame,
+    path: str,
+    order: Sequence[str | Column],
+    *,
+    value: str = "output",
+    files: int | None = None,
+    mode: str = "errorifexists",
+) -> None:
+    """Write column ``value`` as text files whose names sort as the rows do.
+
+    The rows are dealt by ranges of ``order`` and sorted inside them, so the files in
+    name order, one after the other, are the sorted result, and no task holds more than
+    its range. ``files`` is the number of ranges, by default that of the session.
+    """
+    ranges = df.repartitionByRange(*([files] if files else []), *order)
+    ranges.sortWithinPartitions(*order).select(F.col(value)).write.mode(mode).text(path)
+
+
+def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``<place: bigint, value>``: lines with their place in all files in name order."""
+    lines = read_lines(spark, path).select(
+        "value",
+        F.concat_ws(
+            ":",
+            "_metadata.file_name",
+            F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
+        ).alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    return number_by_part(lines, "place")
+
+
