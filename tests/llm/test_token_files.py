@@ -84,6 +84,7 @@ def test_texts_of_all_kinds(spark, tmp_path):
         (5, "é É H̱ İ ẞ ΣΣ \U0001f600你好"),
         (6, "q" * 30_000 + " " + "long text " * 40_000),
         (9, "\x00\x1c\x85 control"),
+        (10, "İstanbul Été, ÆØÅ! ĲĲ. ŉ? ẞ ǅ ſ Ⱥ; K Å word... word.,x don't. 'S ß"),
     ]
     assert round_trip(spark, rows, tmp_path) == reference(sorted(rows))
 

@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 from textmine.llm.common import pieces, text_bytes
 
 #: Fragments kept by a worker; the table starts anew when it is full.
-KEPT_FRAGMENTS = 300_000
+KEPT_FRAGMENTS = 200_000
 #: Bytes of text that are cut at once; a longer single text is a piece of its own.
 CUT_BYTES = 8 << 20
 
@@ -62,12 +62,12 @@ def text_pieces(column: pa.Array, limit: int = CUT_BYTES) -> Iterator[tuple[int,
         yield first, whole.slice(first, last - first)
 
 
-def cut(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(number of each fragment's string, distinct strings, offsets of each text's fragments)."""
     lists = pc.split_pattern(texts, " ")
     offsets = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), offsets - offsets[0]
+    return coded.indices.to_numpy(), coded.dictionary, offsets - offsets[0]
 
 
 def gather(
@@ -76,5 +76,6 @@ def gather(
     """The runs ``which`` of ``flat``, one after the other, and where each begins."""
     length = sizes[which]
     ends = np.concatenate([[0], np.cumsum(length)])
-    place = np.repeat(firsts[which] - ends[:-1], length) + np.arange(ends[-1])
+    place = np.repeat(firsts[which] - ends[:-1], length)
+    place += np.arange(ends[-1])
     return flat[place], ends

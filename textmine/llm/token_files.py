@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmine.llm.fragments import (
@@ -49,6 +49,8 @@ from textmine.sources.scratch import materialize
 BLOCK, PERCENT = 512, 90
 #: Ids and documents after which a segment is closed.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 18, 1 << 16
+#: Bytes of text that are encoded at once; a longer single text is a piece of its own.
+CUT_BYTES = 2 << 20
 #: First bytes of a segment, which name its format.
 MAGIC = b"PFR1"
 
@@ -191,54 +193,123 @@ class Segment:
 # ---- texts to files and back
 
 
+#: Letters before closing punctuation. Letters that lower-casing makes two are left out.
+_WORD = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<close>[.,;:!?]*)$"
+#: Words that the library is given in one text.
+_TOGETHER = 256
+
+
 class _Ids:
-    """Token ids of texts by a tokenizer that drops white space."""
+    """Token ids of texts by a tokenizer that lower-cases, drops white space and marks word ends.
+
+    A fragment of letters and closing punctuation is a word and a mark, which the tokenizer
+    cuts apart as well; others are units of their own. Units are found by array operations,
+    and only those that the worker has not met go to the library.
+    """
 
     def __init__(self, tokenizer):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
         self.encode_batch = tokenizer.encode_batch_fast
-        self.known: dict[str, bytes] = {}
-
-    def _lookup(self, fragments: list[str]) -> list[bytes]:
-        known = self.known
-        new = [f for f in fragments if f not in known]
-        if new:
-            if len(known) + len(new) > KEPT_FRAGMENTS:
-                known.clear()
-                new = fragments
-            found = self.encode_batch(new, add_special_tokens=False)
-            for fragment, one in zip(new, found, strict=True):
-                known[fragment] = np.array(one.ids, np.uint32).tobytes()
-        return [known[f] for f in fragments]
+        # The same model without the steps that leave lower-case words of letters as they are.
+        bare = Tokenizer(tokenizer.model)
+        bare.pre_tokenizer = Sequence(
+            [WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.encode_words = bare.encode_batch_fast
+        size = tokenizer.get_vocab_size()
+        self.closes = np.array([tokenizer.id_to_token(i).endswith("</w>") for i in range(size)])
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+
+    def _single(self, texts: list[str]) -> list[bytes]:
+        found = self.encode_batch(texts, add_special_tokens=False)
+        return [np.array(one.ids, self.kind).tobytes() for one in found]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Words of letters only are encoded many in one text, and parted where a word ends."""
+        parts = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        found = self.encode_words([" ".join(p).lower() for p in parts], add_special_tokens=False)
+        width = self.kind.itemsize
+        out: list[bytes] = []
+        for part, one in zip(parts, found, strict=True):
+            ids = np.array(one.ids, self.kind)
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * width).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                out += [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+            else:
+                out += self._single(part)
+        return out
+
+    def forget(self) -> None:
+        """Give back the tables, as another stage may follow in the same worker."""
+        self.words, self.others = {}, {}
+        pa.default_memory_pool().release_unused()
+
+    @staticmethod
+    def _known(table: dict[str, bytes], units: list[str], encode) -> list[bytes]:
+        new = [u for u in units if u not in table]
+        if len(table) + len(new) > KEPT_FRAGMENTS:
+            table.clear()
+            new = units
+        table.update(zip(new, encode(new), strict=True))
+        return [table[u] for u in units]
 
     def encode(self, texts: pa.Array, end: int) -> list[bytes]:
-        """The ids of each text and the end id, as unsigned 32-bit integers."""
+        """The ids of each text and the end id, as unsigned integers of the vocabulary's width."""
         which, fragments, offsets = cut(pc.replace_substring(texts, "\n", " "))
-        coded = self._lookup(fragments)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join(coded), np.uint32)
-        ids, ends = gather(flat, np.cumsum(sizes) - sizes, sizes, which)
-        raw = ids.astype("<u4").tobytes()
-        close = struct.pack("<I", end)
-        bounds = (ends[offsets] * 4).tolist()
-        return [raw[a:b] + close for a, b in zip(bounds, bounds[1:], strict=False)]
+        parted = pc.extract_regex(fragments, _WORD)
+        plain = parted.is_valid().to_numpy(zero_copy_only=False)
+        parted = parted.drop_null()
+        words = pc.ascii_lower(pc.struct_field(parted, "word")).dictionary_encode()
+        marks = pc.struct_field(parted, "close").dictionary_encode()
+        others = fragments.filter(pa.array(~plain)).to_pylist()
+        units = [
+            *self._known(self.words, words.dictionary.to_pylist(), self._together),
+            *self._known(self.others, others, self._single),
+            *self._known(self.others, marks.dictionary.to_pylist(), self._single),
+            b"",
+        ]
+        n_words, n_others = len(words.dictionary), len(others)
+        pair = np.full((len(fragments), 2), len(units) - 1, np.int32)
+        pair[plain, 0] = words.indices.to_numpy()
+        pair[plain, 1] = marks.indices.to_numpy() + (n_words + n_others)
+        pair[~plain, 0] = n_words + np.arange(n_others)
+
+        width = self.kind.itemsize
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // width
+        flat = np.frombuffer(b"".join(units), self.kind)
+        ids, ends = gather(flat, np.cumsum(sizes) - sizes, sizes, pair[which].ravel())
+        raw = ids.tobytes()
+        close = np.array([end], self.kind).tobytes()
+        bounds = (ends[2 * offsets] * width).tolist()
+        return [raw[i:j] + close for i, j in zip(bounds, bounds[1:], strict=False)]
 
 
 def token_bytes(
     df: DataFrame, vocabulary: str, *, id_col: str, text: str, end: int
 ) -> DataFrame:
-    """``<doc, ids>``: ids as unsigned 32-bit integers. The tokenizer must drop white space."""
+    """``<doc, width, ids>``: ids as unsigned integers of ``width`` bytes.
+
+    The tokenizer must lower-case, drop white space and mark word ends by ``</w>``.
+    """
     content = share_file(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded("ids", content, lambda data: _Ids(load_tokenizer(data)))
         for batch in batches:
-            for first, texts in text_pieces(batch.column("text")):
+            for first, texts in text_pieces(batch.column("text"), CUT_BYTES):
                 ids = pa.array(own.encode(texts, end), pa.binary())
                 docs = batch.column("doc").slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([docs, ids], ["doc", "ids"])
+                width = pa.array(np.full(len(texts), own.kind.itemsize, np.int8))
+                yield pa.RecordBatch.from_arrays([docs, width, ids], ["doc", "width", "ids"])
+        own.forget()
 
     plain = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
-    return plain.mapInArrow(run, "doc long, ids binary")
+    return plain.mapInArrow(run, "doc long, width byte, ids binary")
 
 
 def pack(
@@ -260,32 +331,32 @@ def pack(
         before = segment = 0
         docs: list[int | None] = []
         held: list[bytes] = []
-        size = 0
+        size = width = 0
 
         def close() -> pa.RecordBatch:
-            sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
-            payload = encode_segment(docs, sizes, np.frombuffer(b"".join(held), "<u4"))
+            sizes = np.fromiter(map(len, held), np.int64, len(held)) // width
+            ids = np.frombuffer(b"".join(held), f"<u{width}")
+            payload = encode_segment(docs, sizes, ids)
             return pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([part], pa.int32()),
                     "segment": pa.array([segment], pa.int32()),
                     "before": [before],
                     "docs": [len(docs)],
-                    "tokens": [size // 4],
+                    "tokens": [size],
                     "payload": pa.array([payload], pa.binary()),
                 }
             )
 
         for batch in batches:
-            for doc, ids in zip(
-                batch.column("doc").to_pylist(), batch.column("ids").to_pylist(), strict=True
-            ):
+            width = batch.column("width")[0].as_py() if batch.num_rows else width
+            for doc, ids in zip(batch.column("doc").to_pylist(), batch.column("ids"), strict=True):
                 docs.append(doc)
-                held.append(ids)
-                size += len(ids)
-                if size >= 4 * SEGMENT_IDS or len(docs) >= SEGMENT_DOCS:
+                held.append(ids.as_py())
+                size += len(held[-1]) // width
+                if size >= SEGMENT_IDS or len(docs) >= SEGMENT_DOCS:
                     yield close()
-                    before, segment = before + size // 4, segment + 1
+                    before, segment = before + size, segment + 1
                     docs, held, size = [], [], 0
         if docs:
             yield close()
@@ -302,7 +373,7 @@ def pack(
     return (
         rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select("doc", "ids")
+        .select("doc", "width", "ids")
         .mapInArrow(
             run,
             "part int, segment int, before long, docs long, tokens long, payload binary",
@@ -317,11 +388,12 @@ def unpack(segments: DataFrame, *, id_col: str = "doc_id", with_ids: bool = True
     the ids themselves.
     """
     # One row per part, of which there are as many as the write had tasks.
-    sums = segments.groupBy("part").agg(F.sum("tokens").alias("all"))
-    parts = sums.select(
-        "part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("first")
-    )
-    placed = segments.join(parts, "part").select(
+    spark = segments.sparkSession
+    sums = segments.groupBy("part").agg(F.sum("tokens").alias("all")).orderBy("part").collect()
+    firsts = np.cumsum([0, *(r["all"] for r in sums)]).tolist()
+    rows = [(r["part"], first) for r, first in zip(sums, firsts, strict=False)]
+    parts = spark.createDataFrame(rows, "part int, first long")
+    placed = segments.join(F.broadcast(parts), "part").select(
         (F.col("first") + F.col("before")).alias("start"), "payload"
     )
     names = [id_col, "start", "n_tokens", "ids_crc32"] + ["token_ids"] * with_ids

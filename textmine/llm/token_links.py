@@ -35,6 +35,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,26 +125,37 @@ class Aligner:
         self.same = identity_map(a, b, bytewise)
         self.known: dict[str, tuple] = {}
 
+    def forget(self) -> None:
+        """Give back the table, as another stage may follow in the same worker."""
+        self.known = {}
+        pa.default_memory_pool().release_unused()
+
     def _learn(self, fragments: list[str]) -> None:
         """Tokens, groups and links of new fragments, each with a space before it."""
         spaced = [" " + f for f in fragments]
-        ids_a = [e.ids for e in self.encode_a(spaced, add_special_tokens=False)]
-        ids_b = self.encode_b(fragments)
         raw = [s.encode() for s in spaced]
-        fine = []
-        for i, want in enumerate(raw):
-            for ids, pool in ((ids_a[i], self.a), (ids_b[i], self.b)):
-                if pool.sizes[ids].sum() != len(want):
-                    break
-            else:
-                fine.append(i)
-        sizes = np.array([len(raw[i]) for i in fine], np.int64)
-        data = np.frombuffer(b"".join([raw[i] for i in fine]), np.uint8)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        given = (
+            ([e.ids for e in self.encode_a(spaced, add_special_tokens=False)], self.a),
+            (self.encode_b(fragments), self.b),
+        )
+        # Fragments whose tokens have as many bytes can be compared byte by byte.
+        fine = np.ones(len(raw), bool)
+        coded = []
+        for ids, pool in given:
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            tokens = np.fromiter(chain.from_iterable(ids), np.int64, counts.sum())
+            spans = np.concatenate([[0], np.cumsum(pool.sizes[tokens])])
+            cuts = np.concatenate([[0], np.cumsum(counts)])
+            fine &= np.diff(spans[cuts]) == lengths
+            coded.append((tokens, counts))
+        kept = [raw[i] for i in np.flatnonzero(fine)]
+        data = np.frombuffer(b"".join(kept), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(lengths[fine])])
         wrong = np.zeros(len(data) + 1, np.int64)
         flat, ends = [], []
-        for ids, pool in ((ids_a, self.a), (ids_b, self.b)):
-            tokens = np.array([t for i in fine for t in ids[i]], np.int64)
+        for (tokens, counts), (_, pool) in zip(coded, given, strict=True):
+            tokens = tokens[np.repeat(fine, counts)]
             spelled, cuts = gather(pool.data, pool.firsts, pool.sizes, tokens)
             wrong[1:] += spelled != data
             flat.append(tokens)
@@ -169,27 +181,27 @@ class Aligner:
         mark = np.array([",", ",", "|", ";"], object)[2 * last + side]
         words = (decimal + mark).tolist() if len(order) else []
         at_link = np.searchsorted(either, bounds, side="right").tolist()
-        at_group = np.searchsorted(both, bounds, side="right").tolist()
-        at = [np.searchsorted(e, bounds, side="right").tolist() for e in ends]
+        n_groups = np.diff(np.searchsorted(both, bounds, side="right")).tolist()
+        at = [np.searchsorted(e, bounds, side="right") for e in ends]
+        n_a, n_b = (np.diff(x).tolist() for x in at)
+        at_word = (at[0] + at[1]).tolist()
+        raw_links = links.tobytes()
         known = self.known
-        for f in fragments:
-            known[f] = (None, b"", 0, 0, 0)
-        for j, i in enumerate(fine):
-            if not right[j]:
-                continue
-            n_a, n_b = at[0][j + 1] - at[0][j], at[1][j + 1] - at[1][j]
-            first = at[0][j] + at[1][j]
-            known[fragments[i]] = (
-                "".join(words[first : first + n_a + n_b])[:-1],
-                links[at_link[j] : at_link[j + 1]].tobytes(),
-                n_a,
-                n_b,
-                at_group[j + 1] - at_group[j],
-            )
+        known.update(dict.fromkeys(fragments, (None, b"", 0, 0, 0)))
+        for j, i in enumerate(np.flatnonzero(fine).tolist()):
+            if right[j]:
+                known[fragments[i]] = (
+                    "".join(words[at_word[j] : at_word[j + 1]])[:-1],
+                    raw_links[8 * at_link[j] : 8 * at_link[j + 1]],
+                    n_a[j],
+                    n_b[j],
+                    n_groups[j],
+                )
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         """Like :func:`fragments.cut`; a text with white space beside a space is cut less."""
-        which, fragments, offsets = cut(texts)
+        which, distinct, offsets = cut(texts)
+        fragments = distinct.to_pylist()
         ragged = np.array([not f or f[0].isspace() or f[-1].isspace() for f in fragments], bool)
         seen = np.concatenate([[0], np.cumsum(ragged[which])])
         odd = np.flatnonzero((seen[offsets[1:]] > seen[offsets[:-1]]) & (np.diff(offsets) > 1))
@@ -339,6 +351,7 @@ def align(
                 yield pa.RecordBatch.from_pydict(
                     {"chunk": [number]} | {k: [v] for k, v in row.items()}
                 )
+        aligner.forget()
 
     plain = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     chunks = materialize(plain.mapInArrow(run, _CHUNK), "token-links")
