@@ -341,6 +341,11 @@ class Encoder:
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])])
         return np.frombuffer(b"".join(packed), np.int32), offsets.astype(np.int64)
 
+    def forget(self) -> None:
+        """Give back the tables, as another stage may follow in the same worker."""
+        self.chunks, self.words = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The text of each run of ids."""
         sizes = self.sizes[ids]
@@ -400,6 +405,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, column], [*part.schema.names, ids]
                 )
+        own.forget()
 
     return rest.mapInArrow(run, schema)
 

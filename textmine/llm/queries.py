@@ -144,7 +144,9 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         )
 
     first = materialize(counted(documents, BYTE_BPE), "token-counts")
-    again = counted(documents.where("lang != 'en'"), MULTI_BPE)
+    # A null language is not English either.
+    foreign = ~F.col("lang").eqNullSafe("en")
+    again = counted(documents.where(foreign), MULTI_BPE)
     kept = first.groupBy("digest").agg(F.min("doc_id").alias("kept"))
     copies = first.join(kept, "digest").where("doc_id > kept")
     rest = kept.select("digest", F.col("kept").alias("doc_id"))
@@ -156,7 +158,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     rollup.apply("copies", token_rollup.signed(copies, -1, old))
     rollup.apply("copies", token_rollup.signed(copies, -1, old))
     revised = token_rollup.signed(
-        first.where("lang != 'en'").join(rest, ["digest", "doc_id"]), -1, old
+        first.where(foreign).join(rest, ["digest", "doc_id"]), -1, old
     ).union(token_rollup.signed(again.join(rest, ["digest", "doc_id"]), 1, new))
     rollup.apply("revised", revised)
     return rollup.totals()

@@ -8,9 +8,12 @@ retrieval condition. Vectors that meet are compared exactly, in double
 precision, in blocks; a block pair returns counts of links and as many links as
 connect its vectors, never all pairs. Equal vectors are one vector with a count.
 
+Vectors of different dimensions never link. Each dimension has pivots and lists of its
+own; a table has few dimensions, and usually one.
+
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite
-component links with nothing, and so does one whose dimension is not the most
-frequent one; repeated rows are linked; an empty table gives an empty result;
+component links with nothing; repeated rows are linked; where nearest pivots are equally
+near, that with the smaller number comes first; an empty table gives an empty result;
 other columns are left out.
 """
 
@@ -36,12 +39,12 @@ PIVOT_FACTOR, LEAST_PIVOTS, MOST_PIVOTS = 8, 64, 2048
 BLOCK = 512
 
 
-def _usable(vector: Column, size: int) -> Column:
+def _usable(vector: Column) -> Column:
     def odd(x: Column) -> Column:
         return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
 
     some = F.exists(vector, lambda x: x != 0)
-    return (F.size(vector) == size) & ~F.exists(vector, odd) & some
+    return ~F.exists(vector, odd) & some
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
@@ -64,23 +67,37 @@ def near_vectors(
     rows = df.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")
     )
-    size = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("size")).count()
-    size = size.orderBy(F.desc("count"), "size").limit(1).collect()
-    size = size[0]["size"] if size else 0
-    rows = rows.withColumn("v", F.when(_usable(F.col("v"), size), F.col("v")))
+    rows = rows.withColumn("v", F.when(_usable(F.col("v")), F.col("v")))
     unique = materialize(
         rows.where("v is not null and id is not null")
         .groupBy("v")
         .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")),
         "vectors",
     )
+    sizes = [r["size"] for r in unique.select(F.size("v").alias("size")).distinct().collect()]
+    known = spark.createDataFrame([], "w array<double>, n_links long, component_id long")
+    for size in sorted(sizes):
+        own = unique if len(sizes) == 1 else unique.where(F.size("v") == size)
+        known = known.union(_linked(own, size, threshold))
+    return rows.join(known, rows.v == known.w, "left").select(
+        F.col("id").alias(id_col),
+        F.when(F.col("id").isNull(), 0)
+        .otherwise(F.coalesce("n_links", F.lit(0)))
+        .cast("long")
+        .alias("n_links"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
+        F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(False)).alias("kept"),
+    )
+
+
+def _linked(unique: DataFrame, size: int, threshold: float) -> DataFrame:
+    """``<w, n_links, component_id>`` of different vectors with ``size`` components."""
+    spark = unique.sparkSession
     total = unique.count()
     wanted = min(max(LEAST_PIVOTS, round(PIVOT_FACTOR * total ** (1 / 3))), MOST_PIVOTS)
     # A bounded sample, chosen by a hash of the id.
     sample = unique.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("v").toArrow()
-    pivots = spark.sparkContext.broadcast(
-        _matrix(sample.column("v"), size) if total else np.zeros((0, max(size, 1)))
-    )
+    pivots = spark.sparkContext.broadcast(_matrix(sample.column("v"), size))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pivots.value
@@ -174,7 +191,7 @@ def near_vectors(
     )
     found = connected_components(links)
     counts = links.groupBy(F.col("a").alias("of")).agg(F.sum("n").alias("near"))
-    known = (
+    return (
         unique.join(counts, unique.rep == counts.of, "left")
         .join(found, unique.rep == found.v, "left")
         .select(
@@ -183,12 +200,3 @@ def near_vectors(
             F.coalesce("component", "rep").alias("component_id"),
         )
     )
-    return rows.join(known, rows.v == known.w, "left").select(
-        F.col("id").alias(id_col),
-        F.when(F.col("id").isNull(), 0)
-        .otherwise(F.coalesce("n_links", F.lit(0)))
-        .cast("long")
-        .alias("n_links"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(False)).alias("kept"),
-    )
