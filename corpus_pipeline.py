@@ -18,6 +18,9 @@ from textmine.sources.tables import table
 
 ORACLE_SQL = None
 
+#: The key by which near-duplicate rows are told apart.
+ROW_KEY = "_row_key"
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are neither junk nor toxic."""
@@ -29,13 +32,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates.
 
-    Five-word shingles, similarity 0.8. Rows without an id cannot be told apart and stay.
+    Five-word shingles, similarity 0.8. Groups are formed over rows, not ids: every row
+    gets a key of its own, which is written, so rows that share an id or have none are
+    compared like any others, and each different text stays. Rows with an id stay before
+    rows without.
     """
     ship_package(spark)
-    classes = jaccard_join.similarity_classes(docs, k=5, share=(80, 100))
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(docs.columns).union(docs.where("doc_id is null"))
+    keyed = materialize(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed-rows")
+    classes = jaccard_join.similarity_classes(keyed, id_col=ROW_KEY, k=5, share=(80, 100))
+    placed = keyed.select(ROW_KEY, "doc_id").join(classes.select(ROW_KEY, "component_id"), ROW_KEY)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW_KEY)).alias("first")
+    kept = placed.groupBy("component_id").agg(first).select(F.col("first")[ROW_KEY].alias(ROW_KEY))
+    return keyed.join(kept, ROW_KEY, "left_semi").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
