@@ -191,3 +191,39 @@ def test_partners_are_at_most_one_band_apart(spark):
     band = dict(rows)
     for n in range(1, 2000):
         assert band[n] - band[max(1, math.ceil(0.7 * n))] in (0, 1)
+
+
+def encoded_records(records, words):
+    rows = materialize(setjoin.token_sets(records), "records")
+    ranks = materialize(setjoin.token_ranks(rows), "ranks")
+    sets = setjoin.distinct_sets(rows)
+    return materialize(setjoin.encode_sets(rows, sets, ranks, words=words), "encoded"), ranks
+
+
+def test_ranks_are_ints_without_gaps(random_records):
+    encoded, ranks = encoded_records(random_records, 0)
+    assert dict(encoded.dtypes)["ranks"] == "array<int>"
+    assert sorted(r.rank for r in ranks.collect()) == list(range(ranks.count()))
+
+
+@pytest.mark.parametrize("words", [1, 4])
+def test_bitmaps_never_bound_an_overlap_too_low(random_records, words):
+    encoded, _ = encoded_records(random_records, words)
+    sized = encoded.withColumn("ranked", F.size("ranks"))
+    pairs = sized.alias("s").join(sized.alias("l"), F.col("s.set_id") < F.col("l.set_id"))
+    true = F.size(F.array_intersect("s.ranks", "l.ranks"))
+    bound = setjoin.most_overlap("s", "l", [f"bits{i}" for i in range(words)])
+    rows = pairs.select(true.alias("true"), bound.alias("bound")).collect()
+    assert rows and all(r.true <= r.bound for r in rows)
+    # Most bounds are close: tokens of a few dozen share few bits.
+    if words == 4:
+        assert sum(r.bound - r.true for r in rows) < 2 * len(rows)
+
+
+def test_bitmaps_keep_pairs_from_verification(random_records):
+    counts = []
+    for words in (0, 4):
+        encoded, ranks = encoded_records(random_records, words)
+        counts.append(setjoin.candidate_sets(encoded, ranks, 0.3).count())
+    verified = setjoin.similar_sets(random_records, 0.3).pairs.where("set1 != set2").count()
+    assert verified <= counts[1] < counts[0]

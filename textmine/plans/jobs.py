@@ -20,6 +20,7 @@ from textmine.operators.promising import pair_order, promising_pairs
 from textmine.operators.tokens import clean_words
 from textmine.operators.topk import top_k_per_group
 from textmine.operators.weights import tfidf
+from textmine.sources.scratch import materialize
 
 __all__ = [
     "corpus_totals",
@@ -123,4 +124,7 @@ def jaccard_self_join(
     """
     similar = setjoin.similar_sets(df, tau, cross_period=cross_period)
     pairs = setjoin.expand(similar, cross_period=cross_period)
-    return pairs.orderBy("id1", "id2") if sort else pairs
+    if not sort:
+        return pairs
+    # Sorting samples its input first; written, the last join is evaluated once.
+    return materialize(pairs, "record-pairs").orderBy("id1", "id2")
