@@ -111,9 +111,27 @@ def test_equal_ids_of_different_texts_have_one_order(spark):
     assert got[0] == got[1]
 
 
+@pytest.mark.parametrize("hot", [5, None])
+def test_an_id_of_a_third_of_the_rows_is_dealt_over_several_parts(spark, hot):
+    rows = [(i, f"text {i}") for i in range(200)] + [(hot, f"hot {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        segments = token_files.pack(df, vocabulary_file("word_bpe_49k.json"))
+        assert segments.agg({"docs": "max"}).head()[0] < 70
+        got = token_files.unpack(segments).orderBy("start").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    docs = [r.doc_id for r in got]
+    assert docs == sorted((r[0] for r in rows), key=lambda d: (d is not None, d))
+    want = {tuple(r[4]) for r in reference(rows)}
+    assert {tuple(r.token_ids) for r in got} == want
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_empty_table_and_clashing_columns(spark, tmp_path):
     assert round_trip(spark, [], tmp_path / "a") == []
-    schema = "doc_id long, ids string, text string, payload int, start int, doc int, row int"
+    schema = "doc_id long, ids string, text string, payload int, start int, doc int, range int"
     rows = [(3, "x", "some text", 1, 2, 3, 4), (1, "y", "more", None, None, None, None)]
     got = round_trip(spark, rows, tmp_path / "b", schema)
     assert got == reference([(1, "more"), (3, "some text")])

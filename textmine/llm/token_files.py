@@ -11,9 +11,10 @@ Segments are the rows of a Parquet table (column ``payload``; part and segment n
 how many ids of the part stand before it). So the files can lie in any store that Spark
 reaches, and a task that is run again leaves no half-written file.
 
-Rows are dealt by ranges of the document id. Equal ids, also null ones, are ordered by a
-hash of their tokens and dealt over several ranges if there are many. Where a part begins
-in the stream follows from one sum per part.
+Rows are dealt by ranges of the document id, a part each; their bounds come from the id
+column alone, so texts are encoded once and their ids move once. Equal ids, also null
+ones, are ordered by a checksum of their tokens and dealt over several ranges if there are
+many. Where a part begins in the stream follows from one sum per part.
 
 Defined cases: a null text is an empty one, which has the end id alone; a special token's
 string becomes its id, as in the tokenizer file; null document ids come first; repeated
@@ -30,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +43,6 @@ from textmine.llm.fragments import (
     share_file,
     text_pieces,
 )
-from textmine.sources.scratch import materialize
 
 #: Ids in a block; the percentage of them that the packed width holds.
 BLOCK, PERCENT = 512, 90
@@ -289,27 +288,68 @@ class _Ids:
         return [raw[i:j] + close for i, j in zip(bounds, bounds[1:], strict=False)]
 
 
+class _Ranges:
+    """Ranges of document ids with about as many documents each, by cuts known beforehand.
+
+    An id that many documents have stands in the cuts several times; its documents are
+    then dealt over as many ranges by a checksum of their tokens, and so are null ids.
+    """
+
+    def __init__(self, cuts: list[int], nulls: int):
+        self.cuts, self.nulls = np.array(cuts, np.int64), nulls
+
+    def of(self, docs: pa.Array, ties: np.ndarray) -> np.ndarray:
+        known = docs.is_valid().to_numpy(zero_copy_only=False)
+        values = docs.fill_null(0).to_numpy()
+        left = np.searchsorted(self.cuts, values, side="left")
+        right = np.searchsorted(self.cuts, values, side="right")
+        spread = np.maximum(right - left, 1)
+        place = right - spread + 1 + ((ties * spread) >> 32)
+        return np.where(known, self.nulls + place, (ties * self.nulls) >> 32)
+
+
+def _ranges(plain: DataFrame) -> _Ranges:
+    """As many ranges as the session's shuffles have parts, from the id column alone."""
+    parts = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    row = plain.agg(
+        F.percentile_approx("doc", shares, 10_000).alias("cuts"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("doc").isNull()).alias("nulls"),
+    ).head()
+    return _Ranges(row["cuts"] or [], -(-parts * row["nulls"] // max(row["n"], 1)))
+
+
 def token_bytes(
     df: DataFrame, vocabulary: str, *, id_col: str, text: str, end: int
 ) -> DataFrame:
-    """``<doc, width, ids>``: ids as unsigned integers of ``width`` bytes.
+    """``<range, doc, tie, width, ids>``: ids as unsigned integers of ``width`` bytes.
 
-    The tokenizer must lower-case, drop white space and mark word ends by ``</w>``.
+    Ranges follow each other as the documents do; ``tie`` is a checksum of the ids. The
+    tokenizer must lower-case, drop white space and mark word ends by ``</w>``.
     """
     content = share_file(df.sparkSession, vocabulary)
+    plain = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
+    ranges = _ranges(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded("ids", content, lambda data: _Ids(load_tokenizer(data)))
         for batch in batches:
             for first, texts in text_pieces(batch.column("text"), CUT_BYTES):
-                ids = pa.array(own.encode(texts, end), pa.binary())
+                ids = own.encode(texts, end)
                 docs = batch.column("doc").slice(first, len(texts))
-                width = pa.array(np.full(len(texts), own.kind.itemsize, np.int8))
-                yield pa.RecordBatch.from_arrays([docs, width, ids], ["doc", "width", "ids"])
+                ties = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
+                columns = {
+                    "range": pa.array(ranges.of(docs, ties)),
+                    "doc": docs,
+                    "tie": pa.array(ties),
+                    "width": pa.array(np.full(len(ids), own.kind.itemsize, np.int8)),
+                    "ids": pa.array(ids, pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
         own.forget()
 
-    plain = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
-    return plain.mapInArrow(run, "doc long, width byte, ids binary")
+    return plain.mapInArrow(run, "range long, doc long, tie long, width byte, ids binary")
 
 
 def pack(
@@ -323,12 +363,12 @@ def pack(
     """``<part, segment, before, docs, tokens, payload>``: the content of the files.
 
     ``before`` is how many ids of the same part stand before the segment. Parts follow
-    each other in ascending order of the document ids.
+    each other in ascending order of the document ids. The bounds of the parts are
+    looked up when this is called.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        before = segment = 0
+        part, before, segment = None, 0, 0
         docs: list[int | None] = []
         held: list[bytes] = []
         size = width = 0
@@ -339,7 +379,7 @@ def pack(
             payload = encode_segment(docs, sizes, ids)
             return pa.RecordBatch.from_pydict(
                 {
-                    "part": pa.array([part], pa.int32()),
+                    "part": pa.array([part], pa.int64()),
                     "segment": pa.array([segment], pa.int32()),
                     "before": [before],
                     "docs": [len(docs)],
@@ -350,7 +390,13 @@ def pack(
 
         for batch in batches:
             width = batch.column("width")[0].as_py() if batch.num_rows else width
-            for doc, ids in zip(batch.column("doc").to_pylist(), batch.column("ids"), strict=True):
+            names = (batch.column(n).to_pylist() for n in ("range", "doc"))
+            for own, doc, ids in zip(*names, batch.column("ids"), strict=True):
+                if own != part:
+                    if docs:
+                        yield close()
+                    part, before, segment = own, 0, 0
+                    docs, held, size = [], [], 0
                 docs.append(doc)
                 held.append(ids.as_py())
                 size += len(held[-1]) // width
@@ -362,21 +408,13 @@ def pack(
             yield close()
 
     ids = token_bytes(df, vocabulary, id_col=id_col, text=text, end=end)
-    # Written once: dealing by ranges reads its input twice.
-    rows = materialize(
-        ids.withColumn("tie", F.xxhash64("ids")).withColumn(
-            "row", F.monotonically_increasing_id()
-        ),
-        "token-ids",
-    )
-    order = ["doc", "tie", "row"]
     return (
-        rows.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("doc", "width", "ids")
+        ids.repartition("range")
+        .sortWithinPartitions("range", "doc", "tie", "ids")
+        .drop("tie")
         .mapInArrow(
             run,
-            "part int, segment int, before long, docs long, tokens long, payload binary",
+            "part long, segment int, before long, docs long, tokens long, payload binary",
         )
     )
 
@@ -392,7 +430,7 @@ def unpack(segments: DataFrame, *, id_col: str = "doc_id", with_ids: bool = True
     sums = segments.groupBy("part").agg(F.sum("tokens").alias("all")).orderBy("part").collect()
     firsts = np.cumsum([0, *(r["all"] for r in sums)]).tolist()
     rows = [(r["part"], first) for r, first in zip(sums, firsts, strict=False)]
-    parts = spark.createDataFrame(rows, "part int, first long")
+    parts = spark.createDataFrame(rows, "part long, first long")
     placed = segments.join(F.broadcast(parts), "part").select(
         (F.col("first") + F.col("before")).alias("start"), "payload"
     )
