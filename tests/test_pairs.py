@@ -45,6 +45,13 @@ def top(pairs, k):
     return out
 
 
+@pytest.fixture(params=[False, True], ids=["few", "many"])
+def many_terms(request, monkeypatch):
+    """Without and with the pruning that small vocabularies do not need."""
+    if request.param:
+        monkeypatch.setattr(promising, "FEW_DISTINCT", 0)
+
+
 @pytest.fixture(scope="module")
 def random_rows():
     rng = random.Random(7)
@@ -69,7 +76,7 @@ def test_fixture_counts(cleaned):
 
 
 @pytest.mark.parametrize("prune", [False, True])
-def test_fixture_top(cleaned, prune):
+def test_fixture_top(cleaned, prune, many_terms):
     assert tuples(top_pairs_by_period(cleaned, 3, prune=prune)) == TOP3
 
 
@@ -112,6 +119,7 @@ def test_spread_changes_nothing(random_lines, monkeypatch):
 @pytest.mark.parametrize("buckets", [None, 7, 64])
 def test_pruning_is_exact(random_lines, random_rows, k, buckets, monkeypatch):
     monkeypatch.setattr(promising, "SEED_TERMS", 4)
+    monkeypatch.setattr(promising, "FEW_DISTINCT", 0)
     if buckets:  # with a pass over bucket sums, coarse or fine
         monkeypatch.setattr(promising, "FEW_PAIRS", 0)
         monkeypatch.setattr(promising, "BUCKETS", buckets)
@@ -130,12 +138,14 @@ def test_buckets_give_a_floor_where_strong_terms_give_none(spark, monkeypatch):
     sums = promising.pair_buckets(co.bag_pairs(bags, ["period"]), ["period"])
     assert tuples(promising.bucket_floors(sums, ["period"], 3)) == [("p", 8)]
     monkeypatch.setattr(promising, "FEW_PAIRS", 0)
+    monkeypatch.setattr(promising, "FEW_DISTINCT", 0)
     left = promising.promising_pairs(bags, ["period"], 3)
     assert sorted(r[3] for r in tuples(left)) == [8, 9, 10]
 
 
 def test_pairs_of_light_buckets_are_not_counted(random_lines, monkeypatch):
     monkeypatch.setattr(promising, "FEW_PAIRS", 0)
+    monkeypatch.setattr(promising, "FEW_DISTINCT", 0)
     bags = co.with_bags(random_lines, ["period"])
     left = promising.promising_pairs(bags, ["period"], 2).count()
     assert left < co.bag_pairs(bags, ["period"]).count() / 10
@@ -172,6 +182,7 @@ def test_pruning_keeps_rows_without_a_period(spark, monkeypatch):
     assert tuples(top_pairs_by_period(df, 1, prune=False)) == want
     assert tuples(top_pairs_by_period(df, 1)) == want
     monkeypatch.setattr(promising, "FEW_PAIRS", 0)
+    monkeypatch.setattr(promising, "FEW_DISTINCT", 0)
     assert tuples(top_pairs_by_period(df, 1)) == want
 
 

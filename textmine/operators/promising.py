@@ -38,6 +38,9 @@ SEED_TERMS = 64
 BUCKETS = 1 << 16
 # Pairs in the lines up to which bucket sums are not worth a pass of their own.
 FEW_PAIRS = 2_000_000
+# Different pairs that the terms of all groups can form, up to which the sums inside the
+# tasks leave so little to shuffle that nothing is pruned.
+FEW_DISTINCT = 4_000_000
 # Heavy buckets up to which they are looked up while pairs are made.
 MOST_HEAVY = 200_000
 
@@ -151,30 +154,42 @@ def _higher(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFra
     return first.unionByName(second).groupBy(*keys).agg(F.max("floor").alias("floor"))
 
 
+def _bounded(bags: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Numbered lines, and ``<keys..., term, bound>`` of their terms."""
+    lines = _numbered_lines(bags, keys)
+    bound = F.sum(F.col("n") * F.col("most") * F.col("lines")).alias("bound")
+    return lines, materialize(_entries(lines, keys).groupBy(*keys, "term").agg(bound), "bounds")
+
+
+def _pruned(
+    lines: DataFrame, bounds: DataFrame, keys: Sequence[str], k: int
+) -> tuple[DataFrame, DataFrame]:
+    entries = _entries(lines, keys)
+    floors = materialize(_seed_floors(entries, bounds, keys, k), "floors")
+    kept = materialize(_at_floor(bounds, floors, keys, "bound").select(*keys, "term"), "kept")
+    return _bags_of(entries, kept, keys), floors
+
+
 def promising_bags(bags: DataFrame, keys: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
     """Bags reduced to terms that can be in the first ``k`` pairs, and the groups' floors.
 
     ``<keys..., bag, lines>`` and ``<keys..., floor>``. The intermediate tables are
     written, so their true size decides whether a join with the lines broadcasts them.
     """
-    lines = _numbered_lines(bags, keys)
-    entries = _entries(lines, keys)
-    bounds = materialize(
-        entries.groupBy(*keys, "term").agg(
-            F.sum(F.col("n") * F.col("most") * F.col("lines")).alias("bound")
-        ),
-        "bounds",
-    )
-    floors = materialize(_seed_floors(entries, bounds, keys, k), "floors")
-    kept = materialize(_at_floor(bounds, floors, keys, "bound").select(*keys, "term"), "kept")
-    return _bags_of(entries, kept, keys), floors
+    return _pruned(*_bounded(bags, keys), keys, k)
 
 
 def promising_pairs(
     bags: DataFrame, keys: Sequence[str], k: int, *, spread: int | None = None
 ) -> DataFrame:
     """``<keys..., term1, term2, n>`` of lines, without pairs that cannot be in the first ``k``."""
-    reduced, floors = promising_bags(bags, keys, k)
+    lines, bounds = _bounded(bags, keys)
+    terms = bounds.groupBy(*keys).agg(F.count(F.lit(1)).alias("v"))
+    distinct = terms.agg(F.sum(F.col("v") * (F.col("v") + 1) / 2)).head()[0] or 0
+    if distinct <= FEW_DISTINCT:
+        return bag_pairs(lines.select(*keys, "bag", "lines"), keys, spread=spread)
+
+    reduced, floors = _pruned(lines, bounds, keys, k)
     reduced = materialize(reduced, "promising")
     size = F.size("bag").cast("long")
     many = reduced.agg(F.sum(size * (size + 1) / 2)).head()[0] or 0
@@ -187,11 +202,8 @@ def promising_pairs(
         _at_floor(sums, raised, keys, "total").select(*keys, "bucket"), "heavy-buckets"
     )
     # Terms once more, with the raised floors, as most of their entries cost pairs.
-    lines = _numbered_lines(reduced, keys)
+    lines, bounds = _bounded(reduced, keys)
     entries = _entries(lines, keys)
-    bounds = entries.groupBy(*keys, "term").agg(
-        F.sum(F.col("n") * F.col("most") * F.col("lines")).alias("bound")
-    )
     kept = materialize(_at_floor(bounds, raised, keys, "bound").select(*keys, "term"), "kept-again")
     discard(sums)
     pairs = bag_pairs(_bags_of(entries, kept, keys), keys, spread=spread)
