@@ -4,13 +4,16 @@ Every byte inside a string of ``LENGTH`` bytes that also starts anywhere else is
 marked. Only starts whose string may repeat need sorting, and equal strings have
 to meet: every start is assigned the byte place with the smallest hash among the
 next ``WINDOW``, its anchor, which equal strings share; so starts are grouped by
-the ``PRINT`` bytes at their anchor, and groups of one anchor are left out. The
-anchors' contexts are dealt out into shards by those bytes. A shard sorts its
-suffixes in numpy by Larsson-Sadakane refinement (ranks at depth h give ranks at
-depth 2h; only suffixes that are not yet told apart go on) and computes common
-prefixes along the contexts as Kasai does, all contexts in step. A group too
-large for a shard is cut into several; their sorted windows are merged by
-binary search over digests.
+the ``PRINT`` bytes at their anchor, and groups of one anchor are left out.
+Inside a group, contexts (all bytes of an anchor's starts) that are whole copies
+are known by their digests: all their starts repeat, and one of them stands for
+the rest. Those representatives that have others in their group are cut from the
+texts and dealt out into shards. A shard sorts its suffixes in numpy by
+Larsson-Sadakane refinement (ranks at depth h give ranks at depth 2h; only
+suffixes that are not yet told apart go on) and computes common prefixes along
+the contexts as Kasai does, all contexts in step. A group too large for a shard
+is cut into several; their sorted windows are merged by binary search over
+digests.
 
 Defined cases: a null text is an empty one; texts shorter than ``LENGTH`` lose
 nothing; texts are read whole; a repeated row repeats its text, so both lose it;
@@ -57,12 +60,12 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray):
-    """(text number, first start, number of starts, print) of every anchor."""
+    """(text number, first start, number of starts, print, context's digest) of every anchor."""
     sizes = np.diff(offsets)
     starts = np.maximum(sizes - LENGTH + 1, 0)
     total = int(starts.sum())
     if not total:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     place = np.uint64((1 << _PLACE_BITS) - 1)
     least = (mix(words_at(data)) & ~place) | np.arange(len(data), dtype=np.uint64)
     for step in (1, 2, 4, 8, 16, 32, 64):
@@ -74,8 +77,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     first, chosen = at[new], anchor[new]
     owner = np.searchsorted(offsets, first, side="right") - 1
-    prints = span_hash(rolling(data), chosen, chosen + PRINT)
-    return owner, first - offsets[owner], np.diff(np.append(new, total)), prints
+    count = np.diff(np.append(new, total))
+    sums = rolling(data)
+    prints = span_hash(sums, chosen, chosen + PRINT)
+    digests = span_hash(sums, first, first + count + LENGTH - 1)
+    return owner, first - offsets[owner], count, prints, digests
 
 
 def suffix_ranks(data: np.ndarray, remaining: np.ndarray) -> np.ndarray:
@@ -182,40 +188,55 @@ def window_digests(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.
     return a, span_hash(rolling(_OTHER_BYTES[data]), place, place + LENGTH)
 
 
-def context_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each context."""
-    a = span_hash(rolling(data), offsets[:-1], offsets[1:])
-    return a, span_hash(rolling(_OTHER_BYTES[data]), offsets[:-1], offsets[1:])
-
-
-def pick_contexts(
-    data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen contexts laid end to end."""
-    size = np.diff(offsets)[chosen]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    return data[np.repeat(offsets[:-1][chosen] - ends[:-1], size) + np.arange(ends[-1])], ends
-
-
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key = batch.column(0).to_numpy()
         data, offsets = text_bytes(batch.column(1))
         for a, b in pieces(offsets):
             own = offsets[a : b + 1]
-            owner, first, count, prints = anchors(data[own[0] : own[-1]], own - own[0])
+            owner, first, count, prints, digests = anchors(data[own[0] : own[-1]], own - own[0])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(prints.view(np.int64)),
                     pa.array(key[a:b][owner]),
                     pa.array((first << 8) | (count - 1)),
+                    pa.array(digests.view(np.int64)),
                 ],
-                ["print", "key", "at"],
+                ["print", "key", "at", "digest"],
             )
 
 
+def _find_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of whole groups: which are copied, and which stand for others in a shard."""
+    for table, bounds in whole_groups(batches, ["print", "salt"]):
+        print_, salt = table.column("print").to_numpy(), table.column("salt").to_numpy()
+        size = np.diff(bounds)
+        digest = table.column("digest").to_numpy()
+        order = np.lexsort((digest, np.repeat(np.arange(len(size)), size)))
+        digest = digest[order]
+        # Groups stay where they are, and equal contexts of a group lie side by side.
+        new = np.zeros(len(order), bool)
+        new[bounds[:-1]] = True
+        new[1:] |= digest[1:] != digest[:-1]
+        copies = np.diff(np.append(np.flatnonzero(new), len(new)))
+        copied = np.repeat(copies > 1, copies)
+        kinds = np.repeat(np.add.reduceat(new, bounds[:-1], dtype=np.int64), size)
+        stands = new & ((kinds > 1) | (salt >= 0))
+        taken = pa.array(order)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(print_, mask=~stands),
+                table.column("key").take(taken).combine_chunks(),
+                table.column("at").take(taken).combine_chunks(),
+                pa.array(salt, mask=~stands),
+                pa.array(copied),
+            ],
+            ["print", "key", "at", "salt", "copied"],
+        )
+
+
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around each repeated anchor of each text."""
+    """The bytes around each anchor that a text has in a shard."""
     for batch in batches:
         key = batch.column(0).to_numpy()
         data, offsets = text_bytes(batch.column(1))
@@ -223,7 +244,7 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         struct, bounds = spots.values.slice(
             spots.offsets[0].as_py(), spots.offsets[-1].as_py() - spots.offsets[0].as_py()
         ), spots.offsets.to_numpy()
-        columns = [struct.field(i).to_numpy() for i in range(3)]
+        columns = [struct.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
         owner = np.repeat(np.arange(len(key)), np.diff(bounds))
         first, last = columns[1] >> 8, columns[1] & 255
         begin = offsets[owner] + first
@@ -243,19 +264,22 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     pa.array(key[owner[part]]),
                     pa.array(columns[1][part]),
                     pa.array(columns[2][part].astype(np.int32)),
+                    pa.array(columns[3][part]),
                     context,
                 ],
-                ["print", "key", "at", "salt", "context"],
+                ["print", "key", "at", "salt", "copied", "context"],
             )
 
 
 _RESULT = "key long, at long, marks binary, d1 long, d2 long, place int"
 
 
-def _marks(repeated: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Contexts with a repeated start, and their starts as packed bits."""
+def _marks(
+    repeated: np.ndarray, count: np.ndarray, asked: np.ndarray
+) -> tuple[np.ndarray, list[bytes]]:
+    """Those asked-for contexts that have a repeated start, and their starts as packed bits."""
     ends = np.cumsum(count)
-    some = np.flatnonzero(np.add.reduceat(repeated, ends - count) > 0)
+    some = np.flatnonzero(np.logical_or.reduceat(repeated, ends - count) & asked)
     return some, [np.packbits(repeated[ends[c] - count[c] : ends[c]]).tobytes() for c in some]
 
 
@@ -271,21 +295,12 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = b
             data, offsets = text_bytes(shard.column("context"))
             key, at = shard.column("key").to_numpy(), shard.column("at").to_numpy()
-            # Equal contexts are sorted once; every start in them repeats.
-            ids = np.stack(context_digests(data, offsets), 1)
-            _, lone, back, copies = np.unique(
-                ids, axis=0, return_index=True, return_inverse=True, return_counts=True
-            )
-            data, offsets = pick_contexts(data, offsets, lone)
+            copied = shard.column("copied").to_numpy()
             count = np.diff(offsets) - LENGTH + 1
             place, repeated, order, class_ = repeated_starts(data, offsets, count)
-            repeated |= np.repeat(copies > 1, count)
-            back = back.ravel()
-            some, marks = _marks(repeated, count)
-            marked = np.full(len(count), -1)
-            marked[some] = np.arange(len(some))
-            some = np.flatnonzero(marked[back] >= 0)
-            marks = [marks[i] for i in marked[back[some]].tolist()]
+            # Every start of a copied context repeats, and its marks are known.
+            repeated |= np.repeat(copied, count)
+            some, marks = _marks(repeated, count, ~copied)
             none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -298,8 +313,7 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["key", "at", "marks", "d1", "d2", "place"],
             )
-            key, at = key[lone], at[lone]
-            cut = shard.column("salt").to_numpy()[lone] >= 0
+            cut = shard.column("salt").to_numpy() >= 0
             if cut.any():
                 owner = np.repeat(np.arange(len(count)), count)
                 lead = order[np.concatenate([[True], class_[1:] != class_[:-1]])]
@@ -346,10 +360,16 @@ def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def removed_runs(spots: list[tuple[int, bytes]], size: int) -> np.ndarray:
-    """Maximal runs [start, end) covered by the marked windows of one text."""
+def removed_runs(spots: list[tuple[int, bytes | None]], size: int) -> np.ndarray:
+    """Maximal runs [start, end) covered by the marked windows of one text; None marks all."""
     edge = np.zeros(size + 1, np.int64)
+    whole = np.array([at for at, marks in spots if marks is None], np.int64)
+    # All starts of a copied context are marked, so its bytes are covered without a gap.
+    np.add.at(edge, whole >> 8, 1)
+    np.add.at(edge, (whole >> 8) + (whole & 255) + LENGTH, -1)
     for at, marks in spots:
+        if marks is None:
+            continue
         start = (at >> 8) + np.flatnonzero(np.unpackbits(np.frombuffer(marks, np.uint8)))
         edge[start] += 1
         edge[start + LENGTH] -= 1
@@ -396,7 +416,9 @@ def remove_repeats(
         F.coalesce(F.xxhash64(F.col(id_col), F.col(text)), F.lit(0)).alias("key"),
         F.col(text).alias("text"),
     )
-    spots = rows.select("key", "text").mapInArrow(_find_anchors, "print long, key long, at long")
+    spots = rows.select("key", "text").mapInArrow(
+        _find_anchors, "print long, key long, at long, digest long"
+    )
     repeated = (
         spots.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     )
@@ -405,9 +427,17 @@ def remove_repeats(
         F.col("n") > shard,
         F.expr(f"cast(pmod(xxhash64(key, at), ceil(n / {int(shard)})) as int)"),
     ).otherwise(-1)
-    wanted = (
+    copies = materialize(
         spots.join(repeated, "print")
-        .select("key", F.struct("print", "at", salt.alias("salt")).alias("spot"))
+        .select("print", "key", "at", "digest", salt.alias("salt"))
+        .repartition("print", "salt")
+        .sortWithinPartitions("print", "salt")
+        .mapInArrow(_find_copies, "print long, key long, at long, salt int, copied boolean"),
+        "copied-contexts",
+    )
+    wanted = (
+        copies.where("print is not null")
+        .select("key", F.struct("print", "at", "salt", "copied").alias("spot"))
         .groupBy("key")
         .agg(F.collect_list("spot").alias("spots"))
     )
@@ -417,7 +447,8 @@ def remove_repeats(
         .join(wanted, "key")
         .select("key", "text", "spots")
         .mapInArrow(
-            _cut_contexts, "print long, key long, at long, salt int, context binary"
+            _cut_contexts,
+            "print long, key long, at long, salt int, copied boolean, context binary",
         )
     )
     found = materialize(
@@ -436,6 +467,7 @@ def remove_repeats(
         found.where("d1 is null")
         .select("key", "at", "marks")
         .union(merged)
+        .union(copies.where("copied").select("key", "at", F.lit(None).cast("binary")))
         .groupBy("key")
         .agg(F.collect_list(F.struct("at", "marks")).alias("spots"))
     )
