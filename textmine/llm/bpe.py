@@ -19,9 +19,11 @@ A null id array decodes to an empty text, ids outside the vocabulary are an erro
 from __future__ import annotations
 
 import base64
+import ctypes
 import json
 import re
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -35,8 +37,9 @@ from pyspark.sql import types as T
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-#: Chunks kept segmented in a worker; the table starts anew when it is full.
+#: Chunks, and bytes of chunks and ids, kept in a worker; a table that is full starts anew.
 KEPT_CHUNKS = 200_000
+KEPT_BYTES = 16 << 20
 #: Longer words are segmented one by one, as their many steps would hold up a batch.
 BATCH_WORD_BYTES = 64
 
@@ -88,6 +91,8 @@ class Vocabulary:
     def merge(self, word: bytes, below: int | None = None) -> list[int]:
         """Exact merging: the adjacent pair with the lowest id first, leftmost first."""
         ids, limit = self.ids, self.size if below is None else below
+        if len(word) > BATCH_WORD_BYTES and below is None:
+            return self._merge_long(word)
         parts = [word[i : i + 1] for i in range(len(word))]
         ranks = [ids.get(a + b, limit) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
@@ -103,6 +108,42 @@ class Vocabulary:
                 ranks[at - 1] = ids.get(parts[at - 1] + parts[at], limit)
         return [ids[p] for p in parts]
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same for long words: pairs wait in a heap, and stale ones are passed over.
+
+        A part is known by its first byte, and ``end`` says where it ends; a waiting
+        pair is its rank and its first byte, as one number.
+        """
+        ids, n = self.ids, len(word)
+        end = list(range(1, n + 1))
+        before = list(range(-1, n - 1))
+        get = ids.get
+        ranks = (get(word[i : i + 2]) for i in range(n - 1))
+        waiting = [rank * n + i for i, rank in enumerate(ranks) if rank is not None]
+        heapify(waiting)
+        while waiting:
+            rank, i = divmod(heappop(waiting), n)
+            middle = end[i]
+            if middle <= 0 or middle == n or get(word[i : end[middle]]) != rank:
+                continue
+            stop = end[i] = end[middle]
+            end[middle] = 0  # no part any more
+            if stop < n:
+                before[stop] = i
+                rank = get(word[i : end[stop]])
+                if rank is not None:
+                    heappush(waiting, rank * n + i)
+            left = before[i]
+            if left >= 0:
+                rank = get(word[left:stop])
+                if rank is not None:
+                    heappush(waiting, rank * n + left)
+        out, i = [], 0
+        while i < n:
+            out.append(ids[word[i : end[i]]])
+            i = end[i]
+        return out
+
     def _find_merges(self) -> None:
         """The two tokens each token was merged from, and the table of merges."""
         self.left = np.arange(self.size, dtype=np.int64)
@@ -199,14 +240,30 @@ class Vocabulary:
         order = np.argsort(np.concatenate(place), kind="stable")
         return word[order], token[order]
 
-    def greedy(self, word: bytes) -> list[int]:
+    def greedy(self, word: bytes, block: int = 1 << 16) -> list[int]:
+        """Greedy longest match of one word, from the longest token at each of its places."""
+        data = np.frombuffer(word, np.uint8)
         out, at = [], 0
-        while at < len(word):
-            size = min(self.longest, len(word) - at)
-            while word[at : at + size] not in self.ids:
-                size -= 1
-            out.append(self.ids[word[at : at + size]])
-            at += size
+        for first in range(0, len(word), block):
+            walk = np.arange(first, min(first + block, len(word)))
+            token = np.full(len(walk), -1, np.int64)
+            size = np.zeros(len(walk), np.int64)
+            state, depth = np.zeros(len(walk), np.int64), 0
+            while len(walk):
+                key = state * 256 + data[walk + depth]
+                slot = np.minimum(np.searchsorted(self.edge_keys, key), len(self.edge_keys) - 1)
+                found = self.edge_keys[slot] == key
+                walk, state = walk[found], self.edge_to[slot[found]]
+                depth += 1
+                accepted = self.accepts[state]
+                hit = accepted >= 0
+                token[walk[hit] - first], size[walk[hit] - first] = accepted[hit], depth
+                more = walk + depth < len(word)
+                walk, state = walk[more], state[more]
+            token, size = token.tolist(), size.tolist()
+            while at - first < len(token):
+                out.append(token[at - first])
+                at += size[at - first]
         return out
 
     def merge_many(self, words: list[bytes]) -> list[list[int]]:
@@ -286,6 +343,7 @@ class Encoder:
         self.vocabulary = vocabulary
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.find = regex.compile(WORD_PATTERN).findall
         self.ragged = re.compile(r"\s | \s|^ | $").search
         self.sizes = np.fromiter(map(len, vocabulary.bytes), np.int64, vocabulary.size)
@@ -300,7 +358,7 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         split = [self.find(c) for c in chunks]
-        if len(self.words) > KEPT_CHUNKS:
+        if len(self.words) > KEPT_CHUNKS or self.held > KEPT_BYTES:
             self.words.clear()
         new = list({w for words in split for w in words if w not in self.words})
         for word, ids in zip(
@@ -308,10 +366,12 @@ class Encoder:
         ):
             self.words[word] = np.array(ids, np.int32).tobytes()
         get = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(get, w))) for c, w in zip(chunks, split, strict=True))
+        learned = [b"".join(map(get, w)) for w in split]
+        self.chunks.update(zip(chunks, learned, strict=True))
+        self.held += sum(map(len, chunks)) + sum(map(len, learned))
 
-    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets of each text's ids)."""
+    def _packed(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text as the bytes of 32-bit integers."""
         special = self.vocabulary.special_pattern
         cut: list[list[str]] = []
         for text in texts:
@@ -329,22 +389,32 @@ class Encoder:
                 at = hit.end()
             cut.append(keys + self.find(text[at:]))
         known = self.chunks
-        if len(known) > KEPT_CHUNKS:
+        if len(known) > KEPT_CHUNKS or self.held > KEPT_BYTES:
             kept = {k: v for k, v in known.items() if k[:1] == "\0" and len(k) > 1}
             known.clear()
             known.update(kept)
-        new = list({c for keys in cut for c in keys if c not in known})
+            self.words.clear()
+            self.held = 0
+        new = list(set(chain.from_iterable(cut)).difference(known))
         if new:
             self._learn(new)
         get = known.__getitem__
-        packed = [b"".join(map(get, keys)) for keys in cut]
+        return (b"".join(map(get, keys)) for keys in cut)
+
+    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text's ids)."""
+        packed = list(self._packed(texts))
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])])
         return np.frombuffer(b"".join(packed), np.int32), offsets.astype(np.int64)
 
+    def count(self, texts: Iterable[str | None]) -> np.ndarray:
+        """How many ids each text has."""
+        return np.array([len(p) // 4 for p in self._packed(texts)], np.int64)
+
     def forget(self) -> None:
         """Give back the tables, as another stage may follow in the same worker."""
-        self.chunks, self.words = {}, {}
-        pa.default_memory_pool().release_unused()
+        self.chunks, self.words, self.held = {}, {}, 0
+        give_back()
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The text of each run of ids."""
@@ -360,6 +430,14 @@ class Encoder:
         ]
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
@@ -410,6 +488,44 @@ def encode(
     return rest.mapInArrow(run, schema)
 
 
+def count_tokens(
+    df: DataFrame, vocabularies: dict[str, str], *, text: str = "text", asked: str | None = None
+) -> DataFrame:
+    """``df`` without its texts, with a count of tokens per vocabulary.
+
+    ``vocabularies`` has a file for each new column. The first counts every text; with
+    ``asked``, a boolean column, the others count only where it is true and are null
+    elsewhere.
+    """
+    rest = df.drop(text, *vocabularies)
+    new = [T.StructField(name, T.LongType()) for name in vocabularies]
+    schema = T.StructType([*rest.schema.fields, *new])
+    contents = [share(df, path) for path in vocabularies.values()]
+    names = rest.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [encoder(content) for content in contents]
+        for batch in batches:
+            for part in _slices(batch, 500):
+                texts = part.column(text).to_pylist()
+                columns = [part.column(name) for name in names]
+                for i, one in enumerate(own):
+                    if asked is None or not i:
+                        columns.append(pa.array(one.count(texts)))
+                        continue
+                    flags = part.column(asked).fill_null(False)
+                    where = flags.to_numpy(zero_copy_only=False)
+                    counts = np.zeros(len(where), np.int64)
+                    counts[where] = one.count(texts[i] for i in np.flatnonzero(where).tolist())
+                    columns.append(pa.array(counts, mask=~where))
+                yield pa.RecordBatch.from_arrays(columns, [*names, *vocabularies])
+        for one in own:
+            one.forget()
+
+    kept = [text, *names] if text not in names else names
+    return df.select(*kept).mapInArrow(run, schema)
+
+
 def decode(
     df: DataFrame, vocabulary: str, *, ids: str = "token_ids", text: str = "decoded"
 ) -> DataFrame:

@@ -127,40 +127,63 @@ def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token totals after three batches, one of which is sent twice.
 
-    All documents are counted with one vocabulary; then exact copies (all but the
-    smallest id of a text) go; then what is not English is counted anew with a
-    vocabulary for many languages.
+    All documents are counted with one vocabulary; then exact copies go (of each text one
+    row stays, that with the smallest id, language and source); then what is not English is
+    counted anew with a vocabulary for many languages. Copies are summed up per text, source
+    and language, so each distinct text is read and encoded once.
     """
-    documents = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
-
-    def counted(df: DataFrame, vocabulary: str) -> DataFrame:
-        return bpe.encode(df, vocabulary).select(
-            "doc_id",
-            "source",
-            "lang",
-            F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"),
-            F.size("token_ids").cast("long").alias("tokens"),
-            F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"),
-        )
-
-    first = materialize(counted(documents, BYTE_BPE), "token-counts")
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
+    documents = table(spark, folder, "documents").select(
+        "doc_id", "source", "lang", "text", digest
+    )
+    groups = materialize(
+        documents.groupBy("digest", "source", "lang").agg(
+            F.count(F.lit(1)).alias("docs"),
+            F.min("doc_id").alias("doc_id"),
+            F.max(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("chars"),
+        ),
+        "text-groups",
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "lang", "source")
+    kept = groups.groupBy("digest").agg(F.min(order).alias("kept"))
     # A null language is not English either.
-    foreign = ~F.col("lang").eqNullSafe("en")
-    again = counted(documents.where(foreign), MULTI_BPE)
-    kept = first.groupBy("digest").agg(F.min("doc_id").alias("kept"))
-    copies = first.join(kept, "digest").where("doc_id > kept")
-    rest = kept.select("digest", F.col("kept").alias("doc_id"))
+    foreign = ~F.col("kept.lang").eqNullSafe("en")
+    texts = documents.alias("d").join(
+        kept.select("digest", "kept", foreign.alias("foreign")).alias("k"),
+        (F.col("d.digest") == F.col("k.digest"))
+        & F.col("d.doc_id").eqNullSafe(F.col("k.kept.doc_id")),
+    )
+    old, new = "byte_bpe_50k", "byte_bpe_multi_50k"
+    counted = (
+        bpe.count_tokens(
+            texts.select("d.digest", "text", "kept", "foreign"),
+            {old: BYTE_BPE, new: MULTI_BPE},
+            asked="foreign",
+        )
+        .groupBy("digest")
+        .agg(*[F.max(c).alias(c) for c in ("kept", "foreign", old, new)])
+    )
+    stays = [F.col(c).eqNullSafe(F.col("kept")[c]) for c in ("doc_id", "lang", "source")]
+    rows = materialize(
+        groups.join(counted, "digest").select(
+            "source", "lang", "docs", "chars", "foreign", old, new,
+            (stays[0] & stays[1] & stays[2]).cast("long").alias("stays"),
+        ),
+        "token-counts",
+    ).withColumn("gone", F.col("docs") - F.col("stays"))
     rollup = token_rollup.TokenRollup(
         spark, f"{scratch_folder(spark)}/token-rollup-{uuid.uuid4().hex}"
     )
-    old, new = "byte_bpe_50k", "byte_bpe_multi_50k"
-    rollup.apply("load", token_rollup.signed(first, 1, old))
-    rollup.apply("copies", token_rollup.signed(copies, -1, old))
-    rollup.apply("copies", token_rollup.signed(copies, -1, old))
-    revised = token_rollup.signed(
-        first.where(foreign).join(rest, ["digest", "doc_id"]), -1, old
-    ).union(token_rollup.signed(again.join(rest, ["digest", "doc_id"]), 1, new))
-    rollup.apply("revised", revised)
+    signed = token_rollup.signed
+    rollup.apply("load", signed(rows, 1, old, docs="docs", tokens=old))
+    copies = signed(rows, -1, old, docs="gone", tokens=old)
+    rollup.apply("copies", copies)
+    rollup.apply("copies", copies)
+    revised = rows.where((F.col("stays") == 1) & F.col("foreign"))
+    rollup.apply(
+        "revised",
+        signed(revised, -1, old, tokens=old).union(signed(revised, 1, new, tokens=new)),
+    )
     return rollup.totals()
 
 

@@ -26,15 +26,21 @@ COUNTS = ["docs", "tokens", "chars"]
 SCHEMA = "source string, lang string, version string, docs long, tokens long, chars long"
 
 
-def signed(df: DataFrame, sign: int, version: str) -> DataFrame:
-    """Rows of a batch from ``<source, lang, tokens, chars>``, one per document."""
+def signed(
+    df: DataFrame, sign: int, version: str, *, docs: str | None = None, tokens: str = "tokens"
+) -> DataFrame:
+    """Rows of a batch from ``<source, lang, tokens, chars>``, one per document.
+
+    With ``docs``, a row stands for as many equal documents as this column says.
+    """
+    n = F.lit(sign) if docs is None else F.col(docs) * sign
     return df.select(
         F.col("source"),
         F.col("lang"),
         F.lit(version).alias("version"),
-        F.lit(sign).cast("long").alias("docs"),
-        (F.col("tokens") * sign).cast("long").alias("tokens"),
-        (F.col("chars") * sign).cast("long").alias("chars"),
+        n.cast("long").alias("docs"),
+        (F.col(tokens) * n).cast("long").alias("tokens"),
+        (F.col("chars") * n).cast("long").alias("chars"),
     )
 
 
