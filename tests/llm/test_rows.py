@@ -101,3 +101,23 @@ def test_token_counts_equal_the_libraries(spark, folder):
         want[key] = (docs + 1, tokens + n, chars + len(text))
     got = QUERIES["op8_token_counts"](spark, sf).collect()
     assert {(r.source, r.lang, r.version): (r.docs, r.tokens, r.chars) for r in got} == want
+
+
+def test_one_row_of_each_text_is_counted(spark, folder):
+    """Repeated rows, ids that texts share and rows without an id."""
+    rows = [
+        (1, "alpha beta", "en", "a", 1),
+        (1, "alpha beta", "en", "a", 1),
+        (1, "alpha beta", "de", "a", 1),
+        (None, "alpha beta", "en", "b", 1),
+        (None, "gamma", "fr", "b", 1),
+        (None, "gamma", "fr", "b", 1),
+        (1, "delta", "en", "a", 1),
+    ]
+    got = QUERIES["op8_token_counts"](spark, folder(documents=(rows, DOCUMENT))).collect()
+    found = {(r.source, r.lang, r.version): (r.docs, r.chars) for r in got}
+    assert found == {
+        ("a", "de", "byte_bpe_multi_50k"): (1, 10),
+        ("b", "fr", "byte_bpe_multi_50k"): (1, 5),
+        ("a", "en", "byte_bpe_50k"): (1, 5),
+    }

@@ -82,6 +82,36 @@ def test_bpe_keeps_columns_and_takes_rank_files(spark, rows):
     assert bpe.decode(nulls, MULTI_BPE).first()["decoded"] == ""
 
 
+def test_long_words_and_full_tables(monkeypatch):
+    """Runs without a space, in several scripts, and tables that turn over at every batch."""
+    import random
+
+    tokenizers = pytest.importorskip("tokenizers")
+    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 50)
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    signs = letters + letters.upper() + "0123456789+/"
+    texts = [
+        "漢字仮名" * 200,
+        "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(2000)),
+        "".join(draw.choice(signs) for _ in range(6000)),
+        "".join(draw.choice(letters) for _ in range(70_000)),
+        "ab" * 2000 + "a" * 3001,
+        *(" ".join(draw.choice(letters) * n + draw.choice(letters) for n in range(80)) for _ in range(9)),
+        None,
+        "",
+    ]
+    with open(BYTE_BPE, "rb") as file:
+        content = file.read()
+    own = bpe.Encoder(bpe.Vocabulary.parse(content))
+    library = tokenizers.Tokenizer.from_buffer(content)
+    for text in [*texts, *texts]:
+        want = library.encode(text or "", add_special_tokens=False).ids
+        assert own.encode([text])[0].tolist() == want
+        assert own.count([text]).tolist() == [len(want)]
+    assert max(len(own.chunks), len(own.words)) < 400
+
+
 def brute_spans(text: str) -> list[tuple[str, int, int]]:
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",

@@ -7,7 +7,7 @@ gives these two tokens again. Compatibility is decided for all pairs of a batch
 at once by undoing merges in step (see :meth:`Vocabulary.compatible`). Only
 words with an incompatible pair are merged rank by rank.
 
-Words are segmented once per worker and kept in a table of bounded size.
+Words are segmented when a task meets them and kept in tables of bounded size.
 
 Defined cases: a null text is encoded like an empty one (no tokens); a special
 token's string becomes its id, as in the tokenizer file; every text of any
@@ -37,9 +37,10 @@ from pyspark.sql import types as T
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-#: Chunks, and bytes of chunks and ids, kept in a worker; a table that is full starts anew.
-KEPT_CHUNKS = 200_000
-KEPT_BYTES = 16 << 20
+#: Chunks, and bytes of chunks and ids, in a worker's table. A full table becomes the old one,
+#: from which chunks that are met again are taken over; the old one before it is dropped.
+KEPT_CHUNKS = 100_000
+KEPT_BYTES = 8 << 20
 #: Longer words are segmented one by one, as their many steps would hold up a batch.
 BATCH_WORD_BYTES = 64
 
@@ -51,6 +52,10 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _packed_ids(ids: np.ndarray) -> bytes:
+    return ids.astype(np.int32).tobytes()
+
+
 class Vocabulary:
     """Token bytes by id; an id is higher than those of the tokens merged into it."""
 
@@ -266,10 +271,10 @@ class Vocabulary:
                 at += size[at - first]
         return out
 
-    def merge_many(self, words: list[bytes]) -> list[list[int]]:
-        """Exact merging of many short words in step, one merge a word at a time."""
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Exact merging of many short words in step, one merge a word at a time; packed ids."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        out: list[list[int]] = [[]] * len(words)
+        out: list[bytes] = [b""] * len(words)
         for size in np.unique(lengths).tolist():
             rows = np.flatnonzero(lengths == size)
             flat = np.frombuffer(b"".join(words[i] for i in rows), np.uint8)
@@ -281,8 +286,9 @@ class Vocabulary:
                 line = np.arange(len(rows))
                 value = ranks[line, best] if width else np.full(len(rows), self.size)
                 done = value >= self.size
-                for i, ids in zip(rows[done].tolist(), parts[done].tolist(), strict=True):
-                    out[i] = ids
+                ids, span = _packed_ids(parts[done]), 4 * (width + 1)
+                for at, i in enumerate(rows[done].tolist()):
+                    out[i] = ids[at * span : (at + 1) * span]
                 go = ~done
                 rows, parts, ranks = rows[go], parts[go], ranks[go]
                 best, value, line = best[go], value[go], np.arange(len(rows))
@@ -299,9 +305,9 @@ class Vocabulary:
                     ranks[x, y] = self._merged(parts[x, y], parts[x, y + 1])
         return out
 
-    def segment(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word: proposed, verified, and merged exactly where that failed."""
-        out: list[list[int]] = [[]] * len(words)
+    def segment(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word: proposed, verified, and merged exactly where that failed."""
+        out: list[bytes] = [b""] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         short = np.flatnonzero((lengths <= BATCH_WORD_BYTES) & (lengths > 0))
         for at in range(0, len(short), 20_000):
@@ -310,8 +316,8 @@ class Vocabulary:
             end = np.cumsum(lengths[part])
             owner, token = self.propose(data, end - lengths[part], end)
             failing = self._failing(owner, token)
-            bounds = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
-            tokens = token.tolist()
+            bounds = (4 * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
+            tokens = _packed_ids(token)
             for i, a, b in zip(part.tolist(), bounds, bounds[1:], strict=False):
                 out[i] = tokens[a:b]
             redo = part[failing].tolist()
@@ -320,7 +326,7 @@ class Vocabulary:
         for i in np.flatnonzero(lengths > BATCH_WORD_BYTES).tolist():
             ids = np.array(self.greedy(words[i]), np.int64)
             right = not len(self._failing(np.zeros(len(ids), np.int64), ids))
-            out[i] = ids.tolist() if right else self.merge(words[i])
+            out[i] = _packed_ids(ids if right else np.array(self.merge(words[i])))
         return out
 
     def _failing(self, owner: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -343,6 +349,8 @@ class Encoder:
         self.vocabulary = vocabulary
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.held = 0
         self.find = regex.compile(WORD_PATTERN).findall
         self.ragged = re.compile(r"\s | \s|^ | $").search
@@ -356,17 +364,32 @@ class Encoder:
             return self.find(text)
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.find(text)
 
+    def _turn(self) -> None:
+        """Make full tables the old ones; special tokens stay in the new one."""
+        special = {k: v for k, v in self.chunks.items() if k[:1] == "\0" and len(k) > 1}
+        self.old_chunks, self.chunks = self.chunks, special
+        self.old_words, self.words = self.words, {}
+        self.held = 0
+
+    @staticmethod
+    def _missing(needed: set[str], known: dict[str, bytes], old: dict[str, bytes]) -> list[str]:
+        """What neither table has; what only the old one has is taken over."""
+        needed = needed.difference(known)
+        again = needed.intersection(old)
+        known.update((key, old[key]) for key in again)
+        return list(needed - again)
+
     def _learn(self, chunks: list[str]) -> None:
-        split = [self.find(c) for c in chunks]
-        if len(self.words) > KEPT_CHUNKS or self.held > KEPT_BYTES:
-            self.words.clear()
-        new = list({w for words in split for w in words if w not in self.words})
-        for word, ids in zip(
-            new, self.vocabulary.segment([w.encode() for w in new]), strict=True
-        ):
-            self.words[word] = np.array(ids, np.int32).tobytes()
+        # Plain letters after at most one space are a single word.
+        split = [
+            [c] if c.isascii() and c.lstrip(" ").isalpha() else self.find(c) for c in chunks
+        ]
+        new = self._missing(set(chain.from_iterable(split)), self.words, self.old_words)
+        self.words.update(
+            zip(new, self.vocabulary.segment([w.encode() for w in new]), strict=True)
+        )
         get = self.words.__getitem__
-        learned = [b"".join(map(get, w)) for w in split]
+        learned = [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in split]
         self.chunks.update(zip(chunks, learned, strict=True))
         self.held += sum(map(len, chunks)) + sum(map(len, learned))
 
@@ -388,14 +411,10 @@ class Encoder:
                 keys.append(key)
                 at = hit.end()
             cut.append(keys + self.find(text[at:]))
+        if max(len(self.chunks), len(self.words)) > KEPT_CHUNKS or self.held > KEPT_BYTES:
+            self._turn()
         known = self.chunks
-        if len(known) > KEPT_CHUNKS or self.held > KEPT_BYTES:
-            kept = {k: v for k, v in known.items() if k[:1] == "\0" and len(k) > 1}
-            known.clear()
-            known.update(kept)
-            self.words.clear()
-            self.held = 0
-        new = list(set(chain.from_iterable(cut)).difference(known))
+        new = self._missing(set(chain.from_iterable(cut)), known, self.old_chunks)
         if new:
             self._learn(new)
         get = known.__getitem__
@@ -413,7 +432,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Give back the tables, as another stage may follow in the same worker."""
-        self.chunks, self.words, self.held = {}, {}, 0
+        self.chunks, self.words, self.old_chunks, self.old_words = {}, {}, {}, {}
+        self.held = 0
         give_back()
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
