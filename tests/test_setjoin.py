@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,51 @@ def test_bitmaps_keep_pairs_from_verification(random_records):
         counts.append(setjoin.candidate_sets(encoded, ranks, 0.3).count())
     verified = setjoin.similar_sets(random_records, 0.3).pairs.where("set1 != set2").count()
     assert verified <= counts[1] < counts[0]
+
+
+def cell_lists(rng, n, first_id):
+    sets = [sorted(rng.sample(range(40), rng.randint(1, 12))) for _ in range(n)]
+    table = {
+        "set_id": [first_id + 2 * i for i in range(n)],
+        "n": [len(s) for s in sets],
+        "rest": [0] * n,
+        "last_rank": [s[-1] for s in sets],
+        "prefix": pa.array(sets, pa.list_(pa.int32())),
+    }
+    return setjoin._Lists(pa.table(table)), dict(zip(table["set_id"], map(set, sets), strict=True))
+
+
+@pytest.mark.parametrize(("lookups", "hits", "dense"), [(1 << 18, 1 << 22, 16), (1, 1, 0), (20, 90, 99)])
+def test_cells_count_all_shared_tokens(monkeypatch, lookups, hits, dense):
+    """However the work inside a cell is cut, whole sets give their exact overlaps."""
+    for name, value in (("LOOKUPS", lookups), ("HITS", hits), ("DENSE", dense)):
+        monkeypatch.setattr(setjoin, name, value)
+    rng, tau = random.Random(5), 0.3
+    s, left = cell_lists(rng, 40, 0)
+    l, right = cell_lists(rng, 50, 1)
+    found = {}
+    for i, j, shared in setjoin.shared_in_cell(s, l, tau):
+        for a, b, c in zip(s.ids[i].tolist(), l.ids[j].tolist(), shared.tolist(), strict=True):
+            assert (a, b) not in found
+            found[a, b] = c
+    expected = {}
+    for a, x in left.items():
+        for b, y in right.items():
+            common = len(x & y)
+            smaller = (len(x), a) < (len(y), b) and len(x) >= tau * len(y)
+            if smaller and common >= math.ceil(tau / (1 + tau) * (len(x) + len(y)) - 1e-9):
+                expected[a, b] = common
+    assert found == expected and found
+
+
+def test_candidates_move_no_row_per_shared_token(random_records):
+    """Common tokens are counted where two blocks meet, not by grouping pairs."""
+    encoded, ranks = encoded_records(random_records, 0)
+    plan = setjoin.candidate_sets(encoded, ranks, 0.5)._jdf.queryExecution().executedPlan()
+    assert "Aggregate" not in plan.toString()
+
+
+def test_low_threshold_reads_no_arrays_again(random_records, monkeypatch):
+    """Whole sets are counted, so nothing is left to verify."""
+    monkeypatch.setattr(setjoin, "verify", None)
+    assert setjoin.similar_sets(random_records, 0.3).pairs.count()

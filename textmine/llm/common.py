@@ -7,14 +7,12 @@ text or word.
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+
+from textmine.sources.package import ship_package as ship_package
 
 #: Bytes of text that are worked on at once; a longer single text is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -194,23 +192,3 @@ def list_arrays(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
             column = column.chunk(0)
     offsets = column.offsets.to_numpy()
     return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Let the executors import this package if it is not installed there.
-
-    The source files go out through Spark's own file server, once per application.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(root.rglob("*.py")):
-            out.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
