@@ -130,7 +130,8 @@ def drop_stopwords_list(spark, folder):
 @query
 def drop_long_stopwords(spark, folder):
     """All terms of one document only, thousands of them, dropped inside the rows."""
-    documents = tables.document_terms(spark, folder)
+    # Read twice, for the list and for the rows.
+    documents = materialize(tables.document_terms(spark, folder), "terms")
     rare = tokens.distinct_terms(documents, "id").groupBy("term").agg(F.count("id").alias("df"))
     kept = tokens.clean_words(
         documents, ("id",), stopwords=rare.where(F.col("df") == 1).select("term")

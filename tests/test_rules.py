@@ -102,3 +102,25 @@ def test_large_weights_are_plain_decimals(spark):
     lines = tfidf_lines(spark.createDataFrame(rows, "term string, period string, weight double"))
     texts = [r["output"].partition("\t")[2] for r in lines.collect()]
     assert texts == ['"p,12345678.5"', '"p,30000000.0"', '"p,1.25"']
+
+
+def test_only_places_of_stop_words_move(spark, monkeypatch):
+    """A long list costs what it drops: the words kept are cut from the row, not put together."""
+    monkeypatch.setattr(tokens, "MAX_INLINE_STOPWORDS", 1)
+    rows = [
+        (1, ["a", "b", "a", "c", "c", "a"]),
+        (2, ["b", "c", "b"]),
+        (3, ["a", None, "b", "a"]),
+        (4, ["b", "b", "c"]),
+        (5, []),
+        (6, None),
+        (7, ["x", "y"]),
+    ]
+    df = spark.createDataFrame(rows, "id int, words array<string>")
+    for stop in (["b", "c", "q", None], spark.createDataFrame([("b",), ("c",), (None,), ("q",)], "w string")):
+        cleaned = tokens.clean_words(df, ["id"], stopwords=stop)
+        assert dict(map(tuple, cleaned.collect())) == {
+            1: ["a", "a", "a"], 2: [], 3: ["a", "a"], 4: [], 5: [], 6: None, 7: ["x", "y"]
+        }
+        plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(_at" in plan and "collect_list(struct" not in plan

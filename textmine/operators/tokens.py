@@ -80,7 +80,7 @@ def clean_words(
     Every row stays, also with no word left (an empty array); words keep their
     order and multiplicity, however many stop words there are. The length of the
     list only chooses the plan: a short one filters the arrays in place, a long
-    one is joined to the words, which are then put back in order.
+    one is joined to the words, and those found are cut out by their places.
     """
     listed: list[str] | None = []
     if isinstance(stopwords, DataFrame):
@@ -105,20 +105,32 @@ def clean_words(
         df.select(
             *keys,
             F.monotonically_increasing_id().alias("_row"),
-            keep_words(F.col(words), lowercase_initial=lowercase_initial).alias("words"),
+            F.array_compact(keep_words(F.col(words), lowercase_initial=lowercase_initial)).alias(
+                "words"
+            ),
         ),
         "words",
     )
-    terms = numbered.select("_row", F.posexplode_outer("words").alias("_at", "term"))
-    kept = (
-        drop_stopwords(terms.where(F.col("term").isNotNull()), stopwords)
+    # Only the places of stop words move and are joined back; the words between them
+    # are cut from the row, which costs its length and the number of places.
+    if not isinstance(stopwords, DataFrame):
+        stopwords = df.sparkSession.createDataFrame([(w,) for w in stopwords], "term string")
+    places = (
+        numbered.select("_row", F.posexplode_outer("words").alias("_at", "term"))
+        .where(F.col("term").isNotNull())
+        .join(stopwords.distinct(), "term", "left_semi")
         .groupBy("_row")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "term"))).alias("_kept"))
+        .agg(F.array_sort(F.collect_list("_at")).alias("_places"))
+    )
+    bounds = F.concat(F.array(F.lit(-1)), F.col("_places"), F.array(F.size("words")))
+    between = F.transform(
+        F.arrays_zip(
+            F.slice(bounds, F.lit(1), F.size("_places") + 1).alias("after"),
+            F.slice(bounds, F.lit(2), F.size("_places") + 1).alias("before"),
+        ),
+        lambda gap: F.slice(F.col("words"), gap["after"] + 2, gap["before"] - gap["after"] - 1),
     )
-    return numbered.join(kept, "_row", "left").select(
+    return numbered.join(places, "_row", "left").select(
         *keys,
-        F.when(
-            F.col("words").isNotNull(),
-            F.coalesce(F.col("_kept.term"), F.array().cast("array<string>")),
-        ).alias("words"),
+        F.when(F.col("_places").isNull(), F.col("words")).otherwise(F.flatten(between)).alias("words"),
     )
