@@ -276,3 +276,11 @@ def test_low_threshold_reads_no_arrays_again(random_records, monkeypatch):
     """Whole sets are counted, so nothing is left to verify."""
     monkeypatch.setattr(setjoin, "verify", None)
     assert setjoin.similar_sets(random_records, 0.3).pairs.count()
+
+
+@pytest.mark.parametrize("tau", [0.2, 0.6])
+def test_a_repeated_row_counts_its_tokens_once(spark, tau):
+    rows = [(1, "x", ["a", "b", "c", "d"])] * 2 + [(2, "y", ["a", "b", "c", "e"]), (3, "z", ["e"])]
+    pairs = jaccard_self_join(spark.createDataFrame(rows, SCHEMA), tau)
+    expected = {(1, 2, 0.6)} | ({(2, 3, 0.25)} if tau < 0.25 else set())
+    assert set(tuples(pairs)) == expected
