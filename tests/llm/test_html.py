@@ -77,6 +77,21 @@ def test_text_of_an_article_stays_where_it_repeats(spark):
     assert texts(spark, rows) == {i: f"Same\nOwn {i}" for i in range(8)}
 
 
+def test_template_containers_without_slots_leave_the_article(spark):
+    """Fixed texts go with a container that has no slot; beside a slot they stay."""
+    rules = "<div class=x7><p>Read our rules<section><p>Ask us</section></div>"
+    rows = [
+        (i, f"https://a.example/{i}", f"<article><p>Own {i}{rules}<div class=y><p>Fixed<p>Data {i}</div>"
+         f"<p>Same</article>")
+        for i in range(8)
+    ]
+    rows.append((50, "https://a.example/50", f"<article>{rules}</article>"))
+    got = texts(spark, rows)
+    assert got.pop(50) == "Read our rules\nAsk us"
+    assert got == {i: f"Own {i}\nFixed\nData {i}\nSame" for i in range(8)}
+    assert texts(spark, rows[:3])[0] == main_text(rows[0][2])
+
+
 def test_odd_rows(spark):
     schema = SCHEMA + ", text int, host string, template string, page int"
     rows = [(1, None, page(1), 5, "h", "t", 1), (2, "https://x", None, 5, "h", "t", 1), (3, "x", "", 1, "", "", 2)]

@@ -9,8 +9,9 @@ different pages, of which there must be a few, and has more than one token. The
 valid classes are the host's template; they nest in the containers of their classes, and
 what stands between them are the slots. Everything in the slots is extracted.
 
-If a page has an article or main element, its text is what the outermost ones hold, whole,
-even where it repeats. Otherwise it is every block that is not template text. In both cases
+If a page has an article or main element, its text is what the outermost ones hold, also
+sentences that repeat beside a slot. Template texts are left out of it where the container
+they nest in, below the article, is of the template too and has no slot on the page. Otherwise it is every block that is not template text. In both cases
 containers of menus, notices, adverts, forms, comments and the like are left out, with one
 exception: a container that is marked so by its class only, but holds the page's sole article.
 
@@ -20,7 +21,8 @@ character references are decoded. Nothing inside the slots is dropped or capped.
 Defined cases: a null or empty page has an empty text; pages are read whole;
 unclosed and stray tags are tolerated, also a head that is not closed; a null url is a
 host of its own; copies of a page are one page of its host, so they make no template;
-repeated rows get the same text; if all blocks of a page are template, it keeps them;
+repeated rows get the same text; if all blocks of a page or its article are template, it
+keeps them;
 an empty table gives an empty result; other columns are kept, one with the result's
 name is replaced.
 """
@@ -86,6 +88,7 @@ class Block:
     state: int  # FREE, MARKED or FOREIGN, inside the article if there is one
     article: bool  # whether it stands in an article or main element
     wrapped: bool  # whether that element stands in a marked container
+    inside: int = -1  # number of its container on the page, -1 outside of all
 
 
 @dataclass
@@ -95,6 +98,7 @@ class _Container:
     state: int
     article: bool
     wrapped: bool
+    number: int = -1
 
 
 def _names(attributes: str) -> str:
@@ -131,6 +135,7 @@ class _Page:
     def __init__(self, page: str):
         self.blocks: list[Block] = []
         self.tags: list[str] = []
+        self.above: list[int] = []  # the container that holds each one
         self.path = [_Container("", "", FREE, False, False)]
         self.parts: list[str] = []
         at = 0
@@ -190,8 +195,10 @@ class _Page:
             # Marks count again inside the article; around it they are remembered.
             article, wrapped = True, state == MARKED
             state = FREE if state == MARKED else state
+        number = len(self.tags)
         self.tags.append(path)
-        self.path.append(_Container(tag, path, state, article, wrapped))
+        self.above.append(above.number)
+        self.path.append(_Container(tag, path, state, article, wrapped, number))
 
     def _end_block(self) -> None:
         text = " ".join(html_lib.unescape("".join(self.parts)).split())
@@ -199,7 +206,9 @@ class _Page:
         if text:
             inside = self.path[-1]
             self.blocks.append(
-                Block(inside.path, text, inside.state, inside.article, inside.wrapped)
+                Block(
+                    inside.path, text, inside.state, inside.article, inside.wrapped, inside.number
+                )
             )
 
 
@@ -208,18 +217,55 @@ def text_token(block: Block) -> int:
     return xxhash.xxh3_64_intdigest(f"{block.path}\0{block.text}") - (1 << 63)
 
 
-def main_text(page: str, template: Collection[int] = ()) -> str:
-    """The text of a page on a host with these template texts."""
-    free = [b for b in _Page(page).blocks if b.state == FREE]
-    article = [b for b in free if b.article]
-    kept = [b for b in article if not b.wrapped] or article
-    if not kept:
-        kept = [b for b in free if text_token(b) not in template] or free
-    return "\n".join(b.text for b in kept)
+def tag_token(path: str) -> int:
+    """A container's path as a signed 64-bit number."""
+    return xxhash.xxh3_64_intdigest(path) - (1 << 63)
+
+
+def main_text(page: str, template: Collection[int] = (), containers: Collection[int] = ()) -> str:
+    """The text of a page on a host with these template texts and the containers of their classes."""
+    parsed = _Page(page)
+    free = [b for b in parsed.blocks if b.state == FREE]
+    slots = [text_token(b) not in template for b in free]
+    article = [b.article for b in free]
+    if any(article):
+        bare = [a and not b.wrapped for a, b in zip(article, free, strict=True)]
+        inside = bare if any(bare) else article
+        filled = _filled(parsed, [b for b, slot in zip(free, slots, strict=True) if slot])
+        boilerplate = [
+            not slot and _nested(parsed, b) and b.inside not in filled
+            and tag_token(b.path) in containers
+            for b, slot in zip(free, slots, strict=True)
+        ]
+        kept = [i and not x for i, x in zip(inside, boilerplate, strict=True)]
+        kept = kept if any(kept) else inside
+    else:
+        kept = slots if any(slots) else [True] * len(free)
+    return "\n".join(b.text for b, keep in zip(free, kept, strict=True) if keep)
+
+
+def _filled(page: _Page, slots: list[Block]) -> set[int]:
+    """The containers of a page that have a slot, at any depth."""
+    filled: set[int] = set()
+    for block in slots:
+        at = block.inside
+        while at >= 0 and at not in filled:
+            filled.add(at)
+            at = page.above[at]
+    return filled
+
+
+def _nested(page: _Page, block: Block) -> bool:
+    """Whether a block stands in a container below an article, not in the article itself."""
+    tag = page.tags[block.inside].rsplit("/", 1)[-1].split(".", 1)[0] if block.inside >= 0 else ""
+    return block.article and tag not in ("article", "main")
 
 
 def templates(pages: DataFrame, *, html: str) -> DataFrame:
-    """``<host, template: array<long>>`` from ``<host, page, html>``: the texts of valid classes."""
+    """``<host, template: array<long>, containers: array<long>>`` from ``<host, page, html>``.
+
+    These are the texts of valid classes and the containers of the same classes.
+    """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,9 +274,7 @@ def templates(pages: DataFrame, *, html: str) -> DataFrame:
             for host, key, page in zip(hosts, keys, batch.column(2).to_pylist(), strict=True):
                 found = _Page(page or "")
                 counts = Counter((text_token(b), True) for b in found.blocks if b.state == FREE)
-                counts.update(
-                    (xxhash.xxh3_64_intdigest(t) - (1 << 63), False) for t in found.tags
-                )
+                counts.update((tag_token(t), False) for t in found.tags)
                 for (token, is_text), n in counts.items():
                     vector = xxhash.xxh3_64_intdigest(f"{key} {n}") - (1 << 63)
                     rows.append((host, token, is_text, vector >> 16))
@@ -257,11 +301,15 @@ def templates(pages: DataFrame, *, html: str) -> DataFrame:
     classes = frequent.groupBy("host", "pages", "vector").agg(
         F.count(F.lit(1)).alias("tokens"),
         F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"),
+        F.collect_list(F.when(~F.col("is_text"), F.col("token"))).alias("tags"),
     )
     return (
         classes.where((F.col("tokens") > 1) & (F.size("texts") > 0))
         .groupBy("host")
-        .agg(F.flatten(F.collect_list("texts")).alias("template"))
+        .agg(
+            F.flatten(F.collect_list("texts")).alias("template"),
+            F.flatten(F.collect_list("tags")).alias("containers"),
+        )
     )
 
 
@@ -277,7 +325,9 @@ def extract(
     # Written, so that its true size decides whether the join broadcasts it; else the
     # adaptive skew join splits the pages of a large host.
     found = materialize(templates(pages, html=html), "page-templates").select(
-        F.col("host").alias("__host"), F.col("template").alias("__template")
+        F.col("host").alias("__host"),
+        F.col("template").alias("__template"),
+        F.col("containers").alias("__containers"),
     )
     joined = rest.join(found, host == F.col("__host"), "left").drop("__host")
     names = rest.columns
@@ -287,15 +337,16 @@ def extract(
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
                 texts = [
-                    main_text(page or "", frozenset(template or ()))
-                    for page, template in zip(
+                    main_text(page or "", frozenset(template or ()), frozenset(containers or ()))
+                    for page, template, containers in zip(
                         part.column(place).to_pylist(),
                         part.column(len(names)).to_pylist(),
+                        part.column(len(names) + 1).to_pylist(),
                         strict=True,
                     )
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(texts, pa.string())], [*names, result]
+                    [*part.columns[:-2], pa.array(texts, pa.string())], [*names, result]
                 )
 
     schema = T.StructType([*rest.schema.fields, T.StructField(result, T.StringType())])
