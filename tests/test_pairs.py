@@ -261,6 +261,27 @@ def test_directional_against_brute_force(random_lines, random_rows):
     )
 
 
+@pytest.mark.parametrize("sort", [False, True])
+def test_directional_parts_and_frequent_terms(spark, random_lines, random_rows, monkeypatch, sort):
+    """Small parts, so that frequent terms are cut by the beginnings of the other words."""
+    monkeypatch.setattr(co, "PAIRS_PER_PART", 20)
+    assert co._frequent(random_lines, "words")
+    got = tuples(co.directional_counts(random_lines, sort=sort))
+    assert (got if sort else sorted(got)) == directed([w for _, w in random_rows])
+
+
+def test_directional_words_may_hold_anything(spark):
+    rows = [(["a b", "a\nb", "", "a b", None],), ([],), (None,), ([f"w{i}" for i in range(200)],)]
+    got = tuples(co.directional_counts(spark.createDataFrame(rows, "words array<string>")))
+    assert sorted(got) == directed([["a b", "a\nb", "", "a b"], rows[3][0]])
+
+
+def test_directional_pairs_are_not_shuffled(random_lines):
+    plan = co.directional_counts(random_lines, sort=True)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "Sort [" in above and "Exchange" not in above
+
+
 @pytest.mark.parametrize("max_entries", [10_000, 3])
 def test_stripes_hold_the_rows(random_lines, max_entries):
     rows = co.directional_counts(random_lines)

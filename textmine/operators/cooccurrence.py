@@ -11,6 +11,8 @@ from textmine.functions.text import term_bag
 
 # Left-hand terms per piece of a line.
 TERMS_PER_PIECE = 64
+# Pairs of a term and a word that a part of the directional counts is expected to hold.
+PAIRS_PER_PART = 4_000_000
 # Entries a single stripe row may be expected to hold.
 ENTRIES_PER_STRIPE = 10_000
 
@@ -137,36 +139,70 @@ def directional_counts(
     keys: Sequence[str] = (),
     words: str = "words",
     spread: int | None = None,
+    sort: bool = False,
 ) -> DataFrame:
     """``<keys..., term, other, n>``: how often ``other`` stands in lines that have ``term``.
 
     A line with the term counts once for it, however often the term is repeated;
-    ``other`` counts with its multiplicity. Equal pieces of lines are expanded once.
-    Both directions of a pair are added up in one row and only the sums are turned
-    into two rows.
+    ``other`` counts with its multiplicity. Equal lines are one row with a count. A line
+    goes whole to the part of each of its terms and is paired there, so pairs are never
+    shuffled, and parts are ranges of terms if ``sort`` asks for ``keys``, term, other.
+    Lines of a term that fills more than a part are cut by the first letters of ``other``.
+
+    There are ``spread`` parts. Without it, the pairs are counted when this is called,
+    so that parts grow in number and not in size.
     """
-    pieces = line_pieces(with_bags(df, keys, words), keys)
-    if spread is not None:
-        pieces = pieces.repartition(spread)
-    a, b = F.col("a"), F.col("b")
-    both = (
-        _piece_pairs(pieces, keys)
-        .select(
-            *keys,
-            a["term"].alias("term1"),
-            b["term"].alias("term2"),
-            (a["n"] * F.col("lines")).alias("n1"),
-            (b["n"] * F.col("lines")).alias("n2"),
-        )
-        .where(F.col("term1") != F.col("term2"))
-        .groupBy(*keys, "term1", "term2")
-        .agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+    spark = df.sparkSession
+    told: list[str] = []
+    if spread is None:
+        pairs = df.agg(F.sum(_pairs_of(words))).head()[0] or 0
+        parts = -(-pairs // PAIRS_PER_PART)
+        told = _frequent(df, words) if parts > 1 else []
+        spread = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    line = F.sort_array(F.array_compact(F.col(words))).alias("line")
+    lines = df.select(*keys, line).groupBy(*keys, "line").agg(F.count(F.lit(1)).alias("lines"))
+    terms = F.array_distinct("line")
+    starts = F.sequence(F.lit(0), F.greatest(F.size(terms) - 1, F.lit(0)), F.lit(TERMS_PER_PIECE))
+    dealt = lines.select(*keys, "line", "lines", F.explode_outer(starts).alias("at")).repartition(spread)
+    piece = F.slice(terms, F.col("at") + 1, TERMS_PER_PIECE)
+    left = dealt.select(*keys, "line", "lines", F.explode_outer(piece).alias("term"))
+    place = [*keys, "term"]
+    if told:
+        # One row for each beginning of the other words of a frequent term.
+        often = F.col("term").isin(told)
+        found = F.array_distinct(F.transform("line", _beginning))
+        left = left.withColumn("beginning", F.explode(F.when(often, found).otherwise(F.array(F.lit("")))))
+        own = F.filter("line", lambda w: _beginning(w) == F.col("beginning"))
+        left = left.withColumn("line", F.when(often, own).otherwise(F.col("line")))
+        place.append("beginning")
+    placed = left.repartitionByRange(spread, *place) if sort else left.repartition(spread, *place)
+    counted = (
+        placed.select(*place, "lines", F.explode_outer("line").alias("other"))
+        .where(F.col("term") != F.col("other"))
+        .groupBy(*place, "other")
+        .agg(F.sum("lines").alias("n"))
     )
-    directed = F.array(
-        F.struct(F.col("term1").alias("term"), F.col("term2").alias("other"), F.col("n2").alias("n")),
-        F.struct(F.col("term2").alias("term"), F.col("term1").alias("other"), F.col("n1").alias("n")),
+    # The beginning of a word orders words as the word does.
+    ordered = counted.orderBy(*place, "other") if sort else counted
+    return ordered.select(*keys, "term", "other", "n")
+
+
+def _beginning(word: Column) -> Column:
+    return F.substring(word, 1, 2)
+
+
+def _pairs_of(words: str) -> Column:
+    """How many pairs of a term and a word a line has."""
+    return F.size(F.array_distinct(words)).cast("long") * F.size(words)
+
+
+def _frequent(df: DataFrame, words: str) -> list[str]:
+    """Terms with more pairs than a part should have; there are no more of them than parts."""
+    terms = df.select(
+        F.size(words).cast("long").alias("pairs"), F.explode(F.array_distinct(words)).alias("term")
     )
-    return both.select(*keys, F.inline(directed))
+    sums = terms.groupBy("term").agg(F.sum("pairs").alias("pairs"))
+    return [r["term"] for r in sums.where(F.col("pairs") > PAIRS_PER_PART).collect()]
 
 
 def as_stripes(

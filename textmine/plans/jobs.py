@@ -106,10 +106,8 @@ def directional_cooccurrence(
 ) -> DataFrame:
     """``<keys..., term, other, n>``: lower-cased terms of the same line, both directions."""
     text = F.lower(strip(F.col(value)))
-    counted = directional_counts(
-        lines.select(*keys, tokenize(text, "punct").alias("words")), keys=keys, spread=spread
-    )
-    return counted.orderBy(*keys, "term", "other") if sort else counted
+    words = lines.select(*keys, tokenize(text, "punct").alias("words"))
+    return directional_counts(words, keys=keys, spread=spread, sort=sort)
 
 
 def jaccard_self_join(
