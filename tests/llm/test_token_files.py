@@ -6,11 +6,15 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textmine.llm import token_files
+from textmine.llm.common import bound_batches
+from textmine.llm.fragments import load_tokenizer
 from textmine.llm.queries import vocabulary_file
 
 FOLDER = "/root/testdata/sf0.001"
@@ -155,3 +159,35 @@ def test_query_equals_the_library(spark):
     got = contract.queries()["op12_token_files"](spark, FOLDER)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [r[:4] for r in want]
+
+
+def test_a_workers_tables_are_bounded_by_bytes(monkeypatch):
+    """Fragments may be as long as texts, so their number alone is no bound."""
+    monkeypatch.setattr(token_files, "KEPT_BYTES", 10_000)
+    with open(vocabulary_file("word_bpe_49k.json"), "rb") as file:
+        own = token_files._Ids(load_tokenizer(file.read()))
+    texts = [f"{i}-" * 1_000 for i in range(20)]
+    want = own.encode(pa.array(texts), 1)
+    for text, ids in zip(texts, want, strict=True):
+        assert own.encode(pa.array([text]), 1) == [ids]
+        assert sum(map(len, [*own.words, *own.others])) <= 10_000
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        bound_batches(spark)
+        texts = spark.range(0, 3_000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+        assert texts.mapInArrow(sizes, "n long").agg(F.max("n")).head()[0] < 5 << 20
+        spark.conf.set(name, "1m")
+        bound_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)

@@ -7,15 +7,21 @@ text or word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 from textmine.sources.package import ship_package as ship_package
 
+Batches = Iterator[pa.RecordBatch]
+
 #: Bytes of text that are worked on at once; a longer single text is a piece of its own.
 PIECE_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to Python at once; a longer single row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -28,6 +34,36 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold at most ``BATCH_BYTES``, or less if that is set.
+
+    Spark counts 10,000 rows, so batches of texts would grow with the texts, in the
+    memory of the executor and once more in that of its Python workers. Rows are the same.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``, with what it freed given back to the system at a task's end."""
+
+    def tidy(batches: Batches) -> Batches:
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

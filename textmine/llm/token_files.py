@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmine.llm.common import bound_batches, give_back
 from textmine.llm.fragments import (
     KEPT_FRAGMENTS,
     cut,
@@ -50,6 +51,8 @@ BLOCK, PERCENT = 512, 90
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 18, 1 << 16
 #: Bytes of text that are encoded at once; a longer single text is a piece of its own.
 CUT_BYTES = 2 << 20
+#: Characters and bytes of ids that a worker's tables keep between pieces of text.
+KEPT_BYTES = 16 << 20
 #: First bytes of a segment, which name its format.
 MAGIC = b"PFR1"
 
@@ -222,6 +225,7 @@ class _Ids:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
+        self.held = 0
 
     def _single(self, texts: list[str]) -> list[bytes]:
         found = self.encode_batch(texts, add_special_tokens=False)
@@ -245,18 +249,21 @@ class _Ids:
 
     def forget(self) -> None:
         """Give back the tables, as another stage may follow in the same worker."""
-        self.words, self.others = {}, {}
-        pa.default_memory_pool().release_unused()
+        self.words, self.others, self.held = {}, {}, 0
+        give_back()
 
-    @staticmethod
-    def _known(table: dict[str, bytes], units: list[str], encode) -> list[bytes]:
+    def _known(self, table: dict[str, bytes], units: list[str], encode) -> list[bytes]:
         new = [u for u in units if u not in table]
-        if len(table) + len(new) > KEPT_FRAGMENTS:
-            table.clear()
-            new = units
-        table.update(zip(new, encode(new), strict=True))
+        made = encode(new)
+        self.held += sum(map(len, new)) + sum(map(len, made))
+        table.update(zip(new, made, strict=True))
         return [table[u] for u in units]
 
+    def _bound(self) -> None:
+        """Start the tables anew where one has too many units, or both too many bytes."""
+        if max(len(self.words), len(self.others)) > KEPT_FRAGMENTS or self.held > KEPT_BYTES:
+            self.words, self.others, self.held = {}, {}, 0
+
     def encode(self, texts: pa.Array, end: int) -> list[bytes]:
         """The ids of each text and the end id, as unsigned integers of the vocabulary's width."""
         which, fragments, offsets = cut(pc.replace_substring(texts, "\n", " "))
@@ -272,6 +279,7 @@ class _Ids:
             *self._known(self.others, marks.dictionary.to_pylist(), self._single),
             b"",
         ]
+        self._bound()
         n_words, n_others = len(words.dictionary), len(others)
         pair = np.full((len(fragments), 2), len(units) - 1, np.int32)
         pair[plain, 0] = words.indices.to_numpy()
@@ -328,6 +336,7 @@ def token_bytes(
     Ranges follow each other as the documents do; ``tie`` is a checksum of the ids. The
     tokenizer must lower-case, drop white space and mark word ends by ``</w>``.
     """
+    bound_batches(df.sparkSession)
     content = share_file(df.sparkSession, vocabulary)
     plain = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     ranges = _ranges(plain)
@@ -427,6 +436,7 @@ def unpack(segments: DataFrame, *, id_col: str = "doc_id", with_ids: bool = True
     """
     # One row per part, of which there are as many as the write had tasks.
     spark = segments.sparkSession
+    bound_batches(spark)
     sums = segments.groupBy("part").agg(F.sum("tokens").alias("all")).orderBy("part").collect()
     firsts = np.cumsum([0, *(r["all"] for r in sums)]).tolist()
     rows = [(r["part"], first) for r, first in zip(sums, firsts, strict=False)]
