@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmine.llm import bpe, decontaminate, jaccard_join, pii, quality
-from textmine.llm.common import ship_package
+from textmine.llm.common import bound_batches, ship_package
 from textmine.llm.queries import BYTE_BPE
 from textmine.sources.scratch import materialize
 from textmine.sources.tables import table
@@ -25,6 +25,7 @@ ROW_KEY = "_row_key"
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are neither junk nor toxic."""
     ship_package(spark)
+    bound_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return quality.classify(docs, labels=labels).where("kept").select(docs.columns)
 
@@ -38,6 +39,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows without.
     """
     ship_package(spark)
+    bound_batches(spark)
     keyed = materialize(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed-rows")
     classes = jaccard_join.similarity_classes(keyed, id_col=ROW_KEY, k=5, share=(80, 100))
     placed = keyed.select(ROW_KEY, "doc_id").join(classes.select(ROW_KEY, "component_id"), ROW_KEY)
@@ -49,12 +51,14 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     ship_package(spark)
+    bound_batches(spark)
     found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("benchmark_items") == 0).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced and their lengths brought up to date."""
+    bound_batches(spark)
     clean = pii.sanitise(docs)
     return clean.withColumn(
         "n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -64,6 +68,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids, and whether these decode to the text again."""
     ship_package(spark)
+    bound_batches(spark)
     both = bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE)
     return both.select(
         *docs.columns,

@@ -10,9 +10,10 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from textmine.llm import decontaminate, quality, suffix_dedup, token_rollup, vector_dedup
+from textmine.llm import bpe, decontaminate, quality, suffix_dedup, token_rollup, vector_dedup
 from textmine.llm.components import connected_components
 from textmine.llm.jaccard_join import similarity_classes
+from textmine.llm.queries import BYTE_BPE
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdef") for _ in range(RNG.randint(2, 8))) for _ in range(900)]
@@ -287,3 +288,26 @@ def test_pipeline_stages(spark, folder):
     assert len(set(got) & set(range(150))) >= 147
     assert "[EMAIL]" in got[181]["text"] and got[181]["n_chars"] == len(got[181]["text"])
     assert all(r["decodes"] and r["n_tokens"] == len(r["token_ids"]) for r in got.values())
+
+
+def test_pipeline_stages_bound_the_bytes_of_batches(spark):
+    """Every stage, also run on its own, and for texts of any length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "A text.", "en", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, "64m")
+            stage(spark, docs, "/root/testdata/sf0.001")
+            assert int(spark.conf.get(name)) <= 4 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_decoding_builds_no_merges(monkeypatch):
+    content = type("Content", (), {"value": open(BYTE_BPE, "rb").read()})
+    own = bpe.Encoder(bpe.Vocabulary.parse(content.value))
+    ids, offsets = own.encode(["Hello wörld <|endoftext|> x", None, "a b"])
+    monkeypatch.setattr(bpe, "Vocabulary", None)
+    monkeypatch.setattr(bpe, "_decoders", {})
+    assert bpe.decoder(content).decode(ids, offsets) == ["Hello wörld <|endoftext|> x", "", "a b"]

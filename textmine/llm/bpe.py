@@ -19,10 +19,9 @@ A null id array decodes to an empty text, ids outside the vocabulary are an erro
 from __future__ import annotations
 
 import base64
-import ctypes
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -33,6 +32,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from textmine.llm.common import give_back, giving_back
+
 # Fixed value: the pattern that cuts a text into words before merging.
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,18 +57,39 @@ def _packed_ids(ids: np.ndarray) -> bytes:
     return ids.astype(np.int32).tobytes()
 
 
+def _tokens(content: bytes) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(ids of tokens, ids of special tokens) of a tokenizer.json or of a file of base64 ranks."""
+    if content.lstrip()[:1] == b"{":
+        spec = json.loads(content)
+        letters = _byte_letters()
+        added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        tokens = {
+            bytes(letters[c] for c in token): i
+            for token, i in spec["model"]["vocab"].items()
+            if token not in added
+        }
+        return tokens, added
+    lines = (line.split() for line in content.splitlines() if line.strip())
+    return {base64.b64decode(a): int(b) for a, b in lines}, {}
+
+
+def _bytes_by_id(tokens: dict[bytes, int], special: dict[str, int]) -> list[bytes]:
+    out = [b""] * (max([*tokens.values(), *special.values()]) + 1)
+    for token, i in tokens.items():
+        out[i] = token
+    for token, i in special.items():
+        out[i] = token.encode()
+    return out
+
+
 class Vocabulary:
     """Token bytes by id; an id is higher than those of the tokens merged into it."""
 
     def __init__(self, tokens: dict[bytes, int], special: dict[str, int]):
         self.ids = tokens
         self.special = special
-        self.size = max([*tokens.values(), *special.values()]) + 1
-        self.bytes: list[bytes] = [b""] * self.size
-        for token, i in tokens.items():
-            self.bytes[i] = token
-        for token, i in special.items():
-            self.bytes[i] = token.encode()
+        self.bytes = _bytes_by_id(tokens, special)
+        self.size = len(self.bytes)
         self.longest = max(map(len, tokens))
         self._find_merges()
         self._build_trie()
@@ -80,18 +102,7 @@ class Vocabulary:
     @classmethod
     def parse(cls, content: bytes) -> Vocabulary:
         """From the content of a tokenizer.json or of a file of base64 ranks."""
-        if content.lstrip()[:1] == b"{":
-            spec = json.loads(content)
-            letters = _byte_letters()
-            added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-            tokens = {
-                bytes(letters[c] for c in token): i
-                for token, i in spec["model"]["vocab"].items()
-                if token not in added
-            }
-            return cls(tokens, added)
-        lines = (line.split() for line in content.splitlines() if line.strip())
-        return cls({base64.b64decode(a): int(b) for a, b in lines}, {})
+        return cls(*_tokens(content))
 
     def merge(self, word: bytes, below: int | None = None) -> list[int]:
         """Exact merging: the adjacent pair with the lowest id first, leftmost first."""
@@ -337,6 +348,27 @@ class Vocabulary:
         return np.unique(owner[seam[~good]])
 
 
+class Decoder:
+    """Token ids to texts, by the bytes of each token alone."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The text of each run of ids."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        total = int(ends[-1])
+        data = self.pool[np.repeat(self.places[ids] - ends[:-1], sizes) + np.arange(total)]
+        cuts = ends[offsets].tolist()
+        whole = data.tobytes()
+        return [
+            whole[a:b].decode("utf-8", errors="replace")
+            for a, b in zip(cuts, cuts[1:], strict=False)
+        ]
+
 class Encoder:
     """Texts to token ids, with a bounded table of chunks that are segmented already.
 
@@ -354,9 +386,7 @@ class Encoder:
         self.held = 0
         self.find = regex.compile(WORD_PATTERN).findall
         self.ragged = re.compile(r"\s | \s|^ | $").search
-        self.sizes = np.fromiter(map(len, vocabulary.bytes), np.int64, vocabulary.size)
-        self.places = np.cumsum(self.sizes) - self.sizes
-        self.pool = np.frombuffer(b"".join(vocabulary.bytes), np.uint8)
+        self.decoder = Decoder(vocabulary.bytes)
 
     def _cut(self, text: str) -> list[str]:
         """Keys of the chunk table; a chunk after a space has the space as its first letter."""
@@ -438,37 +468,31 @@ class Encoder:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The text of each run of ids."""
-        sizes = self.sizes[ids]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        total = int(ends[-1])
-        data = self.pool[np.repeat(self.places[ids] - ends[:-1], sizes) + np.arange(total)]
-        cuts = ends[offsets].tolist()
-        whole = data.tobytes()
-        return [
-            whole[a:b].decode("utf-8", errors="replace")
-            for a, b in zip(cuts, cuts[1:], strict=False)
-        ]
-
-
-def give_back() -> None:
-    """Return memory that this worker has freed to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+        return self.decoder.decode(ids, offsets)
 
 
 _encoders: dict[tuple, Encoder] = {}
+_decoders: dict[tuple, Decoder] = {}
 
 
 def encoder(content: Broadcast) -> Encoder:
     """The worker's encoder for a vocabulary file's content; at most two are kept."""
+    return _kept(_encoders, content, lambda: Encoder(Vocabulary.parse(content.value)))
+
+
+def decoder(content: Broadcast) -> Decoder:
+    """The worker's decoder, which needs no merges; at most two are kept."""
+    return _kept(_decoders, content, lambda: Decoder(_bytes_by_id(*_tokens(content.value))))
+
+
+def _kept(table: dict, content: Broadcast, load: Callable):
     key = (len(content.value), hash(content.value))
-    if key not in _encoders:
-        while len(_encoders) > 1:
-            _encoders.pop(next(iter(_encoders)))
-        _encoders[key] = Encoder(Vocabulary.parse(content.value))
-    return _encoders[key]
+    if key not in table:
+        while len(table) > 1:
+            table.pop(next(iter(table)))
+        table[key] = load()
+        give_back()
+    return table[key]
 
 
 def share(df: DataFrame, vocabulary: str) -> Broadcast:
@@ -554,7 +578,7 @@ def decode(
     content = share(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(content)
+        own = decoder(content)
         for batch in batches:
             for part in _slices(batch, 500):
                 lists = part.column(ids)
@@ -568,4 +592,4 @@ def decode(
                     [*part.columns, column], [*part.schema.names, text]
                 )
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(giving_back(run), schema)

@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 
 from textmine.llm.common import (
     LOWER,
+    bound_batches,
+    giving_back,
     list_arrays,
     mix,
     pieces,
@@ -335,7 +337,7 @@ def telling_words(df: DataFrame, labels: DataFrame, *, text: str, id_col: str) -
 
     found = (
         rows.select("text", "toxic")
-        .mapInArrow(words, "word long, toxic int")
+        .mapInArrow(giving_back(words), "word long, toxic int")
         .groupBy("word")
         .agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
         .where(
@@ -384,7 +386,7 @@ def fit(
     strata = [*CLASSES, "label"]
     seen = (
         rows.select("text", "label")
-        .mapInArrow(label, f"{kinds}, label int")
+        .mapInArrow(giving_back(label), f"{kinds}, label int")
         .groupBy(*strata)
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(*strata)
@@ -415,7 +417,7 @@ def fit(
                     where = pa.array(a + np.flatnonzero(at < part))
                     yield batch.select([0, 1]).take(where)
 
-        chosen = rows.mapInArrow(draw, "text string, label int").limit(train_rows)
+        chosen = rows.mapInArrow(giving_back(draw), "text string, label int").limit(train_rows)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,7 +440,7 @@ def fit(
                 )
 
     sample = chosen.mapInArrow(
-        featurise, f"{kinds}, label int, slot array<int>, value array<float>"
+        giving_back(featurise), f"{kinds}, label int, slot array<int>, value array<float>"
     ).toArrow()  # at most train_rows rows
     n = sample.num_rows
     if not n:
@@ -496,7 +498,7 @@ def score(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             T.StructField("kept", T.BooleanType()),
         ]
     )
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(giving_back(run), schema)
 
 
 def classify(
@@ -508,5 +510,6 @@ def classify(
     train_rows: int = TRAIN_ROWS,
 ) -> DataFrame:
     """Fit on ``df`` and score it."""
+    bound_batches(df.sparkSession)
     model = fit(df, text=text, id_col=id_col, labels=labels, train_rows=train_rows)
     return score(df, model, text=text)
