@@ -7,6 +7,8 @@ import html
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from textmine.llm import bpe, html_text, licenses, pii
@@ -250,3 +252,21 @@ def test_main_text_of_pages(spark, folder):
     empty = spark.createDataFrame([], schema)
     assert html_text.extract(empty).count() == 0
     assert html.unescape("&amp") == "&"
+
+
+def test_tokens_are_counted_without_encoding_plain_texts(monkeypatch):
+    with open(BYTE_BPE, "rb") as file:
+        own = bpe.Encoder(bpe.Vocabulary.parse(file.read()))
+    parts = ["Hello", "don't", "Stühle,", "23", "###", "a.\nThe", "x", "", "\n", "\t", "<|endoftext|>", "\0"]
+    rng = random.Random(4)
+    odd = [" ".join(rng.choices(parts, k=rng.randrange(6))) for _ in range(600)]
+    odd += [None, " ", "a ", " a", "a b\n", "a b \n", "a b\n\n", "a\x1c b", "a b\x1c", "a b!\x1c\n"]
+    _, offsets = own.encode(odd)
+    monkeypatch.setattr(bpe, "KEPT_SIZES", 5)
+    for _ in range(2):  # with tables from before as well
+        assert own.count(pa.array(odd, pa.string())).tolist() == np.diff(offsets).tolist()
+
+    plain = ["Hello Stühle, don't worry", "one.\nThe end\n", "word", ""]
+    want = np.diff(own.encode(plain)[1]).tolist()
+    monkeypatch.setattr(bpe.Encoder, "_packed", None)
+    assert own.count(plain).tolist() == want

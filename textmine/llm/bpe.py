@@ -27,12 +27,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from textmine.llm.common import give_back, giving_back
+from textmine.llm.fragments import cut, text_pieces
 
 # Fixed value: the pattern that cuts a text into words before merging.
 WORD_PATTERN = (
@@ -42,6 +44,11 @@ WORD_PATTERN = (
 #: from which chunks that are met again are taken over; the old one before it is dropped.
 KEPT_CHUNKS = 100_000
 KEPT_BYTES = 8 << 20
+#: Chunks in a worker's table of sizes, and bytes of text whose tokens are counted at once.
+KEPT_SIZES = 200_000
+COUNT_BYTES = 4 << 20
+#: The size of a chunk that has white space beside its space: its text is cut whole.
+_RAGGED = 1 << 40
 #: Longer words are segmented one by one, as their many steps would hold up a batch.
 BATCH_WORD_BYTES = 64
 
@@ -384,6 +391,8 @@ class Encoder:
         self.old_chunks: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         self.held = 0
+        self.sizes: dict[str, int] = {}
+        self.old_sizes: dict[str, int] = {}
         self.find = regex.compile(WORD_PATTERN).findall
         self.ragged = re.compile(r"\s | \s|^ | $").search
         self.decoder = Decoder(vocabulary.bytes)
@@ -405,15 +414,16 @@ class Encoder:
     def _missing(needed: set[str], known: dict[str, bytes], old: dict[str, bytes]) -> list[str]:
         """What neither table has; what only the old one has is taken over."""
         needed = needed.difference(known)
-        again = needed.intersection(old)
+        again = {key for key in needed if key in old}
         known.update((key, old[key]) for key in again)
         return list(needed - again)
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _words(self, chunks: list[str]) -> list[list[str]]:
         # Plain letters after at most one space are a single word.
-        split = [
-            [c] if c.isascii() and c.lstrip(" ").isalpha() else self.find(c) for c in chunks
-        ]
+        return [[c] if c.isascii() and c.lstrip(" ").isalpha() else self.find(c) for c in chunks]
+
+    def _learn(self, chunks: list[str]) -> None:
+        split = self._words(chunks)
         new = self._missing(set(chain.from_iterable(split)), self.words, self.old_words)
         self.words.update(
             zip(new, self.vocabulary.segment([w.encode() for w in new]), strict=True)
@@ -456,13 +466,66 @@ class Encoder:
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])])
         return np.frombuffer(b"".join(packed), np.int32), offsets.astype(np.int64)
 
-    def count(self, texts: Iterable[str | None]) -> np.ndarray:
-        """How many ids each text has."""
-        return np.array([len(p) // 4 for p in self._packed(texts)], np.int64)
+    def _sizes(self, chunks: list[str]) -> np.ndarray:
+        """How many ids each chunk or word has, ``_RAGGED`` for a chunk that cannot stand alone."""
+        if len(self.sizes) > KEPT_SIZES:
+            self.old_sizes, self.sizes = self.sizes, {}
+        known, old = self.sizes, self.old_sizes
+        missing = set(chunks).difference(known)
+        again = {key for key in missing if key in old}
+        known.update((key, old[key]) for key in again)
+        missing -= again
+        ragged = [c for c in missing if c[:1] == " " and (c == " " or len(c.strip()) < len(c) - 1)]
+        known.update(dict.fromkeys(ragged, _RAGGED))
+        new = list(missing.difference(ragged))
+        split = self._words(new)
+        words = list(set(chain.from_iterable(split)).difference(known))
+        known.update(
+            (w, len(ids) // 4)
+            for w, ids in zip(
+                words, self.vocabulary.segment([w.encode() for w in words]), strict=True
+            )
+        )
+        get = known.__getitem__
+        known.update((c, sum(map(get, w))) for c, w in zip(new, split, strict=True) if len(w) != 1)
+        return np.fromiter(map(get, chunks), np.int64, len(chunks))
+
+    def count(self, texts: pa.Array | Iterable[str | None]) -> np.ndarray:
+        """How many ids each text has.
+
+        Chunks between single spaces are told apart by array operations, so each distinct
+        one is looked up once. The first and the last one of a text may have white space
+        where others may not; a text with special tokens is encoded.
+        """
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        which, distinct, offsets = cut(texts)
+        after_space = pc.binary_join_element_wise("", distinct, " ")
+        each = self._sizes(after_space.to_numpy(zero_copy_only=False).tolist())[which]
+        first, last = offsets[:-1], offsets[1:] - 1
+        each[first] = each[last] = 0
+        sums = np.concatenate([[0], np.cumsum(each)])
+        total = sums[offsets[1:]] - sums[offsets[:-1]]
+        heads = distinct.take(pa.array(which[first])).to_pylist()
+        total += self._sizes(heads)
+        several = np.flatnonzero(last > first)
+        tails = distinct.take(pa.array(which[last[several]])).to_pylist()
+        stems = [tail.rstrip("\n\r\t") for tail in tails]  # white space at the end is one word
+        total[several] += self._sizes([f" {stem}" for stem in stems])
+        total[several] += self._sizes([t[len(s) :] for t, s in zip(tails, stems, strict=True)])
+        whole = total >= _RAGGED
+        for i in several.tolist():
+            whole[i] |= not heads[i] or heads[i][-1].isspace()
+        for special in self.vocabulary.special:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        if whole.any():
+            packed = self._packed(texts.filter(pa.array(whole)).to_pylist())
+            total[whole] = [len(p) // 4 for p in packed]
+        return total
 
     def forget(self) -> None:
         """Give back the tables, as another stage may follow in the same worker."""
         self.chunks, self.words, self.old_chunks, self.old_words = {}, {}, {}, {}
+        self.sizes, self.old_sizes = {}, {}
         self.held = 0
         give_back()
 
@@ -550,8 +613,8 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [encoder(content) for content in contents]
         for batch in batches:
-            for part in _slices(batch, 500):
-                texts = part.column(text).to_pylist()
+            for first, texts in text_pieces(batch.column(text), COUNT_BYTES):
+                part = batch.slice(first, len(texts))
                 columns = [part.column(name) for name in names]
                 for i, one in enumerate(own):
                     if asked is None or not i:
@@ -560,7 +623,8 @@ def count_tokens(
                     flags = part.column(asked).fill_null(False)
                     where = flags.to_numpy(zero_copy_only=False)
                     counts = np.zeros(len(where), np.int64)
-                    counts[where] = one.count(texts[i] for i in np.flatnonzero(where).tolist())
+                    if where.any():
+                        counts[where] = one.count(texts.filter(flags))
                     columns.append(pa.array(counts, mask=~where))
                 yield pa.RecordBatch.from_arrays(columns, [*names, *vocabularies])
         for one in own:
