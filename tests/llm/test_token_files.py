@@ -191,3 +191,19 @@ def test_batches_are_bounded_by_bytes(spark):
         assert spark.conf.get(name) == "1m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_the_parquet_reader_holds_few_rows(spark):
+    """Texts of a reader's batch stand in one array, which must not grow with 4,096 texts."""
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        spark.conf.set(names[0], 4096)
+        bound_batches(spark)
+        assert int(spark.conf.get(names[0])) <= 256
+        spark.conf.set(names[0], 16)
+        bound_batches(spark)
+        assert spark.conf.get(names[0]) == "16"
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)

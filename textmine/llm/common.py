@@ -22,6 +22,8 @@ Batches = Iterator[pa.RecordBatch]
 PIECE_BYTES = 1 << 20
 #: Bytes of rows that Spark hands to Python at once; a longer single row is a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Rows that Spark's Parquet reader holds at once.
+READER_ROWS = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -38,12 +40,17 @@ def bound_batches(spark: SparkSession) -> None:
     """Let the session's Arrow batches hold at most ``BATCH_BYTES``, or less if that is set.
 
     Spark counts 10,000 rows, so batches of texts would grow with the texts, in the
-    memory of the executor and once more in that of its Python workers. Rows are the same.
+    memory of the executor and once more in that of its Python workers. Its Parquet reader
+    counts 4,096, and keeps their texts in one array that doubles; it gets ``READER_ROWS``
+    or less. Rows are the same.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
     if not 0 < held <= BATCH_BYTES:
         spark.conf.set(name, BATCH_BYTES)
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > READER_ROWS:
+        spark.conf.set(name, READER_ROWS)
 
 
 def give_back() -> None:

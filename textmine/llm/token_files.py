@@ -50,9 +50,9 @@ BLOCK, PERCENT = 512, 90
 #: Ids and documents after which a segment is closed.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 18, 1 << 16
 #: Bytes of text that are encoded at once; a longer single text is a piece of its own.
-CUT_BYTES = 2 << 20
+CUT_BYTES = 1 << 20
 #: Characters and bytes of ids that a worker's tables keep between pieces of text.
-KEPT_BYTES = 16 << 20
+KEPT_BYTES = 4 << 20
 #: First bytes of a segment, which name its format.
 MAGIC = b"PFR1"
 
