@@ -311,3 +311,17 @@ def test_decoding_builds_no_merges(monkeypatch):
     monkeypatch.setattr(bpe, "Vocabulary", None)
     monkeypatch.setattr(bpe, "_decoders", {})
     assert bpe.decoder(content).decode(ids, offsets) == ["Hello wörld <|endoftext|> x", "", "a b"]
+
+
+def test_the_driver_gives_the_training_sample_back(spark, monkeypatch):
+    """The sample and what was made of it must not stay in the driver's Python."""
+    given = []
+    monkeypatch.setattr(quality, "give_back", lambda: given.append(1))
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", None)
+    rows = [(i, f"some words of a text {i}" if i % 3 else "you stupid idiot moron") for i in range(60)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(30)], "doc_id long, toxic boolean")
+    model = quality.fit(documents, labels=labels)
+    assert len(given) == 2
+    found = {r["doc_id"]: r["kept"] for r in quality.score(documents, model).collect()}
+    assert found == {i: i % 3 != 0 for i in range(60)}

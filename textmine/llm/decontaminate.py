@@ -223,8 +223,8 @@ def find_items(
         # About PART_ITEMS rows, and the terms that stand in them.
         own = items.where(F.col("part") == part).collect()
         known = counted.where(F.col("part") == part).select("term").distinct()
-        there = frequencies.join(known, "term", "left_semi").toPandas()
-        known_df = dict(zip(there["term"].tolist(), there["n"].tolist(), strict=True))
+        there = frequencies.join(known, "term", "left_semi").toArrow()
+        known_df = dict(zip(there["term"].to_pylist(), there["n"].to_pylist(), strict=True))
         index = Index([(r["item"], r["text"]) for r in own], totals, known_df)
         out = _search_part(out, spark.sparkContext.broadcast(index), text, result, score, overlap)
     return out

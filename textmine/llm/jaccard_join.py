@@ -85,10 +85,10 @@ def shingle_frequency(df: DataFrame, *, text: str, k: int) -> np.ndarray:
         .mapInArrow(count, "bucket long, n long")
         .groupBy("bucket")
         .agg(F.sum("n").alias("n"))
-        .toPandas()  # at most 262,144 rows of two numbers
+        .toArrow()  # at most 262,144 rows of two numbers
     )
     out = np.zeros(size, np.int64)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 

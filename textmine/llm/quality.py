@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from textmine.llm.common import (
     LOWER,
     bound_batches,
+    give_back,
     giving_back,
     list_arrays,
     mix,
@@ -345,9 +346,9 @@ def telling_words(df: DataFrame, labels: DataFrame, *, text: str, id_col: str) -
         )
         .orderBy(F.desc("bad"), "word")
         .limit(TELLING_WORDS)
-        .toPandas()
+        .toArrow()
     )
-    return found["word"].to_numpy(np.int64).view(np.uint64)
+    return found["word"].to_numpy().view(np.uint64)
 
 
 def fit(
@@ -390,19 +391,20 @@ def fit(
         .groupBy(*strata)
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(*strata)
-        .toPandas()  # vote patterns only
+        .toArrow()  # vote patterns only
     )
-    total = int(seen["n"].sum())
+    rows_of = seen["n"].to_numpy()
+    total = int(rows_of.sum())
     posterior = {}
     for name, width in CLASSES.items():
-        counts = seen.groupby(name)["n"].sum()
-        codes = counts.index.to_numpy(np.int64)
+        codes, of = np.unique(seen[name].to_numpy(), return_inverse=True)
+        counts = np.bincount(of, rows_of, minlength=len(codes))
         posterior[name] = np.zeros(3**width)
-        posterior[name][codes] = estimate(_patterns(codes, width), counts.to_numpy(float), 1.0)
+        posterior[name][codes] = estimate(_patterns(codes, width), counts, 1.0)
 
     chosen = rows.select("text", "label")
-    part_of = np.ones(len(seen)) if total <= train_rows else shares(seen["n"].to_numpy(), train_rows * 10 // 11)
-    share = dict(zip(map(tuple, seen[strata].to_numpy(np.int64).tolist()), part_of.tolist(), strict=True))
+    part_of = np.ones(len(rows_of)) if total <= train_rows else shares(rows_of, train_rows * 10 // 11)
+    share = dict(zip(zip(*(seen[c].to_pylist() for c in strata), strict=True), part_of.tolist(), strict=True))
     if total > train_rows:
 
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,7 +461,11 @@ def fit(
     keys = zip(*(sample.column(name).to_pylist() for name in strata), strict=True)
     weight = np.array([1 / share[k] for k in keys])
     weight /= weight.mean()
+    del sample
+    give_back()
     weights = np.stack([_train(owner, slot, value, targets[name], weight, n) for name in CLASSES])
+    del owner, slot, value
+    give_back()
     return Model(weights, known, posterior)
 
 
