@@ -8,9 +8,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from textmine.llm import bpe, decontaminate, quality, suffix_dedup, token_rollup, vector_dedup
+from textmine.llm.common import text_bytes
 from textmine.llm.components import connected_components
 from textmine.llm.jaccard_join import similarity_classes
 from textmine.llm.queries import BYTE_BPE
@@ -325,3 +327,31 @@ def test_the_driver_gives_the_training_sample_back(spark, monkeypatch):
     assert len(given) == 2
     found = {r["doc_id"]: r["kept"] for r in quality.score(documents, model).collect()}
     assert found == {i: i % 3 != 0 for i in range(60)}
+
+
+def test_the_labellers_read_every_text_once(spark, monkeypatch):
+    """Drawing the training sample hands no further texts to Python but its own."""
+    plain = type(spark.range(1)).mapInArrow
+    read = []
+
+    def counted(frame, *args, **kwargs):
+        if "text" in frame.columns:
+            read.append(frame.count())
+        return plain(frame, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", counted)
+    rows = [(i, f"{prose(30)}." if i % 50 else "you stupid idiot moron") for i in range(600)]
+    rows += [rows[0], rows[1], (None, None), (None, "")]
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), train_rows=100)
+    assert model.weights.any()
+    assert read[0] == len(rows) and 50 < sum(read[1:]) <= 100
+
+
+def test_votes_need_no_shapes_and_count_different_words_exactly():
+    data, offsets = text_bytes(pa.array(["a b a\nA b", "", None, "b b", "%%% x\n%%% x\nyou idiot"]))
+    piece = quality.Features(data, offsets)
+    votes = piece.votes(np.zeros(0, np.uint64))
+    assert "shapes" not in vars(piece)
+    assert piece.measures[:, 2].tolist() == [3 / 5, 1, 1, 1 / 2, 4 / 6]
+    assert piece.measures[:, 3].tolist() == [1, 1, 1, 1, 2 / 3]
+    assert votes["marks"][:, 3].tolist() == [2, 1, 1, 2, 2] and votes["toxic"][4, 0] == 1

@@ -16,7 +16,8 @@ training sample of at most ``TRAIN_ROWS`` documents reach the driver; labelling,
 counting and scoring cover all documents. The sample is dealt over the patterns
 of votes and labels: rare ones are taken whole, frequent ones share the rest,
 each drawn by a hash of id and text. So the number of toxic documents in it does
-not fall as the corpus grows.
+not fall as the corpus grows. The votes of all documents are kept in a table
+while the sample is drawn, so no text is read by the labellers twice.
 
 Defined cases: a null, empty or blank text has a low-quality score of 1 and is
 not kept; texts are read whole; equal texts score alike; an empty table gives an
@@ -26,6 +27,7 @@ empty result; other columns are kept, those with the results' names replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache, cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -49,6 +51,7 @@ from textmine.llm.common import (
     word_spans,
 )
 from textmine.llm.decontaminate import GAP
+from textmine.sources.scratch import discard, materialize
 
 #: Most documents that the scorers are trained on, and most labels that are looked at.
 TRAIN_ROWS = 12_000
@@ -93,75 +96,128 @@ def _share(part: np.ndarray, whole: np.ndarray, default: float = 0.0) -> np.ndar
     return np.where(whole > 0, part / np.maximum(whole, 1), default)
 
 
+def _sorted_distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new]
+
+
 def _distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    order = np.lexsort((hashes, owner))
-    o, h = owner[order], hashes[order]
-    new = np.ones(len(o), bool)
-    new[1:] = (o[1:] != o[:-1]) | (h[1:] != h[:-1])
-    return np.bincount(o[new], minlength=n)
+    """How many different hashes each of ``n`` texts has; the text's number takes low bits' place."""
+    bits = np.uint64(max((n - 1).bit_length(), 1))
+    rest = np.uint64(64) - bits
+    keys = _sorted_distinct((owner.astype(np.uint64) << rest) | (hashes >> bits))
+    return np.bincount((keys >> rest).astype(np.int64), minlength=n)
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are in a sorted list."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
+@cache
 def _insult_hashes() -> list[np.ndarray]:
     out = []
     for words in INSULTS:
         data, offsets = text_bytes(pa.array(words))
-        out.append(word_hashes(data, offsets, GAP)[0])
+        out.append(np.sort(word_hashes(data, offsets, GAP)[0]))
     return out
 
 
 class Features:
-    """Words, word shapes and measures of the texts of one piece."""
+    """Words, word shapes and measures of the texts of one piece, each made when it is asked for."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets
         n = self.n = len(offsets) - 1
-        start, end, owner = word_spans(data, offsets)
-        words = self.words = np.bincount(owner, minlength=n)
+        self.spans = word_spans(data, offsets)
+        self.words = np.bincount(self.spans[2], minlength=n)
+        lowered = LOWER[data]
+        begin, stop, self.owner = word_spans(lowered, offsets, GAP)
+        sums = rolling(lowered)
+        self.hashes = span_hash(sums, begin, stop)
+        long = stop - begin > STEM
+        self.stems = span_hash(sums, begin[long], begin[long] + STEM) + np.uint64(1)
+        self.stem_owner = self.owner[long]
+
+    @cached_property
+    def symbol_end(self) -> np.ndarray:
+        """Which words end in a symbol."""
+        end = self.spans[1]
+        return _SYMBOL[self.data[end - 1]] if len(end) else np.zeros(0, bool)
+
+    @cached_property
+    def shapes(self) -> np.ndarray:
+        """The share of each shape among a text's words."""
+        data, n = self.data, self.n
+        start, end, owner = self.spans
         upper = np.concatenate([[0], np.cumsum(_UPPER[data])])
         caps = upper[end] - upper[start]
         last = data[end - 1] if len(end) else np.zeros(0, np.uint8)
-        symbol_end = _SYMBOL[last]
-        kind = np.where(symbol_end, 2, np.where(GAP[last], 1, 0))
+        kind = np.where(self.symbol_end, 2, np.where(GAP[last], 1, 0))
         first_upper = _UPPER[data[start]] if len(start) else np.zeros(0, bool)
         all_caps = (caps > 1) & (caps * 2 > end - start)
         shape = first_upper + 2 * all_caps + 4 * kind + 12 * np.minimum((end - start) // 4, 3)
         counts = np.bincount(owner * _SHAPES + shape, minlength=n * _SHAPES)
-        self.shapes = counts.reshape(n, _SHAPES) / np.maximum(words, 1)[:, None]
-
-        def total(flags: np.ndarray) -> np.ndarray:
-            sums = np.concatenate([[0], np.cumsum(flags[data])])
-            return sums[offsets[1:]] - sums[offsets[:-1]]
-
-        sums = rolling(data)
-        different = _distinct(owner, span_hash(sums, start, end), n)
-        lines = word_spans(data, offsets, _NEWLINE)
-        n_lines = np.bincount(lines[2], minlength=n)
-        line_kinds = _distinct(lines[2], span_hash(sums, lines[0], lines[1]), n)
-        self.measures = np.stack(
+        return counts.reshape(n, _SHAPES) / np.maximum(self.words, 1)[:, None]
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        return rolling(self.data)
+
+    @cached_property
+    def line_spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return word_spans(self.data, self.offsets, _NEWLINE)
+
+    @cached_property
+    def lines(self) -> np.ndarray:
+        return np.bincount(self.line_spans[2], minlength=self.n)
+
+    def _total(self, flags: np.ndarray) -> np.ndarray:
+        """How many bytes of each text are flagged."""
+        return np.diff(np.searchsorted(np.flatnonzero(flags[self.data]), self.offsets))
+
+    @cached_property
+    def measures(self) -> np.ndarray:
+        n, words = self.n, self.words
+        start, end, owner = self.spans
+        different = _distinct(owner, span_hash(self.sums, start, end), n)
+        first, last, line_owner = self.line_spans
+        line_kinds = _distinct(line_owner, span_hash(self.sums, first, last), n)
+        return np.stack(
             [
-                _share(total(_SYMBOL), np.diff(offsets)),
-                _share(total(_UPPER), total(_ALPHA)),
+                _share(self._total(_SYMBOL), np.diff(self.offsets)),
+                _share(self._total(_UPPER), self._total(_ALPHA)),
                 _share(different, words, 1.0),
-                _share(line_kinds, n_lines, 1.0),
-                _share(np.bincount(owner, symbol_end, minlength=n), words),
+                _share(line_kinds, self.lines, 1.0),
+                _share(np.bincount(owner, self.symbol_end, minlength=n), words),
             ],
             axis=1,
         )
-        self.lines = n_lines
-        self.hashes, begin, stop, self.owner = word_hashes(data, offsets, GAP)
-        long = stop - begin > STEM
-        self.stems = span_hash(rolling(LOWER[data]), begin[long], begin[long] + STEM) + np.uint64(1)
-        self.stem_owner = self.owner[long]
-        bigram = span_hash(sums, start[:-1], end[1:])[owner[1:] == owner[:-1]]
-        pairs = owner[1:][owner[1:] == owner[:-1]]
-        self.bigrams = _share(
-            _distinct(pairs, bigram, n), np.bincount(pairs, minlength=n), 1.0
+
+    @cached_property
+    def bigrams(self) -> np.ndarray:
+        """Different pairs of words among a text's pairs."""
+        start, end, owner = self.spans
+        inside = owner[1:] == owner[:-1]
+        pairs = owner[1:][inside]
+        bigram = span_hash(self.sums, start[:-1][inside], end[1:][inside])
+        return _share(
+            _distinct(pairs, bigram, self.n), np.bincount(pairs, minlength=self.n), 1.0
         )
-        found = [np.isin(self.hashes, known) for known in _insult_hashes()]
-        self.insults = [np.bincount(self.owner[f], minlength=n) for f in found]
+
+    @cached_property
+    def insults(self) -> list[np.ndarray]:
+        found = [_among(self.hashes, known) for known in _insult_hashes()]
+        return [np.bincount(self.owner[f], minlength=self.n) for f in found]
 
     def telling(self, known: np.ndarray) -> np.ndarray:
         """How many words or word beginnings of each text are in a list of hashes."""
-        words, stems = np.isin(self.hashes, known), np.isin(self.stems, known)
+        known = np.sort(known)
+        words, stems = _among(self.hashes, known), _among(self.stems, known)
         return np.bincount(self.owner[words], minlength=self.n) + np.bincount(
             self.stem_owner[stems], minlength=self.n
         )
@@ -203,7 +259,7 @@ class Features:
         size = 1 << HASH_BITS
         hashes = np.concatenate([self.hashes, mix(self.stems)])
         slot = (hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        pair = np.unique(np.concatenate([self.owner, self.stem_owner]) * size + slot)
+        pair = _sorted_distinct(np.concatenate([self.owner, self.stem_owner]) * size + slot)
         owner, slot = pair // size, pair % size
         weight = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=self.n), 1))
         text, shape = np.nonzero(self.shapes)
@@ -379,16 +435,21 @@ def fit(
             for a, b, own in _each_piece(batch, "text"):
                 votes = own.votes(known)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(_codes(votes[name])) for name in CLASSES), batch.column(1)[a:b]],
-                    [*CLASSES, "label"],
+                    [
+                        *(pa.array(_codes(votes[name])) for name in CLASSES),
+                        *(column[a:b] for column in batch.columns[1:]),
+                    ],
+                    [*strata, "drawn"],
                 )
 
     kinds = ", ".join(f"{name} long" for name in CLASSES)
     strata = [*CLASSES, "label"]
+    # The sample is drawn from it, so that the labellers read every text once.
+    voted = materialize(
+        rows.mapInArrow(giving_back(label), f"{kinds}, label int, drawn long"), "votes"
+    )
     seen = (
-        rows.select("text", "label")
-        .mapInArrow(giving_back(label), f"{kinds}, label int")
-        .groupBy(*strata)
+        voted.groupBy(*strata)
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(*strata)
         .toArrow()  # vote patterns only
@@ -409,17 +470,19 @@ def fit(
 
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b, own in _each_piece(batch, "text"):
-                    votes = own.votes(known)
-                    keys = np.stack(
-                        [*(_codes(votes[name]) for name in CLASSES), batch.column(1)[a:b].to_numpy()], 1
-                    )
-                    part = np.array([share[tuple(k)] for k in keys.tolist()])
-                    at = mix(batch.column(2)[a:b].to_numpy().view(np.uint64)) / 2.0**64
-                    where = pa.array(a + np.flatnonzero(at < part))
-                    yield batch.select([0, 1]).take(where)
-
-        chosen = rows.mapInArrow(giving_back(draw), "text string, label int").limit(train_rows)
+                keys = zip(*(column.to_pylist() for column in batch.columns[:-1]), strict=True)
+                part = np.fromiter(map(share.__getitem__, keys), np.float64, batch.num_rows)
+                drawn = batch.column(len(strata))
+                at = mix(drawn.to_numpy().view(np.uint64)) / 2.0**64
+                yield pa.RecordBatch.from_arrays([drawn.filter(pa.array(at < part))], ["drawn"])
+
+        # About train_rows numbers, as the shares bound them; equal ids and texts have one.
+        picked = voted.mapInArrow(draw, "drawn long").distinct()
+        chosen = (
+            rows.join(F.broadcast(picked), "drawn", "left_semi")
+            .select("text", "label")
+            .limit(train_rows)
+        )
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -444,6 +507,7 @@ def fit(
     sample = chosen.mapInArrow(
         giving_back(featurise), f"{kinds}, label int, slot array<int>, value array<float>"
     ).toArrow()  # at most train_rows rows
+    discard(voted)
     n = sample.num_rows
     if not n:
         weights = np.zeros((len(CLASSES), (1 << HASH_BITS) + _EXTRA + 1))
