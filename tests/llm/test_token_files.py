@@ -207,3 +207,49 @@ def test_the_parquet_reader_holds_few_rows(spark):
     finally:
         for name, value in zip(names, before, strict=True):
             spark.conf.set(name, value)
+
+
+def library_texts(own):
+    """The texts that the library is given from now on, by one text and by many words in one."""
+    single, many = [], []
+
+    def spy(name, seen):
+        plain = getattr(own, name)
+
+        def run(texts, **options):
+            seen.extend(texts)
+            return plain(texts, **options)
+
+        setattr(own, name, run)
+
+    spy("encode_batch", single)
+    spy("encode_words", many)
+    return single, many
+
+
+def test_symbols_behind_words_are_encoded_once():
+    with open(vocabulary_file("word_bpe_49k.json"), "rb") as file:
+        own = token_files._Ids(load_tokenizer(file.read()))
+    single, _ = library_texts(own)
+    symbols = [chr(i) for i in range(33, 127) if not chr(i).isalnum()]
+    texts = [f"Étre{a} the{a}{b} {a}x{b}" for a in symbols for b in symbols]
+    got = own.encode(pa.array(["alpha*** beta***", "gamma***"]), 1)
+    assert single == ["***"]
+    got += own.encode(pa.array(texts), 1)
+    want = reference(enumerate(["alpha*** beta***", "gamma***", *texts]))
+    assert [np.frombuffer(ids, own.kind).tolist() for ids in got] == [r[4] for r in want]
+
+
+def test_frequent_units_outlive_full_tables(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_FRAGMENTS", 40)
+    with open(vocabulary_file("word_bpe_49k.json"), "rb") as file:
+        own = token_files._Ids(load_tokenizer(file.read()))
+    single, many = library_texts(own)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"often 77 {' '.join(f'q{a}{b}' for b in letters)}" for a in letters]
+    got = [own.encode(pa.array([text]), 1)[0] for text in texts]
+    assert [np.frombuffer(ids, own.kind).tolist() for ids in got] == [
+        r[4] for r in reference(enumerate(texts))
+    ]
+    assert single.count("77") == 1 and " ".join(many).split().count("often") == 1
+    assert len(own.words) + len(own.old_words) <= 2 * 40

@@ -51,7 +51,9 @@ BLOCK, PERCENT = 512, 90
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 18, 1 << 16
 #: Bytes of text that are encoded at once; a longer single text is a piece of its own.
 CUT_BYTES = 1 << 20
-#: Characters and bytes of ids that a worker's tables keep between pieces of text.
+#: Characters and bytes of ids that a worker's tables keep between pieces of text. Tables that
+#: hold half of it, or half of the units, become the old ones, from which units that are met
+#: again are taken over; the old ones before them are dropped.
 KEPT_BYTES = 4 << 20
 #: First bytes of a segment, which name its format.
 MAGIC = b"PFR1"
@@ -195,16 +197,21 @@ class Segment:
 # ---- texts to files and back
 
 
-#: Letters before closing punctuation. Letters that lower-casing makes two are left out.
-_WORD = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<close>[.,;:!?]*)$"
+#: Letters before ASCII punctuation and symbols. Letters that lower-casing makes two are left
+#: out, and so is the apostrophe, which the tokenizer may leave with letters.
+_WORD = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<close>[!-&(-/:-@\[-`{-~]*)$"
 #: Words that the library is given in one text.
 _TOGETHER = 256
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Ids:
     """Token ids of texts by a tokenizer that lower-cases, drops white space and marks word ends.
 
-    A fragment of letters and closing punctuation is a word and a mark, which the tokenizer
+    A fragment of letters and punctuation behind them is a word and a mark, which the tokenizer
     cuts apart as well; others are units of their own. Units are found by array operations,
     and only those that the worker has not met go to the library.
     """
@@ -223,8 +230,13 @@ class _Ids:
         size = tokenizer.get_vocab_size()
         self.closes = np.array([tokenizer.id_to_token(i).endswith("</w>") for i in range(size)])
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self._empty()
+
+    def _empty(self) -> None:
         self.words: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_others: dict[str, bytes] = {}
         self.held = 0
 
     def _single(self, texts: list[str]) -> list[bytes]:
@@ -249,20 +261,32 @@ class _Ids:
 
     def forget(self) -> None:
         """Give back the tables, as another stage may follow in the same worker."""
-        self.words, self.others, self.held = {}, {}, 0
+        self._empty()
         give_back()
 
-    def _known(self, table: dict[str, bytes], units: list[str], encode) -> list[bytes]:
-        new = [u for u in units if u not in table]
-        made = encode(new)
-        self.held += sum(map(len, new)) + sum(map(len, made))
-        table.update(zip(new, made, strict=True))
-        return [table[u] for u in units]
+    def _known(
+        self, table: dict[str, bytes], old: dict[str, bytes], units: list[str], encode
+    ) -> list[bytes]:
+        found = list(map(table.get, units))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        learned = [units[i] for i in missing]
+        made = list(map(old.get, learned))
+        new = [i for i, ids in enumerate(made) if ids is None]
+        for i, ids in zip(new, encode([learned[i] for i in new]), strict=True):
+            made[i] = ids
+        for i, ids in zip(missing, made, strict=True):
+            found[i] = ids
+        table.update(zip(learned, made, strict=True))
+        self.held += sum(map(len, learned)) + sum(map(len, made))
+        return found
 
     def _bound(self) -> None:
-        """Start the tables anew where one has too many units, or both too many bytes."""
-        if max(len(self.words), len(self.others)) > KEPT_FRAGMENTS or self.held > KEPT_BYTES:
-            self.words, self.others, self.held = {}, {}, 0
+        """Age the tables where one has too many units, or both too many bytes."""
+        units = max(len(self.words), len(self.others))
+        if units > KEPT_FRAGMENTS // 2 or self.held > KEPT_BYTES // 2:
+            self.old_words, self.words = self.words, {}
+            self.old_others, self.others = self.others, {}
+            self.held = 0
 
     def encode(self, texts: pa.Array, end: int) -> list[bytes]:
         """The ids of each text and the end id, as unsigned integers of the vocabulary's width."""
@@ -272,11 +296,14 @@ class _Ids:
         parted = parted.drop_null()
         words = pc.ascii_lower(pc.struct_field(parted, "word")).dictionary_encode()
         marks = pc.struct_field(parted, "close").dictionary_encode()
-        others = fragments.filter(pa.array(~plain)).to_pylist()
+        others = _strings(fragments.filter(pa.array(~plain)))
+        shorts = _strings(marks.dictionary)
         units = [
-            *self._known(self.words, words.dictionary.to_pylist(), self._together),
-            *self._known(self.others, others, self._single),
-            *self._known(self.others, marks.dictionary.to_pylist(), self._single),
+            *self._known(
+                self.words, self.old_words, _strings(words.dictionary), self._together
+            ),
+            *self._known(self.others, self.old_others, others, self._single),
+            *self._known(self.others, self.old_others, shorts, self._single),
             b"",
         ]
         self._bound()
