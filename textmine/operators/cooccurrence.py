@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from textmine.functions.text import term_bag
+from textmine.operators import pair_blocks
+from textmine.sources.package import ship_package
+from textmine.sources.scratch import materialize
 
 # Left-hand terms per piece of a line.
 TERMS_PER_PIECE = 64
-# Pairs of a term and a word that a part of the directional counts is expected to hold.
-PAIRS_PER_PART = 4_000_000
+# Pairs of a term and a word that a part of the directional counts is expected to hold, and the
+# least for which there is another part while there are fewer than the session's.
+PAIRS_PER_PART, LEAST_PER_PART = 4_000_000, 100_000
+# Pairs of a line from which on it is many rows.
+PAIRS_PER_LINE = 1 << 26
+# Pairs that are counted to find how to deal them, and entries of them that are looked at.
+PAIRS_TRIED, CUT_CANDIDATES = 1 << 26, 200_000
 # Entries a single stripe row may be expected to hold.
 ENTRIES_PER_STRIPE = 10_000
 
@@ -144,51 +165,79 @@ def directional_counts(
     """``<keys..., term, other, n>``: how often ``other`` stands in lines that have ``term``.
 
     A line with the term counts once for it, however often the term is repeated;
-    ``other`` counts with its multiplicity. Equal lines are one row with a count. A line
-    goes whole to the part of each of its terms and is paired there, so pairs are never
-    shuffled, and parts are ranges of terms if ``sort`` asks for ``keys``, term, other.
-    Lines of a term that fills more than a part are cut by the first letters of ``other``.
-
-    There are ``spread`` parts. Without it, the pairs are counted when this is called,
-    so that parts grow in number and not in size.
+    ``other`` counts with its multiplicity. The lines are written once, when this is called.
+    Tasks sum up the pairs of many lines before anything moves, and what moves are packed
+    blocks of sums (:mod:`textmine.operators.pair_blocks`). Blocks are dealt by ranges of
+    term and other, whatever their keys, so a frequent term is many parts and parts in
+    their order are the sorted result. ``sort`` orders by ``keys``, term, other.
+
+    There are ``spread`` parts. Without it, there are as many as the sums of some lines
+    show to be needed, so that parts grow in number and not in size.
     """
     spark = df.sparkSession
-    told: list[str] = []
-    if spread is None:
-        pairs = df.agg(F.sum(_pairs_of(words))).head()[0] or 0
-        parts = -(-pairs // PAIRS_PER_PART)
-        told = _frequent(df, words) if parts > 1 else []
-        spread = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    line = F.sort_array(F.array_compact(F.col(words))).alias("line")
-    lines = df.select(*keys, line).groupBy(*keys, "line").agg(F.count(F.lit(1)).alias("lines"))
-    terms = F.array_distinct("line")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(terms) - 1, F.lit(0)), F.lit(TERMS_PER_PIECE))
-    dealt = lines.select(*keys, "line", "lines", F.explode_outer(starts).alias("at")).repartition(spread)
-    piece = F.slice(terms, F.col("at") + 1, TERMS_PER_PIECE)
-    left = dealt.select(*keys, "line", "lines", F.explode_outer(piece).alias("term"))
-    place = [*keys, "term"]
-    if told:
-        # One row for each beginning of the other words of a frequent term.
-        often = F.col("term").isin(told)
-        found = F.array_distinct(F.transform("line", _beginning))
-        left = left.withColumn("beginning", F.explode(F.when(often, found).otherwise(F.array(F.lit("")))))
-        own = F.filter("line", lambda w: _beginning(w) == F.col("beginning"))
-        left = left.withColumn("line", F.when(often, own).otherwise(F.col("line")))
-        place.append("beginning")
-    placed = left.repartitionByRange(spread, *place) if sort else left.repartition(spread, *place)
-    counted = (
-        placed.select(*place, "lines", F.explode_outer("line").alias("other"))
-        .where(F.col("term") != F.col("other"))
-        .groupBy(*place, "other")
-        .agg(F.sum("lines").alias("n"))
+    ship_package(spark)
+    keys = list(keys)
+    lines = materialize(df.select(*keys, F.col(words).alias("words")), "lines")
+    known = lines.agg(F.sum(_pairs_of("words")).alias("pairs"), F.max(_pairs_of("words")).alias("most")).head()
+    lines = _cut_lines(lines, known["most"] or 0)
+    cuts = _cuts(lines, keys, known["pairs"] or 0, spread)
+    own = [lines.schema[k] for k in keys]
+    block = StructType([*own, StructField("part", IntegerType()), StructField("block", BinaryType())])
+    entries = ArrayType(StructType([StructField("other", StringType()), StructField("n", LongType())]))
+    stripe = StructType([*own, StructField("term", StringType()), StructField("entries", entries)])
+    blocks = lines.mapInArrow(pair_blocks.dealt(keys, cuts, to_arrow_schema(block)), block)
+    summed = (
+        blocks.repartitionById(len(cuts) + 1, F.col("part"))
+        .select(*keys, "block")
+        .mapInArrow(pair_blocks.summed(keys, to_arrow_schema(stripe)), stripe)
     )
-    # The beginning of a word orders words as the word does.
-    ordered = counted.orderBy(*place, "other") if sort else counted
-    return ordered.select(*keys, "term", "other", "n")
+    counted = summed.select(*keys, "term", F.inline("entries"))
+    if not sort:
+        return counted
+    return counted.orderBy(*keys, "term", "other") if keys else counted.sortWithinPartitions("term", "other")
+
 
+def _cut_lines(lines: DataFrame, most: int) -> DataFrame:
+    """Add ``at`` and ``upto``, between which the left-hand terms of a row are among its line's.
 
-def _beginning(word: Column) -> Column:
-    return F.substring(word, 1, 2)
+    A line of more pairs than a part should have is many rows, dealt out over the tasks.
+    """
+    everything = [F.lit(0).alias("at"), F.lit(pair_blocks.ALL).alias("upto")]
+    if most <= PAIRS_PER_LINE:
+        return lines.select("*", *everything)
+    long = F.coalesce(_pairs_of("words") > PAIRS_PER_LINE, F.lit(False))
+    step = F.greatest(F.floor(F.lit(PAIRS_PER_LINE) / F.size("words")), F.lit(1)).cast("int")
+    starts = F.sequence(F.lit(0), F.size(F.array_distinct("words")) - 1, step)
+    pieces = lines.where(long).select("*", F.explode(starts).alias("at"), step.alias("step"))
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    dealt = pieces.repartition(4 * cores).select(*lines.columns, "at", (F.col("at") + F.col("step")).alias("upto"))
+    return lines.where(~long).select("*", *everything).unionAll(dealt)
+
+
+def _cuts(lines: DataFrame, keys: list[str], pairs: int, spread: int | None) -> list[tuple[str, str]]:
+    """The least pairs of all parts but the first.
+
+    They come from the sums of some lines and decide on sizes of parts only; every line is
+    counted after that.
+    """
+    if not pairs or spread == 1:
+        return []
+    share = min(1.0, PAIRS_TRIED / pairs)
+    some = lines.sample(share, 7) if share < 1 else lines
+    rate = min(1.0, CUT_CANDIDATES / min(pairs, PAIRS_TRIED))
+    schema = "term string, other string, weight double"
+    tried = some.mapInArrow(pair_blocks.candidates(keys, rate), schema).toArrow()
+    tried = tried.sort_by([("term", "ascending"), ("other", "ascending")])
+    summed = np.cumsum(tried.column("weight").to_numpy())
+    if not len(summed):
+        return []
+    entries = summed[-1] / share
+    session = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = spread or max(math.ceil(entries / PAIRS_PER_PART), min(session, math.ceil(entries / LEAST_PER_PART)))
+    at = np.unique(np.searchsorted(summed, summed[-1] / parts * np.arange(1, parts)))
+    at = at[at < len(summed)]
+    found = tried.select(["term", "other"]).take(pa.array(at)).to_pylist()
+    return sorted({(r["term"], r["other"]) for r in found})
 
 
 def _pairs_of(words: str) -> Column:
@@ -197,7 +246,7 @@ def _pairs_of(words: str) -> Column:
 
 
 def _frequent(df: DataFrame, words: str) -> list[str]:
-    """Terms with more pairs than a part should have; there are no more of them than parts."""
+    """Terms with more pairs than a part should have, which are parts by ranges of the other word."""
     terms = df.select(
         F.size(words).cast("long").alias("pairs"), F.explode(F.array_distinct(words)).alias("term")
     )
@@ -212,8 +261,10 @@ def as_stripes(
 
     A term with up to ``max_entries`` partners has the one part 0. A term that
     goes with most of the vocabulary is cut into parts by a hash of the partner,
-    so that no row and no task has to hold an unbounded map.
+    so that no row and no task has to hold an unbounded map. The counts are read twice, so
+    they are written when this is called.
     """
+    counts = materialize(counts, "counts")
     sizes = counts.groupBy(*keys, "term").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(max_entries)).alias("parts")
     )
