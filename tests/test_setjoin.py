@@ -284,3 +284,64 @@ def test_a_repeated_row_counts_its_tokens_once(spark, tau):
     pairs = jaccard_self_join(spark.createDataFrame(rows, SCHEMA), tau)
     expected = {(1, 2, 0.6)} | ({(2, 3, 0.25)} if tau < 0.25 else set())
     assert set(tuples(pairs)) == expected
+
+
+@pytest.mark.parametrize("tau", [0.3, 0.6])
+@pytest.mark.parametrize("cross_period", [True, False])
+def test_rounds_change_nothing(random_records, random_rows, monkeypatch, tau, cross_period):
+    """What moves at once is bounded: the cells are counted in rounds, each written."""
+    monkeypatch.setattr(setjoin, "TOKENS_PER_ROUND", 1)
+    written = []
+    monkeypatch.setattr(setjoin, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    similar = setjoin.similar_sets(random_records, tau, cross_period=cross_period, block=3)
+    assert written.count("shared") > 3
+    pairs = setjoin.expand(similar, cross_period=cross_period).orderBy("id1", "id2")
+    assert tuples(pairs) == brute(random_rows, tau, cross_period)
+
+
+def test_rounds_grow_with_the_squares_of_sets(spark, monkeypatch):
+    """Twice the blocks, twice the rounds, as a round moves a fixed multiple of the sets."""
+    monkeypatch.setattr(setjoin, "TOKENS_PER_ROUND", 1)
+    rows = spark.range(400).select(
+        F.col("id").alias("set_id"), F.lit(3).alias("n"), F.lit(0).alias("band"), F.array(F.lit(1), F.lit(2)).alias("prefix")
+    )
+    monkeypatch.setattr(setjoin, "LEAST_BLOCK", 1)
+    monkeypatch.setattr(setjoin, "SHARES", 1_000)
+    rounds = [setjoin.blocks_by_band(rows, rows, block)[1] for block in (40, 20, 10)]
+    assert rounds == [200, 200, 200]
+    monkeypatch.setattr(setjoin, "SHARES", 1)
+    rounds = [setjoin.blocks_by_band(rows, rows, block)[1] for block in (40, 20, 10)]
+    assert rounds == [5, 10, 20]
+
+
+def test_low_threshold_moves_no_pairs(random_records):
+    """Copies and periods come with the sets, not by joins with pairs."""
+    encoded, _ = encoded_records(random_records, 0)
+    plan = setjoin.overlapping_sets(encoded, 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_pairs_of_single_records_are_not_joined(spark):
+    """Only sets of several records meet their members."""
+    rows = [(i, "xy"[i % 2], [f"t{j}" for j in range(12) if j != i % 12]) for i in range(10)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    similar = setjoin.similar_sets(df, 0.5)
+    lone = setjoin.SimilarSets(similar.pairs, similar.members.where("false"))
+    assert sorted(tuples(setjoin.expand(lone))) == brute(rows, 0.5)
+
+
+def test_sets_without_a_period(spark):
+    """A missing period is no other period than one that is there."""
+    rows = [(1, "x", ["a", "b"]), (2, None, ["a", "b", "c"]), (3, None, ["a", "c"]), (4, "y", ["a", "b", "d"])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for tau in (0.2, 0.5):
+        assert [(a, b) for a, b, _ in tuples(jaccard_self_join(df, tau))] == [(1, 4)]
+    assert len(tuples(jaccard_self_join(df, 0.2, cross_period=False))) == 6
+
+
+def test_ranks_are_dealt_by_set_before_they_are_listed(random_records):
+    rows = materialize(setjoin.token_sets(random_records), "records")
+    encoded = setjoin.encode_sets(rows, setjoin.distinct_sets(rows), setjoin.token_ranks(rows))
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("partial_collect_list") :].split("\n")[1:3]
+    assert any("Exchange" in line for line in below)
